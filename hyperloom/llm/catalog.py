@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op9_chat
 from .fingerprint import op6_fingerprints
 from .langid import op1_language_id
+from .mixing import op5_mixing
 from .packing import op3_packing
 from .quality import op7_quality_classifier
 from .rules import op8_quality_rules
 from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op3_packing, op6_fingerprints, op7_quality_classifier, op8_quality_rules, op9_chat, op10_toxicity)
+    f.__name__: f for f in (op1_language_id, op3_packing, op5_mixing, op6_fingerprints, op7_quality_classifier, op8_quality_rules, op9_chat, op10_toxicity)
 }
 
 #: Learned models and byte-level digests have no SQL form; tests hold those queries against brute force.
