@@ -81,16 +81,23 @@ def fit_classifier(feats: DataFrame, domain: str, targets: dict[str, float] | No
     return Mixer(domains, np.log(prior / prior.sum()).tolist(), share.T.tolist(), (want / want.sum()).tolist())
 
 
-def posterior(mixer: Mixer) -> Column:
-    """Array of domain probabilities from the letter counts; a text without letters has the prior."""
+def with_posterior(feats: DataFrame, mixer: Mixer, keep: list[str]) -> DataFrame:
+    """``keep`` and _post, the array of domain probabilities from the letter counts; a text without letters has the prior.
+
+    Logits, their maximum and their exponentials are columns in turn, so that each is
+    computed once a row and not once a use.
+    """
     cols = [F.col(c).cast("double") for c in columns()]
     other = F.greatest(F.col("_n") - reduce(lambda a, b: a + b, [F.col(c) for c in columns()]), F.lit(0)).cast("double")
     scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("_n"), F.lit(1)))
-    logits = [F.lit(mixer.prior[d]) + scale * reduce(lambda a, b: a + b, [c * F.lit(w[d]) for c, w in zip([*cols, other], mixer.weight, strict=True)]) for d in range(len(mixer.domains))]
-    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    raised = F.array(*[F.exp(x - top) for x in logits])
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda x: x / total)
+    k = range(len(mixer.domains))
+    logits = [(F.lit(mixer.prior[d]) + scale * reduce(lambda a, b: a + b, [c * F.lit(w[d]) for c, w in zip([*cols, other], mixer.weight, strict=True)])).alias(f"_l{d}") for d in k]
+    out = feats.select(*keep, *logits)
+    each = [F.col(f"_l{d}") for d in k]
+    out = out.withColumn("_top", F.greatest(*each) if len(each) > 1 else each[0])
+    out = out.select(*keep, *[F.exp(x - F.col("_top")).alias(f"_e{d}") for d, x in zip(k, each, strict=True)])
+    out = out.withColumn("_sum", reduce(lambda a, b: a + b, [F.col(f"_e{d}") for d in k]))
+    return out.select(*keep, F.array(*[F.col(f"_e{d}") / F.col("_sum") for d in k]).alias("_post"))
 
 
 def rate(mixer: Mixer, post: Column) -> Column:
@@ -143,7 +150,7 @@ def fit(docs: DataFrame, domain: str = "lang", targets: dict[str, float] | None
     mixer = fit_classifier(feats if labelled is None else features(labelled.withColumn("_domain", F.col(domain).cast("string")), ["_domain"]), "_domain", targets)
     if mixer is None:
         return None, feats.select(*keep, "_tokens", F.array().cast("array<double>").alias("_post"))
-    table = cluster.materialise(feats.select(*keep, "_tokens", posterior(mixer).alias("_post")))
+    table = cluster.materialise(with_posterior(feats, mixer, [*keep, "_tokens"]))
     return fit_rates(table, mixer), table
 
 
@@ -160,7 +167,7 @@ def apply(docs: DataFrame, mixer: Mixer | None) -> DataFrame:
         return docs
     text = F.coalesce("text", F.lit(""))
     feats = docs.select("*", F.octet_length(text).cast("long").alias("_n"), *letter_counts(text))
-    rated = feats.select(*names, posterior(mixer).alias("_post")).withColumn("_rate", rate(mixer, F.col("_post")))
+    rated = with_posterior(feats, mixer, names).withColumn("_rate", rate(mixer, F.col("_post")))
     return rated.select(*names, F.explode(F.array_repeat(F.lit(1), copies("_rate", F.col("doc_id")))).alias("_copy")).select(*names)
 
 
