@@ -12,12 +12,13 @@ from .langid import op1_language_id
 from .mixing import op5_mixing
 from .neardup import op2_ngram_jaccard
 from .packing import op3_packing
+from .pylm import op4_lm_score
 from .quality import op7_quality_classifier
 from .rules import op8_quality_rules
 from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_packing, op5_mixing, op6_fingerprints, op7_quality_classifier, op8_quality_rules, op9_chat, op10_toxicity)
+    f.__name__: f for f in (op1_language_id, op2_ngram_jaccard, op3_packing, op4_lm_score, op5_mixing, op6_fingerprints, op7_quality_classifier, op8_quality_rules, op9_chat, op10_toxicity)
 }
 
 #: Learned models and byte-level digests have no SQL form; tests hold those queries against brute force.
