@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,8 @@ from . import cluster
 CAPACITY = 4096
 END = 1
 #: Distinct words whose ids a worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 600_000
+_ODD = re.compile("[\x1c-\x1f]")
 #: Items of one length are ranked in groups of about so many.
 GROUP_ROWS = 1 << 20
 LEAST_SALTS = 64
@@ -128,33 +132,45 @@ def slots(kinds: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarra
     return dict(zip(("key", "base", "each", "at"), cols.T.copy(), strict=True))
 
 
-class Encoder:
-    """Token ids of a text as little-endian bytes, remembered by word.
+class Encoder(dict):
+    """Token ids as little-endian bytes, remembered by word.
 
     The tokenizer drops white space before it splits, so a text's ids are those of its
     words in turn. Texts with U+001C to U+001F, which Python splits at and the tokenizer
-    doesn't, are encoded whole.
+    doesn't, are encoded whole. A worker keeps its encoder between tasks; of the words it
+    remembers, those not met again while as many new ones came are forgotten.
     """
 
+    _kept: ClassVar[dict[str, Encoder]] = {}
+
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.encode = Tokenizer.from_file(path).encode
+        self.older: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        memo = self.memo
-        new = list({w for w in words if w not in memo})
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([memo[w] for w in words])
+        if _ODD.search(text):
+            return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) > MEMO_WORDS:
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def default_tokenizer() -> str:
@@ -173,7 +189,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     width = 4 * capacity
 
     def cut(batches):
-        encode = Encoder(where)
+        encode = Encoder.of(where)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
