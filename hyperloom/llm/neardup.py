@@ -259,7 +259,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = families.join(sizes, "comp").select("node", "comp", nb.alias("nb"), F.pmod(F.xxhash64("node"), nb).cast("int").alias("block"))
     placed = placed.select("node", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     placed = placed.select("node", "comp", "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
-    members = placed.join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
+    # by hash on both sides at every size: texts are the larger side, and members grow with the corpus
+    members = placed.hint("merge").join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
     found = cluster.materialise(compared(members, threshold))
     links = found.groupBy(F.col("node").alias("class_id")).agg(F.sum("links").alias("n_links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("class_id"), F.col("comp").alias("group_id"))
