@@ -63,11 +63,11 @@ def _shortest(v: tuple[Column, ...], f: Callable[..., Column]) -> Column:
 
 
 def maximum(*v: Column) -> Column:
-    return _shortest(v, F.greatest)
+    return _shortest(v, lambda x, y: F.greatest(x, y))
 
 
 def minimum(*v: Column) -> Column:
-    return _shortest(v, F.least)
+    return _shortest(v, lambda x, y: F.least(x, y))
 
 
 def unary(f: Callable[[Column], Column]) -> Callable[[Column], Column]:

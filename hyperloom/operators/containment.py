@@ -22,7 +22,7 @@ def upward(space: Space, start: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         new = written(new.join(edges, "atom_id").select("start_id", F.col("up").alias("atom_id")).distinct().join(seen, ["start_id", "atom_id"], "left_anti"))
         if new.isEmpty():
-            return seen
+            return written(seen)
         seen = seen.unionByName(new)
     raise RecursionError(f"containment is deeper than {rounds}")
 

@@ -100,9 +100,9 @@ class Planner:
                 raise PlanError(f"an unordered term may have {MAX_UNORDERED} children at most, this has {n}")
             orders = F.array(*[F.array(*[F.lit(i) for i in p]) for p in permutations(range(n))])
             df = df.select("atom_id", "outgoing", F.explode(orders).alias("_p"))
-            slots = [F.col("outgoing")[F.col("_p")[i]] for i in range(n)]
+            slots = [F.get("outgoing", F.col("_p")[i]) for i in range(n)]
         else:
-            slots = [F.col("outgoing")[i] for i in range(n)]
+            slots = [F.get("outgoing", F.lit(i)) for i in range(n)]
         return self.bound(df, term.out, slots, me).distinct() if self.space.lattice.unordered(term.type) else self.bound(df, term.out, slots, me)
 
     def bound(self, df: DataFrame, out: Sequence[Any], slots: list[Column], me: str) -> DataFrame:
@@ -151,7 +151,7 @@ class Planner:
                     df = df.where((n >= low) & (F.lit(True) if high is None else n <= high)).withColumn("_n", n)
                 else:
                     df = df.where(most >= low).withColumn("_n", F.explode(F.sequence(F.lit(low), most)))
-                piece = F.slice("outgoing", F.col("_at") + 1, F.col("_n"))
+                piece = F.slice("outgoing", F.col("_at") + 1, F.greatest(F.col("_n"), F.lit(0)))
                 df = df.where(piece == F.col(x.name)) if x.name in cols else df.withColumn(x.name, piece)
                 cols[x.name] = F.col(x.name)
                 df = df.withColumn("_at", F.col("_at") + F.col("_n")).drop("_n")

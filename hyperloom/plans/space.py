@@ -24,8 +24,8 @@ ATOMS = "atom_id long, type string, is_node boolean, name string, outgoing array
 VALUES = "atom_id long, key string, vtype string, fval array<double>, sval array<string>, bval array<boolean>"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes to the shared checkpoint folder and reads back."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Cuts the lineage: writes to the shared checkpoint folder (in folders by a column, if named) and reads back."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
@@ -35,7 +35,8 @@ def written(df: DataFrame) -> DataFrame:
             kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = kept.get()
     path = os.path.join(at, f"plans-{spark.sparkContext.applicationId}", uuid.uuid4().hex)
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -94,6 +95,11 @@ class Space:
         vals = reduce(DataFrame.unionByName, values) if values else None
         return cls(reduce(DataFrame.unionByName, rows), vals, lattice or Lattice())
 
+    def stored(self) -> Space:
+        """The space as a stored table, its atoms in one folder a type, so that a scan by type reads only that."""
+        atoms = written(self.atoms, by="type").select(*self.atoms.columns)
+        return replace(self, atoms=atoms, values=None if self.values is None else written(self.values))
+
     @property
     def spark(self) -> SparkSession:
         return self.atoms.sparkSession
