@@ -16,7 +16,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .types import Lattice
 
@@ -256,4 +255,3 @@ def defined_once(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-SCHEMA = T.StructType.fromDDL(ATOMS)

@@ -211,7 +211,10 @@ def json_leaves(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(F.from_json(text, T.MapType(T.StringType(), T.StringType()))).alias("name", "value"))
 
 
-@F.pandas_udf("array<struct<name:string,kind:string,line:int>>")
+_DEFINITIONS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("line", T.IntegerType())]))
+
+
+@F.pandas_udf(_DEFINITIONS)
 def python_definitions(source: pd.Series) -> pd.Series:
     """Functions, classes and imports of Python source texts, by the standard parser; null where it doesn't parse."""
     import ast
