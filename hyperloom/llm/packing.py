@@ -30,6 +30,17 @@ END = 1
 #: Distinct words whose ids a worker remembers.
 MEMO_WORDS = 600_000
 _ODD = re.compile("[\x1c-\x1f]")
+#: Words of Latin-1 letters, with a stop or comma: the tokenizer's own splitting has nothing to decide there.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones stand for themselves, the rest follow from 256 on."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in same]
+    return {b: b for b in same} | {b: 256 + n for n, b in enumerate(rest)}
+
+
 #: Items of one length are ranked in groups of about so many.
 GROUP_ROWS = 1 << 20
 LEAST_SALTS = 64
@@ -148,7 +159,9 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        self.characters = byte_characters()
         self.older: dict[str, bytes] = {}
 
     @classmethod
@@ -160,7 +173,14 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+            plain = _PLAIN.fullmatch(word)
+            if plain:
+                letters, stop = plain.groups()
+                ids = array("I", [t.id for t in self.merge(letters.lower().encode().decode("latin-1").translate(self.characters))]).tobytes()
+                if stop:
+                    ids += self[stop]
+            else:
+                ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
         self[word] = ids
         return ids
 
