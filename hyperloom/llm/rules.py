@@ -20,8 +20,9 @@ GRAM = 4
 BUCKETS = 1 << 18
 #: At most about so many trusted rows are counted.
 TRUSTED_ROWS = 20_000
-SMOOTHING = 1.0
-THRESHOLD = -0.2
+#: Windows added on either side of a ratio.
+SMOOTHING = 2.0
+THRESHOLD = -0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -132,10 +133,8 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_RO
     trusted[got["bucket"]] = got["trusted"]
     if not trusted.sum():
         return None
-    # the raw share is the prior, so a bucket with little evidence on either side weighs little
-    share = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
-    prior = BUCKETS * SMOOTHING
-    return np.log((trusted + prior * share) / (trusted.sum() + prior) / share).astype(np.float32)
+    # trusted windows against those that the raw shares let expect: few of either say little
+    return np.log((trusted + SMOOTHING) / (trusted.sum() * raw / max(raw.sum(), 1) + SMOOTHING)).astype(np.float32)
 
 
 def judge(docs: DataFrame, weights: np.ndarray | None, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
