@@ -166,9 +166,11 @@ def apply(docs: DataFrame, mixer: Mixer | None) -> DataFrame:
     if mixer is None:
         return docs
     text = F.coalesce("text", F.lit(""))
-    feats = docs.select("*", F.octet_length(text).cast("long").alias("_n"), *letter_counts(text))
-    rated = with_posterior(feats, mixer, names).withColumn("_rate", rate(mixer, F.col("_post")))
-    return rated.select(*names, F.explode(F.array_repeat(F.lit(1), copies("_rate", F.col("doc_id")))).alias("_copy")).select(*names)
+    # the row travels as one column, so that none of its names can clash with those made here
+    feats = docs.select(F.struct("*").alias("_row"), F.octet_length(text).cast("long").alias("_n"), *letter_counts(text))
+    rated = with_posterior(feats, mixer, ["_row"]).withColumn("_rate", rate(mixer, F.col("_post")))
+    taken = rated.select("_row", F.explode(F.array_repeat(F.lit(1), copies("_rate", F.col("_row")["doc_id"]))).alias("_copy"))
+    return taken.select(*[F.col("_row")[c].alias(c) for c in names])
 
 
 #: The query's targets: shares of the tokens by language.
