@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .api import Graph
+from .functions import algebra
 from .functions import predicates as b
 from .functions import text as text_
 from .functions import udf
@@ -377,8 +379,15 @@ def p16_windows(spark, d):
     return i.select("doc_id", F.col("at").cast("long").alias("at"), *[F.get("w", F.col("at") + k).alias(n) for k, n in enumerate("abc")])
 
 
-@named(GRAPH_SQL + "SELECT DISTINCT p_name FROM phrase WHERE list_contains(w, 'red')")
+@named(GRAPH_SQL + "SELECT b AS other, 1::BIGINT AS rest FROM near WHERE a = 'NATION_7' UNION SELECT a, 1::BIGINT FROM near WHERE b = 'NATION_7'")
 def p17_sparse(spark, d):
+    g = graph(spark, d)
+    got = planner.meet(["rest"], [Match(Link("Neighbours", Node("NationNode", "NATION_7"), Glob("rest")))], g)
+    return g.named(got.select(F.get("rest", F.lit(0)).alias("x"), F.size("rest").cast("long").alias("n")), "x").select(F.col("x_name").alias("other"), F.col("n").alias("rest"))
+
+
+@named(GRAPH_SQL + "SELECT DISTINCT p_name FROM phrase WHERE list_contains(w, 'red')")
+def p17_contains(spark, d):
     g = graph(spark, d)
     red = node_id(F.lit("Item"), F.lit("red"))
     hit = g.by_type("Phrase").where(F.array_contains("outgoing", red)).select("atom_id", F.posexplode("outgoing").alias("pos", "c"))
@@ -401,6 +410,16 @@ def p19_scope(spark, d):
     return spark.range(1).select(F.lit(alpha_equal(f.body, g.body)).alias("same"), F.lit(alpha_equal(f.body, h.body)).alias("other"))
 
 
+@named(GRAPH_SQL + "SELECT count(*) AS n FROM member")
+def p20_self_ground(spark, d):
+    """A query stored beside the data isn't an answer to itself."""
+    g = graph(spark, d)
+    body = Link("Member", Var("x"), Var("y"))
+    g = g.insert(src.rows_of(g, [body])).stored()
+    own = g.atoms.where(F.col("type") == "Variable").select(F.col("atom_id").alias("x"))
+    return planner.meet(["x", "y"], [Match(body)], g).join(own, "x", "left_anti").agg(F.count("*").alias("n"))
+
+
 @named(GRAPH_SQL + "SELECT x FROM member WHERE xt = 'SupplierNode' AND y = 'NATION_7'")
 def p21_typed_variable(spark, d):
     g = graph(spark, d)
@@ -456,6 +475,36 @@ def p28_unify(spark, d):
 # ---- types -----------------------------------------------------------------------------------
 
 
+@named(GRAPH_SQL + "SELECT x, y FROM member WHERE xt = 'NationNode'")
+def v1_v4_typed_list(spark, d):
+    """Variables in declaration order, each with its type."""
+    g = graph(spark, d)
+    nation, region = TypeSpec.exact("NationNode"), TypeSpec.exact("RegionNode")
+    return label(g, planner.meet(["x", "y"], [Match(Link("Member", Var("x", nation), Var("y", region)))], g), x="x", y="y")
+
+
+@named(GRAPH_SQL + "SELECT type, count(*) AS n FROM atom WHERE type IN ('NationNode', 'RegionNode') GROUP BY type")
+def v9_intersection(spark, d):
+    g = graph(spark, d)
+    spec = TypeSpec.inherits(g.lattice, "Concept") & TypeSpec.inherits(g.lattice, "Place")
+    return g.atoms.where(spec.admits(F.col("type"))).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@named("SELECT DISTINCT n_name AS name, 'place' AS signature FROM nation")
+def v15_typed_atom(spark, d):
+    """One signature an atom; a second one for the same atom doesn't replace it."""
+    n = table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    given = n.withColumn("signature", F.lit("place")).withColumn("at", F.lit(0)).unionByName(n.withColumn("signature", F.lit("other")).withColumn("at", F.lit(1)))
+    return space.earliest(given, ["name"], [F.col("at")]).select("name", "signature")
+
+
+@named(GRAPH_SQL + "SELECT DISTINCT y FROM member WHERE xt = 'SupplierNode'")
+def v16_type_wildcard(spark, d):
+    g = graph(spark, d)
+    any_supplier = Var("_any", TypeSpec.exact("SupplierNode"))
+    return label(g, planner.meet(["y"], [Match(Link("Member", any_supplier, Var("y")))], g), y="y")
+
+
 @named(GRAPH_SQL + "SELECT type, count(*) AS n FROM atom WHERE type IN ('CustomerNode', 'SupplierNode') GROUP BY type")
 def v5_v8_types(spark, d):
     g = graph(spark, d)
@@ -531,6 +580,17 @@ def b6_closed(spark, d):
     return spark.range(1).select(F.lit(is_closed(Link("List", Node("Concept", "a")))).alias("a"), F.lit(is_closed(Link("List", Var("a")))).alias("b"))
 
 
+CELLS = [f"c{r}{c}" for r in range(3) for c in range(3)]
+LATIN = [(a, b_) for i, a in enumerate(CELLS) for b_ in CELLS[i + 1 :] if a[1] == b_[1] or a[2] == b_[2]]
+
+
+@named("WITH v(v) AS (VALUES (1), (2), (3)) SELECT " + ", ".join(f"{c}.v AS {c}" for c in CELLS) + " FROM " + ", ".join(f"v {c}" for c in CELLS) + " WHERE c00.v = 1 AND " + " AND ".join(f"{a}.v <> {b_}.v" for a, b_ in LATIN))
+def b5_constraint_search(spark, d):
+    """Latin squares of order 3 with a 1 in the corner: every join prunes by the constraints so far."""
+    values_ = spark.createDataFrame([(1,), (2,), (3,)], "value int")
+    return coll.exclusive_search([(c, values_) for c in CELLS], LATIN, {"c00": F.lit(1)}).select(*CELLS)
+
+
 @named("SELECT o_custkey AS c, list_contains(list(DISTINCT o_orderstatus), 'P') AS has_p, len(list_filter(list(DISTINCT o_orderstatus), lambda x: x NOT IN ('F', 'O'))) = 0 AS only_fo FROM orders GROUP BY 1")
 def b7_b8_member_subset(spark, d):
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.collect_set("o_orderstatus").alias("s"))
@@ -948,6 +1008,15 @@ def f26_collection_of(spark, d):
     return c.select("n", F.size("s").cast("long").alias("as_set"), F.size("l").cast("long").alias("as_list"))
 
 
+@named(VSQL + "SELECT p_partkey, round(2 * a0 + 5, 6) AS x FROM q")
+def f27_term_reduction(spark, d):
+    """x + 2 + x + 3 reduces to 2x + 5 before it runs."""
+    x = Var("x")
+    term = algebra.reduce_term(Link("Plus", x, algebra.number(2), x, algebra.number(3)))
+    assert term == Link("Plus", Link("Times", algebra.number(2), x), algebra.number(5))
+    return vecs(spark, d).select("p_partkey", F.round(algebra.column(term, {"x": F.slice("a", 1, 1)})[0], 6).alias("x"))
+
+
 @named(VSQL + "SELECT p_partkey, round((a0::FLOAT + c0::FLOAT)::DOUBLE, 3) AS x FROM q")
 def f28_float32(spark, d):
     s = v.float32(v.plus(v.float32(F.col("a")), v.float32(F.col("c"))))
@@ -1012,6 +1081,34 @@ def r10_x1_execution(spark, d):
     return table(spark, d, "part").select("p_partkey", n("p_name").alias("n"))
 
 
+@named("WITH RECURSIVE f(i, x) AS (SELECT 1, 1::BIGINT UNION ALL SELECT i + 1, x * (i + 1) FROM f WHERE i < 6) SELECT i, x FROM f")
+def r11_defined_procedure(spark, d):
+    """A named procedure that goes on with its own result: factorials up to 6."""
+    start = spark.createDataFrame([(1, 1)], "i int, x long")
+    return planner.repeat(start, lambda new: new.where("i < 6").select((F.col("i") + 1).alias("i"), (F.col("x") * (F.col("i") + 1)).alias("x")))
+
+
+@named("SELECT 2::BIGINT AS inside, 1::BIGINT AS outside")
+def r12_r13_pure(spark, d):
+    """A change in a layer of its own leaves what is below as it was; a plan that isn't run does nothing."""
+    below = Graph(spark)
+    below.add_node("Concept", "a")
+    above = below.child()
+    above.add_node("Concept", "b")
+    return above.space.atoms.agg(F.count("*").alias("inside")).crossJoin(below.space.atoms.agg(F.count("*").alias("outside")))
+
+
+@named("SELECT 'cat' AS germ, 'the' AS connector UNION ALL SELECT 'cat', 'runs' UNION ALL SELECT 'dog', 'the'")
+def r16_sections(spark, d):
+    """Germs and connectors of sections, by lookup on the edges."""
+    g = Space.empty(spark)
+    word = lambda w: Node("Concept", w)
+    made = [Link("Section", word("cat"), Link("List", word("the"), word("runs"))), Link("Section", word("dog"), Link("List", word("the")))]
+    g = g.insert(src.rows_of(g, made)).stored()
+    sec = g.by_type("Section").select(F.get("outgoing", F.lit(0)).alias("germ"), F.get("outgoing", F.lit(1)).alias("link_id"))
+    return label(g, sec.join(g.edges, "link_id").select("germ", F.col("child_id").alias("connector")), germ="germ", connector="connector")
+
+
 @named("SELECT c_custkey, CASE WHEN list_contains(t, 'view') THEN 'seen' ELSE 'new' END AS state FROM (SELECT DISTINCT user_id AS c_custkey FROM events) LEFT JOIN (SELECT user_id, list(event_type) AS t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r <= 3 GROUP BY 1) ON user_id = c_custkey")
 def r14_machine(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

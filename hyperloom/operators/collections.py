@@ -81,6 +81,10 @@ def exclusive_search(domains: list[tuple[str, DataFrame]], different: list[tuple
         if out is None:
             out = d
             continue
-        tests = [F.col(a) != F.col(b) for a, b in different if v in (a, b) and ({a, b} - {v}) <= set(out.columns)]
-        out = out.join(d, reduce(lambda x, y: x & y, tests), "inner") if tests else out.crossJoin(d)
+        rivals = sorted({x for pair in different if v in pair for x in pair if x != v and x in out.columns})
+        # the domain comes as one array beside each row, so partitions don't multiply, and one
+        # membership test prunes: chains of inequalities would make the optimizer infer from every pair
+        out = out.crossJoin(d.agg(F.collect_set(v).alias("_d"))).withColumn(v, F.explode("_d")).drop("_d")
+        if rivals:
+            out = out.where(~F.array_contains(F.array(*rivals), F.col(v)))
     return out

@@ -137,6 +137,8 @@ class Planner:
 
     def globbed(self, term: t.Link, me: str) -> DataFrame:
         """Every way to cut the outgoing list into the term's slots; a glob is an array column."""
+        if self.space.lattice.unordered(term.type):
+            return self.sparse(term, me)
         df = self.space.atoms.where((F.col("type") == term.type) & ~F.col("is_node")).select("atom_id", "outgoing", F.lit(0).alias("_at"))
         cols: dict[str, Column] = {}
         rest_low = [sum(x.bounds[0] if isinstance(x, t.Glob) else 1 for x in term.out[i + 1 :]) for i in range(len(term.out))]
@@ -177,6 +179,33 @@ class Planner:
                     df = df.join(bad, [me, x.name], "left_anti")
         return df
 
+    def sparse(self, term: t.Link, me: str) -> DataFrame:
+        """Unordered links that hold the term's children; its one glob takes the rest."""
+        globs = [x for x in term.out if isinstance(x, t.Glob)]
+        if len(globs) != 1:
+            raise PlanError("an unordered term may have one glob")
+        df = self.space.atoms.where((F.col("type") == term.type) & ~F.col("is_node")).select("atom_id", F.col("outgoing").alias("_rest"))
+        cols: list[str] = []
+
+        def without(at: Column) -> Column:
+            return F.concat(F.slice("_rest", 1, at - 1), F.slice("_rest", at + 1, F.size("_rest")))
+
+        for x in sorted(term.out, key=lambda x: not isinstance(x, t.Node)):
+            if isinstance(x, t.Node):
+                at = F.array_position("_rest", node_id(F.lit(x.type), F.lit(x.name))).cast("int")
+                df = df.withColumn("_at", at).where("_at > 0").withColumn("_rest", without(F.greatest(F.col("_at"), F.lit(1)))).drop("_at")
+            elif isinstance(x, t.Var):
+                df = df.select("*", F.posexplode("_rest").alias("_at", "_x"))
+                df = df.where(F.col("_x") == F.col(x.name)) if x.name in cols else df.withColumn(x.name, F.col("_x"))
+                df = df.withColumn("_rest", without(F.col("_at") + 1)).drop("_at", "_x")
+                cols = list(dict.fromkeys([*cols, x.name]))
+            elif not isinstance(x, t.Glob):
+                raise PlanError("a term with globs may hold nodes, variables and globs")
+        low, high = globs[0].bounds
+        n = F.size("_rest")
+        df = df.where((n >= low) & (F.lit(True) if high is None else n <= high))
+        return df.select(F.col("atom_id").alias(me), *cols, F.col("_rest").alias(globs[0].name)).distinct()
+
     # -- bodies
 
     def body(self, body: Any) -> DataFrame:
