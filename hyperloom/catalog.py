@@ -6,6 +6,7 @@ A query takes (spark, sf_dir). Keys start with the operator's survey id.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,7 +63,18 @@ def nid(kind: str, c: str):
     return node_id(F.lit(kind), F.col(c))
 
 
+_STORED: dict[tuple[str, str], Space] = {}
+
+
 def graph(spark: SparkSession, d: str) -> Space:
+    """The graph of a folder, stored once an application: later queries read the stored table."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        _STORED[key] = build_graph(spark, d)
+    return replace(_STORED[key], lattice=Lattice().load(LATTICE))
+
+
+def build_graph(spark: SparkSession, d: str) -> Space:
     """Places and parties: Member(nation, region), Member(customer | supplier, nation), Edge("segment",
     List(customer, segment)), Neighbours{nation, next nation} and Phrase(word ...) of part names;
     customers' balances as values."""
