@@ -29,7 +29,7 @@ CAPACITY = 4096
 END = 1
 #: Distinct words whose ids a worker remembers.
 MEMO_WORDS = 600_000
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 #: Words of Latin-1 letters, with a stop or comma: the tokenizer's own splitting has nothing to decide there.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
@@ -176,7 +176,10 @@ class Encoder(dict):
             plain = _PLAIN.fullmatch(word)
             if plain:
                 letters, stop = plain.groups()
-                ids = array("I", [t.id for t in self.merge(letters.lower().encode().decode("latin-1").translate(self.characters))]).tobytes()
+                low = letters.lower()
+                if not low.isascii():
+                    low = low.encode().decode("latin-1").translate(self.characters)
+                ids = array("I", [t.id for t in self.merge(low)]).tobytes()
                 if stop:
                     ids += self[stop]
             else:
@@ -185,7 +188,7 @@ class Encoder(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if any(c in text for c in _ODD):
             return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) > MEMO_WORDS:
             self.older = dict(self)
@@ -212,8 +215,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         encode = Encoder.of(where)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py() or "") + end
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids = encode(text or "") + end
                 for p, i in enumerate(range(0, len(ids), width)):
                     part = ids[i : i + width]
                     for c, x in zip(rows, (doc, p, i // 4, len(part) // 4, zlib.crc32(part)), strict=True):
