@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from . import cluster
 
-JUMPS = 2
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of ``edges`` (columns a, b: long): comp is the least node of its component.
 
     Each round every node that has a smaller neighbour takes the least one as its parent,
-    parents are followed a few steps, and the edges are rewritten to what they lead to;
+    parents are followed one step, and the edges are rewritten to what they lead to;
     the edges that are left join different trees. All of it is aggregations and joins on
     distributed tables, written after each round; the driver only learns whether edges remain.
     """
@@ -23,11 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
     labels: DataFrame | None = None
     while True:
-        parent = e.groupBy("a").agg(F.min("b").alias("p"))
-        for _ in range(JUMPS):
-            up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-            parent = parent.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p"))
-        parent = cluster.materialise(parent)
+        # written before it meets itself: a parent of many nodes is a hot key there, which
+        # Spark can split where both sides of the join come straight from a table
+        parent = cluster.materialise(e.groupBy("a").agg(F.min("b").alias("p")))
+        up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+        parent = cluster.materialise(parent.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p")))
         if labels is None:
             labels = nodes.join(parent, nodes["node"] == parent["a"], "left").select("node", F.coalesce("p", "node").alias("comp"))
         else:
