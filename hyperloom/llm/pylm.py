@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cluster
@@ -41,6 +41,8 @@ EXACT = 64
 #: Tokens that a map task gathers before it deals them out, and text bytes behind one shard.
 GATHER_TOKENS, GATHER_DOCS = 1 << 21, 60_000
 SHARD_BYTES = 20 << 20
+#: A task deals to at most about so many others at once; beyond, tokens go by way of coarse shards and are merged there.
+MOST_FAN = 2048
 #: Text characters sampled to find the words that need more than one task (balance only; results don't depend on it).
 HOT_SAMPLE_CHARS = 8_000_000
 STAT_BLOCK = 1024
@@ -209,8 +211,35 @@ def draw_tables(c: np.ndarray, p: np.ndarray, strength: np.ndarray, d: float, rn
 DEALT = "shard int, g long, body binary, doc_ids array<long>, held array<boolean>, sizes array<int>"
 
 
-def deal(docs: DataFrame, hot: Hot, shards: int) -> DataFrame:
-    """Tokens by shard: for a group g of documents, sorted keys with their tokens' contexts and document numbers.
+def cut(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, grp: np.ndarray, groups: list[int], shards: int, fan: int) -> list[tuple[int, bytes]]:
+    """(first shard, body) for each run of ``fan`` shards that some tokens fall to."""
+    order = np.argsort(key)
+    key, ctx, doc, grp = key[order], ctx[order], doc[order], grp[order]
+    cuts = np.searchsorted(shard_of(key, shards) // fan, np.arange(-(-shards // fan) + 1))
+    out = []
+    for s in np.flatnonzero(np.diff(cuts)):
+        a, b = cuts[s], cuts[s + 1]
+        k, count = np.unique(key[a:b], return_counts=True)
+        own, g = np.unique(grp[a:b], return_inverse=True)
+        out.append((int(s) * fan, packed(k, count.astype(np.uint32), ctx[a:b], doc[a:b], g.astype(np.uint32), np.array(groups, np.int64)[own])))
+    return out
+
+
+def joined(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The tokens of several bodies: key, context, document, number of the group, and the groups."""
+    key, ctx, doc, grp, groups = [], [], [], [], []
+    for body in bodies:
+        k, count, c, n, g, own = unpacked(body)
+        key.append(np.repeat(k, count))
+        ctx.append(c)
+        doc.append(n)
+        grp.append(g + np.uint32(len(groups)))
+        groups += own.tolist()
+    return (*(np.concatenate(x) for x in (key, ctx, doc, grp)), groups)
+
+
+def deal(docs: DataFrame, hot: Hot, shards: int, fan: int = 1) -> DataFrame:
+    """Tokens by runs of ``fan`` shards: for a group g of documents, sorted keys with their tokens' contexts and document numbers.
 
     A row of shard -1 - k holds the group's document ids. docs: doc_id, text, held.
     """
@@ -226,14 +255,10 @@ def deal(docs: DataFrame, hot: Hot, shards: int) -> DataFrame:
             key, c, n = np.concatenate(w), np.concatenate(ctx), np.concatenate(doc)
             key = shipped.value.deal(key, c)
             flag = np.array(held, bool)[n]
-            order = np.argsort(key)
-            key, c, n = key[order], c[order] | (flag[order].astype(np.uint32) << np.uint32(CONTEXT_BITS)), n[order].astype(np.uint16)
-            cuts = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
+            c = c | (flag.astype(np.uint32) << np.uint32(CONTEXT_BITS))
             g = (pid << 24) + group
             rows = [(-1 - g % shards, g, None, ids[:], held[:], sizes[:])]
-            for s in np.flatnonzero(np.diff(cuts)):
-                k, count = np.unique(key[cuts[s] : cuts[s + 1]], return_counts=True)
-                rows.append((int(s), g, packed(k, count.astype(np.uint32), c[cuts[s] : cuts[s + 1]], n[cuts[s] : cuts[s + 1]]), None, None, None))
+            rows += [(shard, g, body, None, None, None) for shard, body in cut(key, c, n.astype(np.uint16), np.zeros(len(key), np.uint32), [g], shards, fan)]
             for x in (w, ctx, doc, ids, held, sizes):
                 x.clear()
             group += 1
@@ -260,6 +285,39 @@ def deal(docs: DataFrame, hot: Hot, shards: int) -> DataFrame:
     return docs.mapInArrow(work, DEALT)
 
 
+def place_of(shards: int, fan: int) -> Column:
+    """The partition of a row: ids of documents go with the shard that their group falls to."""
+    at = F.when(F.col("shard") < 0, -1 - F.col("shard")).otherwise(F.col("shard"))
+    return F.floor(at / fan).cast("int")
+
+
+def merged(dealt: DataFrame, shards: int, fan: int) -> DataFrame:
+    """The second hop: what came for a run of shards is merged over groups and dealt to its shards, so that bodies stay large."""
+
+    def work(batches):
+        held, have = [], 0
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()))
+        names = [x.split()[0] for x in DEALT.split(", ")]
+
+        def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["shard"] < 0:
+                    yield as_batch([tuple(r[n] for n in names)])
+                    continue
+                held.append(r["body"])
+                have += len(r["body"])
+                if have >= 4 * GATHER_TOKENS:
+                    yield as_batch([(shard, 0, body, None, None, None) for shard, body in cut(*joined(held), shards, 1)])
+                    held, have = [], 0
+        if held:
+            yield as_batch([(shard, 0, body, None, None, None) for shard, body in cut(*joined(held), shards, 1)])
+
+    return dealt.repartitionById(-(-shards // fan), place_of(shards, fan)).mapInArrow(work, DEALT)
+
+
 BUILT = "shard int, g long, body binary, doc_ids array<long>, held array<boolean>, sizes array<int>, stats array<binary>, hot array<struct<i:int,c:long,t:long>>, n long, v long, t1 long"
 
 
@@ -270,16 +328,11 @@ def build(dealt: DataFrame, hot: Hot, shards: int) -> DataFrame:
     """
     shipped = dealt.sparkSession.sparkContext.broadcast(hot)
 
-    def build_one(shard: int, groups: list[int], bodies: list[bytes]) -> tuple:
+    def build_one(shard: int, bodies: list[bytes]) -> tuple:
         hot = shipped.value
-        key, ctx, doc, grp = [], [], [], []
-        for i, body in enumerate(bodies):
-            k, count, c, n = unpacked(body)
-            key.append(np.repeat(k, count))
-            ctx.append(c)
-            doc.append(n)
-            grp.append(np.full(len(c), i, np.uint32))
-        key, ctx, doc, grp = (np.concatenate(x) for x in (key, ctx, doc, grp))
+        key, ctx, doc, grp, every = joined(sorted(bodies))
+        groups, of = np.unique(np.array(every, np.int64), return_inverse=True)
+        grp = of[grp].astype(np.uint32)
         words, word = np.unique(key, return_inverse=True)
         del key
         mask = np.uint32(CONTEXTS - 1)
@@ -315,7 +368,7 @@ def build(dealt: DataFrame, hot: Hot, shards: int) -> DataFrame:
             x[1] += int(cw1[i])
         hots = [{"i": i, "c": x[0], "t": x[1]} for i, x in sums.items()]
         hot_of = np.where(is_hot, which[at] if len(keys) else 0, -1).astype(np.int32)
-        body = packed(hot_of, cw, np.diff(np.searchsorted(pw, np.arange(len(words) + 1))).astype(np.uint32), pc.astype(np.uint32), c.astype(np.uint32), t.astype(np.uint32), many.astype(np.uint32), doc, grp, np.array(groups, np.int64))
+        body = packed(hot_of, cw, np.diff(np.searchsorted(pw, np.arange(len(words) + 1))).astype(np.uint32), pc.astype(np.uint32), c.astype(np.uint32), t.astype(np.uint32), many.astype(np.uint32), doc, grp, groups)
         return (shard, None, body, None, None, None, stats, hots, n, v, int(t1.sum()))
 
     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.struct([("i", pa.int32()), ("c", pa.int64()), ("t", pa.int64())])), pa.int64(), pa.int64(), pa.int64())
@@ -325,23 +378,17 @@ def build(dealt: DataFrame, hot: Hot, shards: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def work(batches):
-        parts: dict[int, tuple[list[int], list[bytes]]] = {}
+        parts: dict[int, list[bytes]] = {}
         for batch in batches:
             for r in batch.to_pylist():
                 if r["shard"] < 0:
                     yield as_batch([(r["shard"], r["g"], None, r["doc_ids"], r["held"], r["sizes"], None, None, 0, 0, 0)])
                 else:
-                    part = parts.setdefault(r["shard"], ([], []))
-                    part[0].append(r["g"])
-                    part[1].append(r["body"])
+                    parts.setdefault(r["shard"], []).append(r["body"])
         for shard in sorted(parts):
-            groups, bodies = parts.pop(shard)
-            order = sorted(range(len(groups)), key=groups.__getitem__)
-            yield as_batch([build_one(shard, [groups[i] for i in order], [bodies[i] for i in order])])
+            yield as_batch([build_one(shard, parts.pop(shard))])
 
-    # a shard is a partition: ids of documents go with the shard that their group falls to
-    at = F.when(F.col("shard") < 0, -1 - F.col("shard")).otherwise(F.col("shard")).cast("int")
-    return dealt.repartitionById(shards, at).mapInArrow(work, BUILT)
+    return dealt.repartitionById(shards, place_of(shards, 1)).mapInArrow(work, BUILT)
 
 
 def totals(built: DataFrame, hot: Hot) -> dict:
@@ -374,8 +421,8 @@ def totals(built: DataFrame, hot: Hot) -> dict:
 
 
 
-def score_shard(shard: int, body: bytes, all_: dict) -> list[tuple]:
-    """Gibbs sweeps over a shard's seating, then each group's sums by document."""
+def score_shard(shard: int, body: bytes, all_: dict, parts: int) -> list[tuple]:
+    """Gibbs sweeps over a shard's seating, then sums by document, one row for each task that gathers some."""
     hot_of, cw, per_word, pc, c, t, many, doc, grp, groups = unpacked(body)
     pw = np.repeat(np.arange(len(cw)), per_word)
     c, t, pc = c.astype(np.int64), t.astype(np.int64), pc.astype(np.int64)
@@ -401,22 +448,29 @@ def score_shard(shard: int, body: bytes, all_: dict) -> list[tuple]:
     pair_score = np.log10(mean / SAMPLES)
     word_base = np.log10((cw + 1.0) / (n + v + 1.0))
     score, flat = np.repeat(pair_score, many), np.repeat(pw, many)
+    # sums by (group, document), the groups in order of the task that gathers them
+    to = part_of(groups, parts)
+    rank = np.lexsort((groups, to))
+    place = np.empty(len(groups), np.int64)
+    place[rank] = np.arange(len(groups))
+    at, known = (place[grp] << 16) | doc, cw[flat] > 0
+    slot, which = np.unique(at, return_inverse=True)
+    s, b = np.bincount(which, weights=score), np.bincount(which, weights=word_base[flat])
+    k = np.bincount(which, weights=known).astype(np.uint32)
+    home = to[rank[slot >> 16]]
+    cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else []
     out = []
-    order = np.argsort(grp, kind="stable")
-    cuts = np.searchsorted(grp[order], np.arange(len(groups) + 1))
-    for i, g in enumerate(groups):
-        rows = order[cuts[i] : cuts[i + 1]]
-        if len(rows):
-            d = doc[rows]
-            size = int(d.max()) + 1
-            w = flat[rows]
-            known = np.bincount(d, weights=cw[w] > 0, minlength=size).astype(np.uint32)
-            hits = np.flatnonzero(np.bincount(d, minlength=size))
-            s, b = np.bincount(d, weights=score[rows], minlength=size), np.bincount(d, weights=word_base[w], minlength=size)
-            out.append((int(g), packed(hits.astype(np.uint16), known[hits]), s[hits].astype("<f4").tobytes(), b[hits].astype("<f8").tobytes()))
+    for i, j in zip(cuts, [*cuts[1:], len(slot)], strict=True):
+        own, g = np.unique(slot[i:j] >> 16, return_inverse=True)
+        out.append((int(home[i]), packed(groups[rank[own]], g.astype(np.uint32), (slot[i:j] & 0xFFFF).astype(np.uint16), k[i:j]), s[i:j].astype("<f4").tobytes(), b[i:j].astype("<f8").tobytes()))
     return out
 
 
+def part_of(g: np.ndarray, parts: int) -> np.ndarray:
+    """The gathering task of each group of documents."""
+    return (mix64(np.asarray(g, np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -424,48 +478,50 @@ def score(built: DataFrame, all_: dict) -> DataFrame:
     sc = built.sparkSession.sparkContext
     shipped = sc.broadcast(all_)
 
+    parts = cluster.parts(built.sparkSession)
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()))
+    summed = "part int, docs binary, score binary, base binary, g long, doc_ids array<long>, held array<boolean>, sizes array<int>"
+
     def sums(batches):
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()))
-        names = ["g", "docs", "score", "base", "doc_ids", "held", "sizes"]
+        names = [x.split()[0] for x in summed.split(", ")]
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
                 if r["shard"] < 0:
-                    rows = [(r["g"], None, None, None, r["doc_ids"], r["held"], r["sizes"])]
+                    rows = [(int(part_of([r["g"]], parts)[0]), None, None, None, r["g"], r["doc_ids"], r["held"], r["sizes"])]
                 else:
-                    rows = [(*x, None, None, None) for x in score_shard(r["shard"], r["body"], shipped.value)]
+                    rows = [(*x, None, None, None, None) for x in score_shard(r["shard"], r["body"], shipped.value, parts)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def gather(batches):
-        held: dict | None = None
+        held: dict[int, dict] = {}
         n = shipped.value["n"]
-
-        def done():
-            k = len(held["ids"])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(held["ids"], pa.int64()), pa.array(held["held"], pa.bool_()), pa.array(held["sizes"], pa.int64()), pa.array(held["known"]), pa.array(np.full(k, n, np.int64)), pa.array(held["base"]), pa.array(held["score"])],
-                names=[x.split()[0] for x in RESULT.split(", ")],
-            )
-
         for batch in batches:
             for r in batch.to_pylist():
-                if r["doc_ids"] is not None:  # comes first in its group
-                    if held is not None:
-                        yield done()
+                if r["g"] is not None:  # all of a task's documents come before their sums
                     k = len(r["doc_ids"])
-                    held = {"ids": r["doc_ids"], "held": r["held"], "sizes": r["sizes"], "known": np.zeros(k, np.int64), "base": np.zeros(k), "score": np.zeros(k)}
-                else:
-                    at, known = unpacked(r["docs"])
-                    held["known"][at] += known
-                    held["score"][at] += np.frombuffer(r["score"], "<f4")
-                    held["base"][at] += np.frombuffer(r["base"], "<f8")
-        if held is not None:
-            yield done()
+                    held[r["g"]] = {"ids": r["doc_ids"], "held": r["held"], "sizes": r["sizes"], "known": np.zeros(k, np.int64), "base": np.zeros(k), "score": np.zeros(k)}
+                    continue
+                groups, g, doc, known = unpacked(r["docs"])
+                score_, base = np.frombuffer(r["score"], "<f4"), np.frombuffer(r["base"], "<f8")
+                cuts = np.searchsorted(g, np.arange(len(groups) + 1))
+                for i, own in enumerate(groups.tolist()):
+                    mine = slice(cuts[i], cuts[i + 1])
+                    x, at = held[own], doc[mine]
+                    x["known"][at] += known[mine]
+                    x["score"][at] += score_[mine]
+                    x["base"][at] += base[mine]
+        for g in sorted(held):
+            x = held.pop(g)
+            k = len(x["ids"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x["ids"], pa.int64()), pa.array(x["held"], pa.bool_()), pa.array(x["sizes"], pa.int64()), pa.array(x["known"]), pa.array(np.full(k, n, np.int64)), pa.array(x["base"]), pa.array(x["score"])],
+                names=[y.split()[0] for y in RESULT.split(", ")],
+            )
 
-    summed = built.select("shard", "g", "body", "doc_ids", "held", "sizes").mapInArrow(sums, "g long, docs binary, score binary, base binary, doc_ids array<long>, held array<boolean>, sizes array<int>")
-    dealt = summed.repartition(cluster.parts(built.sparkSession), "g").sortWithinPartitions("g", F.col("doc_ids").isNull())
-    return dealt.mapInArrow(gather, RESULT)
+    found = built.select("shard", "g", "body", "doc_ids", "held", "sizes").mapInArrow(sums, summed)
+    return found.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("g").isNull()).mapInArrow(gather, RESULT)
 
 
 def train_and_score(docs: DataFrame) -> DataFrame:
@@ -477,7 +533,9 @@ def train_and_score(docs: DataFrame) -> DataFrame:
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(cluster.parts(docs.sparkSession), math.ceil(chars / SHARD_BYTES))
     hot = find_hot(docs, shards, chars)
-    built = cluster.materialise(build(deal(docs.select("doc_id", "text", "held"), hot, shards), hot, shards))
+    fan = -(-shards // MOST_FAN)
+    dealt = deal(docs.select("doc_id", "text", "held"), hot, shards, fan)
+    built = cluster.materialise(build(dealt if fan == 1 else merged(dealt, shards, fan), hot, shards))
     return score(built, totals(built, hot))
 
 

@@ -179,6 +179,18 @@ def test_lm_counts_and_base(results, documents):
     assert sum(r["score"] for r in seen) > sum(r["base_score"] for r in seen)
 
 
+def test_lm_by_way_of_coarse_shards(spark, tables, results, monkeypatch):
+    """More shards than a task may deal to: tokens take a second hop, and nothing changes but the seating's random numbers."""
+    from hyperloom.llm import cluster
+
+    monkeypatch.setattr(pylm, "MOST_FAN", 2)
+    monkeypatch.setattr(pylm, "SHARD_BYTES", 60_000)
+    docs = cluster.table(spark, tables, "documents").select("doc_id", "text", cluster.fold("doc_id", 7, 2).alias("held"))
+    keys = ("doc_id", "n_tokens", "n_known", "train_tokens")
+    got = Counter((*(r[k] for k in keys), round(r["base_score"], 3)) for r in pylm.train_and_score(docs).collect())
+    assert got == Counter((*(r[k] for k in keys), round(r["base_score"], 3)) for r in results("op4_lm_score"))
+
+
 def test_table_numbers_follow_the_restaurant():
     """Drawn numbers of tables against seating customer by customer (one dish, base probability 1)."""
     rng = np.random.default_rng(1)
