@@ -40,7 +40,7 @@ BURN_IN, SAMPLES = 1, 3
 EXACT = 64
 #: Tokens that a map task gathers before it deals them out, and text bytes behind one shard.
 GATHER_TOKENS, GATHER_DOCS = 1 << 21, 60_000
-SHARD_BYTES = 20 << 20
+SHARD_BYTES = 8 << 20
 #: A task deals to at most about so many others at once; beyond, tokens go by way of coarse shards and are merged there.
 MOST_FAN = 2048
 #: Text characters sampled to find the words that need more than one task (balance only; results don't depend on it).
@@ -334,11 +334,12 @@ def build(dealt: DataFrame, hot: Hot, shards: int) -> DataFrame:
         groups, of = np.unique(np.array(every, np.int64), return_inverse=True)
         grp = of[grp].astype(np.uint32)
         words, word = np.unique(key, return_inverse=True)
-        del key
+        del key, bodies, every, of
         mask = np.uint32(CONTEXTS - 1)
         pair = (word.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | (ctx & mask)
         order = np.argsort(pair, kind="stable")
         pair, doc, grp, train = pair[order], doc[order], grp[order], (ctx[order] >> np.uint32(CONTEXT_BITS)) == 0
+        del order, word, ctx
         first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
         many = np.diff(np.append(first, len(pair)))
         c = np.add.reduceat(train.astype(np.int64), first)
@@ -449,6 +450,7 @@ def score_shard(shard: int, body: bytes, all_: dict, parts: int) -> list[tuple]:
     word_base = np.log10((cw + 1.0) / (n + v + 1.0))
     score, flat = np.repeat(pair_score, many), np.repeat(pw, many)
     # sums by (group, document), the groups in order of the task that gathers them
+    del pair_score, mean, back, cu, tu, pw, pc, c, t
     to = part_of(groups, parts)
     rank = np.lexsort((groups, to))
     place = np.empty(len(groups), np.int64)
