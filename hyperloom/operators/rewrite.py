@@ -51,29 +51,27 @@ def spanning_tree(edges: DataFrame, rounds: int = 40) -> DataFrame:
     A round picks for every component the heaviest edge that leaves it, joins what those
     connect, and relabels; at most log2(nodes) rounds, none of which leaves the cluster.
     """
-    from .containment import written as keep
-
-    e = keep(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.max("w").alias("w")))
-    label = keep(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("c", F.col("node")))
+    e = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.max("w").alias("w")))
+    label = written(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("c", F.col("node")))
     chosen: DataFrame | None = None
     for _ in range(rounds):
         la, lb = label.select(F.col("node").alias("a"), F.col("c").alias("ca")), label.select(F.col("node").alias("b"), F.col("c").alias("cb"))
         cross = e.join(la, "a").join(lb, "b").where("ca != cb")
         rank = F.struct("w", -F.col("a"), -F.col("b"), "ca", "cb")
-        best = keep(cross.select(F.col("ca").alias("c"), rank.alias("r")).union(cross.select("cb", rank)).groupBy("c").agg(F.max("r").alias("r")))
+        best = written(cross.select(F.col("ca").alias("c"), rank.alias("r")).union(cross.select("cb", rank)).groupBy("c").agg(F.max("r").alias("r")))
         if best.isEmpty():
             break
         new = best.select((-F.col("r.col2")).alias("a"), (-F.col("r.col3")).alias("b"), F.col("r.w").alias("w")).distinct()
-        chosen = keep(new if chosen is None else chosen.union(new).distinct())
+        chosen = written(new if chosen is None else chosen.union(new).distinct())
         # labels: least component reachable over the chosen links
-        link = keep(best.select(F.col("r.ca").alias("x"), F.col("r.cb").alias("y")).distinct())
+        link = written(best.select(F.col("r.ca").alias("x"), F.col("r.cb").alias("y")).distinct())
         both = link.union(link.select("y", "x"))
-        low = keep(both.select("x").distinct().withColumn("m", F.col("x")))
+        low = written(both.select("x").distinct().withColumn("m", F.col("x")))
         for _ in range(rounds):
-            nxt = keep(both.join(low.select(F.col("x").alias("y"), "m"), "y").groupBy("x").agg(F.min("m").alias("o")).join(low, "x").select("x", F.least("m", "o").alias("m")))
+            nxt = written(both.join(low.select(F.col("x").alias("y"), "m"), "y").groupBy("x").agg(F.min("m").alias("o")).join(low, "x").select("x", F.least("m", "o").alias("m")))
             same = nxt.join(low.withColumnRenamed("m", "was"), "x").where("m != was").isEmpty()
             low = nxt
             if same:
                 break
-        label = keep(label.join(low.withColumnRenamed("x", "c"), "c", "left").select("node", F.coalesce("m", "c").alias("c")))
+        label = written(label.join(low.withColumnRenamed("x", "c"), "c", "left").select("node", F.coalesce("m", "c").alias("c")))
     return chosen if chosen is not None else e.limit(0)
