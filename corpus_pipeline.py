@@ -17,18 +17,14 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those that no language explains better than the others."""
-    names = docs.columns
-    carried = docs.select(F.struct("*").alias("_row"), "text")
-    out = langid.identify(carried, langid.fit(docs), ["_row"])
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*[F.col("_row")[c].alias(c) for c in names])
+    out = langid.identify(cluster.as_rows(docs), langid.fit(docs), ["_row"])
+    return cluster.from_rows(out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that fail the base rules or score below the log-ratio threshold."""
-    names = docs.columns
     weights = rules.log_ratio(docs, cluster.table(spark, sf_dir, "labels"))
-    out = rules.judge(docs.select(F.struct("*").alias("_row"), "text"), weights, ["_row"])
-    return out.where("kept").select(*[F.col("_row")[c].alias(c) for c in names])
+    return cluster.from_rows(rules.judge(cluster.as_rows(docs), weights, ["_row"]).where("kept"), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

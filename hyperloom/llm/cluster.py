@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column, _row: it passes through an operator whole, and its text isn't sent twice."""
+    return docs.select(F.struct("*").alias("_row"))
+
+
+def from_rows(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select(*[F.col("_row")[c].alias(c) for c in names])
+
+
+def kept_and_text(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, and _text unless the text travels in _row."""
+    return docs.select(*keep) if "_row" in keep else docs.select(*keep, F.col("text").alias("_text"))
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column("_text") if "_text" in batch.schema.names else pc.struct_field(batch.column("_row"), "text")
+
+
 def fold(key: str, mod: int, rest: int) -> Column:
     """Whether crc32 of the key as text leaves ``rest``; a null key is in no held-out fold."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % mod == rest, F.lit(False))

@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
     def score(batches):
         for batch in batches:
             langs, scores, rates = [], [np.zeros(0)], [np.zeros(0)]
-            for run in runs(batch.column("_text")):
+            for run in runs(cluster.texts_of(batch)):
                 lang, s, r = predict(run, shipped.value)
                 langs += lang
                 scores.append(s)
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
             cols = [batch.column(k) for k in keep] + [pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(rates))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(score, schema)
+    return cluster.kept_and_text(docs, keep).mapInArrow(score, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

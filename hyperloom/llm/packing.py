@@ -28,7 +28,7 @@ from . import cluster
 CAPACITY = 4096
 END = 1
 #: Distinct words whose ids a worker remembers.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 250_000
 _ODD = "\x1c\x1d\x1e\x1f"
 #: Words of Latin-1 letters, with a stop or comma: the tokenizer's own splitting has nothing to decide there.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")

@@ -153,7 +153,7 @@ def judge(docs: DataFrame, weights: np.ndarray | None, keep: list[str], threshol
     def measure(batches):
         for batch in batches:
             cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names] + [[np.zeros(0)]]
-            for run in runs(batch.column("_text")):
+            for run in runs(cluster.texts_of(batch)):
                 for c, x in zip(cols, statistics(run), strict=False):
                     c.append(x.astype(np.int64))
                 if shipped.value is None:
@@ -163,7 +163,7 @@ def judge(docs: DataFrame, weights: np.ndarray | None, keep: list[str], threshol
                     cols[-1].append(sums(shipped.value[v], offs) / np.maximum(np.diff(offs), 1))
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(np.concatenate(c)) for c in cols], names=[*keep, *names, "llr"])
 
-    out = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(measure, schema)
+    out = cluster.kept_and_text(docs, keep).mapInArrow(measure, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 
