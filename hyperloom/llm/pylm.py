@@ -40,12 +40,14 @@ BURN_IN, SAMPLES = 1, 3
 EXACT = 64
 #: Tokens that a map task gathers before it deals them out, and text bytes behind one shard.
 GATHER_TOKENS, GATHER_DOCS = 1 << 21, 60_000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 20 << 20
 #: A task deals to at most about so many others at once; beyond, tokens go by way of coarse shards and are merged there.
 MOST_FAN = 2048
 #: Text characters sampled to find the words that need more than one task (balance only; results don't depend on it).
 HOT_SAMPLE_CHARS = 8_000_000
 STAT_BLOCK = 1024
+#: Tokens whose scores are summed by document at once.
+SUM_TOKENS = 1 << 18
 
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
@@ -449,22 +451,30 @@ def score_shard(shard: int, body: bytes, all_: dict, parts: int) -> list[tuple]:
     pair_score = np.log10(mean / SAMPLES)
     word_base = np.log10((cw + 1.0) / (n + v + 1.0))
     score, flat = np.repeat(pair_score, many), np.repeat(pw, many)
-    # sums by (group, document), the groups in order of the task that gathers them
     del pair_score, mean, back, cu, tu, pw, pc, c, t
-    to = part_of(groups, parts)
-    rank = np.lexsort((groups, to))
-    place = np.empty(len(groups), np.int64)
-    place[rank] = np.arange(len(groups))
-    at, known = (place[grp] << 16) | doc, cw[flat] > 0
-    slot, which = np.unique(at, return_inverse=True)
-    s, b = np.bincount(which, weights=score), np.bincount(which, weights=word_base[flat])
-    k = np.bincount(which, weights=known).astype(np.uint32)
-    home = to[rank[slot >> 16]]
-    cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else []
+    # sums by (group, document), a run of groups at a time
+    order = np.argsort(grp, kind="stable")
+    bounds = np.searchsorted(grp[order], np.arange(len(groups) + 1))
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    i = 0
+    while i < len(groups):
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SUM_TOKENS, "right")) - 1)
+        rows = order[bounds[i] : bounds[j]]
+        slot, which = np.unique((grp[rows].astype(np.int64) << 16) | doc[rows], return_inverse=True)
+        word = flat[rows]
+        sums = (slot, np.bincount(which, weights=cw[word] > 0).astype(np.uint32), np.bincount(which, weights=score[rows]).astype("<f4"), np.bincount(which, weights=word_base[word]).astype("<f8"))
+        for x, y in zip(found, sums, strict=True):
+            x.append(y)
+        i = j
+    slot, known, s, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+    home = part_of(groups, parts)[slot >> 16]
+    rank = np.argsort(home, kind="stable")
+    cuts = np.searchsorted(home[rank], np.arange(parts + 1))
     out = []
-    for i, j in zip(cuts, [*cuts[1:], len(slot)], strict=True):
-        own, g = np.unique(slot[i:j] >> 16, return_inverse=True)
-        out.append((int(home[i]), packed(groups[rank[own]], g.astype(np.uint32), (slot[i:j] & 0xFFFF).astype(np.uint16), k[i:j]), s[i:j].astype("<f4").tobytes(), b[i:j].astype("<f8").tobytes()))
+    for part in np.flatnonzero(np.diff(cuts)):
+        mine = rank[cuts[part] : cuts[part + 1]]
+        own, g = np.unique(slot[mine] >> 16, return_inverse=True)
+        out.append((int(part), packed(groups[own], g.astype(np.uint32), (slot[mine] & 0xFFFF).astype(np.uint16), known[mine]), s[mine].tobytes(), b[mine].tobytes()))
     return out
 
 
