@@ -29,6 +29,8 @@ CAPACITY = 4096
 END = 1
 #: Distinct words whose ids a worker remembers.
 MEMO_WORDS = 250_000
+#: Texts that a worker holds as strings at once.
+SLICE_ROWS = 500
 _ODD = "\x1c\x1d\x1e\x1f"
 #: Words of Latin-1 letters, with a stop or comma: the tokenizer's own splitting has nothing to decide there.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -213,15 +215,17 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
     def cut(batches):
         encode = Encoder.of(where)
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encode(text or "") + end
-                for p, i in enumerate(range(0, len(ids), width)):
-                    part = ids[i : i + width]
-                    for c, x in zip(rows, (doc, p, i // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(k, SLICE_ROWS)
+                rows: list[list] = [[], [], [], [], []]
+                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    ids = encode(text or "") + end
+                    for p, i in enumerate(range(0, len(ids), width)):
+                        part = ids[i : i + width]
+                        for c, x in zip(rows, (doc, p, i // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
