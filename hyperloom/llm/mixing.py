@@ -10,6 +10,7 @@ own posterior and the steps so far; nothing is joined and no row meets another.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -25,8 +26,6 @@ ROUNDS = 40
 TOLERANCE = 1e-4
 #: A text's bytes count for its posterior as if it had at most about so many, so that posteriors stay soft.
 EVIDENCE = 200.0
-#: A rate is never above this; more copies of one document teach nothing.
-MAX_RATE = 8.0
 
 
 @dataclass
@@ -101,11 +100,11 @@ def with_posterior(feats: DataFrame, mixer: Mixer, keep: list[str]) -> DataFrame
 
 
 def rate(mixer: Mixer, post: Column) -> Column:
-    """A document's rate after the steps so far: from 1, each step down the gradient, projected to [0, MAX_RATE]."""
+    """A document's rate after the steps so far: from 1, each step down the gradient, cut off below 0."""
     out = F.lit(1.0)
     for step in mixer.steps:
         move = reduce(lambda a, b: a + b, [post[d] * F.lit(x) for d, x in enumerate(step)])
-        out = F.least(F.greatest(out - move, F.lit(0.0)), F.lit(MAX_RATE))
+        out = F.greatest(out - move, F.lit(0.0))
     return out
 
 
@@ -136,6 +135,9 @@ def fit_rates(docs: DataFrame, mixer: Mixer, rounds: int = ROUNDS) -> Mixer:
         if np.abs(miss).max() < TOLERANCE:
             break
         mixer.steps.append((precond @ miss).tolist())
+    else:
+        unmet = {d: (round(float(h), 4), round(t, 4)) for d, h, t, m in zip(mixer.domains, have, mixer.target, miss, strict=True) if abs(m) >= TOLERANCE} if rounds else {}
+        warnings.warn(f"after {rounds} rounds some domains' shares of the tokens miss their targets (share, target): {unmet}", stacklevel=2)
     return mixer
 
 

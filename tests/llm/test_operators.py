@@ -229,6 +229,28 @@ def test_mixing_meets_its_targets(spark, tables, results):
     assert mixing.apply(docs, mixer).columns == docs.columns
 
 
+@pytest.mark.parametrize("every", [100, 400])
+def test_mixing_meets_the_target_of_a_scarce_domain(spark, every):
+    """A domain of a hundredth of the tokens and less needs rates far above 8."""
+    letters = {"en": "with week which back", "es": "niño acción señor jóvenes"}
+    rows = [(i, " ".join([letters["en" if i % every else "es"]] * 20), "en" if i % every else "es") for i in range(2000)]
+    mixer, table = mixing.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", {"en": 0.8, "es": 0.2}, keep=["doc_id"])
+    got = table.withColumn("r", mixing.rate(mixer, table["_post"])).collect()
+    total = sum(r["_tokens"] for r in got)
+    assert max(r["r"] for r in got) > 8
+    for d, want in enumerate([0.8, 0.2]):
+        assert abs(sum(r["_tokens"] * r["r"] * r["_post"][d] for r in got) / total - want) < 0.001
+
+
+def test_mixing_reports_what_it_misses(spark):
+    rows = [(i, "with" if i % 2 else "niño", "en" if i % 2 else "es") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixer, table = mixing.fit(docs, "lang", {"en": 0.5, "es": 0.5})
+    mixer.steps, mixer.target = [], [0.9, 0.1]
+    with pytest.warns(UserWarning, match="miss their targets"):
+        mixing.fit_rates(table, mixer, rounds=1)
+
+
 def test_fingerprints(results, documents):
     known = sorted(((i, t or "") for i, t in documents if i is not None), key=lambda x: (-x[0], x[1]))
     order = known + sorted((None, t or "") for i, t in documents if i is None)
