@@ -1,7 +1,6 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Context restaurants are the previous words, hashed to ``2 ** CONTEXT_BITS`` of them; they
-share one parent, the word restaurant, whose base is uniform over the known words and one
+Each previous word is a context restaurant of its own, known by its hash; they share one parent, the word restaurant, whose base is uniform over the known words and one
 unknown word. The seating of a context's customers is sampled by Gibbs in its collapsed
 form: the number of tables that serve a word is drawn from its conditional given all other
 tables, with generalised Stirling numbers for the seatings that a number of tables stands
@@ -10,9 +9,12 @@ the samples.
 
 The work is dealt out by word. A task holds whole words with all their contexts, so it
 has a word's counts, its customers in the parent, and the probability of each of its
-(context, word) pairs by itself; what crosses tasks is one number of customers and one of
-tables a context, whose count is fixed, and the scores' sums by document. Words that are
-too frequent for one task are dealt by context as well, and their totals are exchanged.
+(context, word) pairs by itself. After each sweep the customers and tables by context are
+summed in a table dealt by context and come back to the shards that asked for them; the
+parent's totals and those of the words that are too frequent for one task (dealt by
+context as well) pass through the driver. So probabilities belong to the seating they
+are taken from, and add up to 1. A pair of one customer has one table in every seating:
+only the others move, and only their contexts are asked for between sweeps.
 """
 
 from __future__ import annotations
@@ -30,8 +32,6 @@ from pyspark.sql import functions as F
 from . import cluster
 from .textops import Run, mix64, runs
 
-CONTEXT_BITS = 18
-CONTEXTS = 1 << CONTEXT_BITS
 #: Discount and concentration of the contexts and of their parent.
 D2, THETA2 = 0.78, 5.0
 D1, THETA1 = 0.6, 10.0
@@ -45,7 +45,6 @@ SHARD_BYTES = 20 << 20
 MOST_FAN = 2048
 #: Text characters sampled to find the words that need more than one task (balance only; results don't depend on it).
 HOT_SAMPLE_CHARS = 8_000_000
-STAT_BLOCK = 1024
 #: Tokens whose scores are summed by document at once.
 SUM_TOKENS = 1 << 18
 
@@ -83,7 +82,13 @@ def unpacked(data: bytes) -> list[np.ndarray]:
 
 
 def context_of(h: np.ndarray) -> np.ndarray:
-    return (mix64(h ^ np.uint64(0xA5A5A5A5)) >> np.uint64(64 - CONTEXT_BITS)).astype(np.uint32)
+    """The context's number: 63 bits of hash, above a bit that is left to mark held-out tokens."""
+    return mix64(h ^ np.uint64(0xA5A5A5A5)) & ~np.uint64(1)
+
+
+def steps_of(ctx: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences, which pack better."""
+    return np.diff(ctx, prepend=np.uint64(0))
 
 
 def tokens(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +125,7 @@ class Hot:
         at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
         hit = np.flatnonzero(self.words[at] == w)
         out = w.copy()
-        out[hit] = self.key(w[hit], ctx[hit] % self.parts[at[hit]])
+        out[hit] = self.key(w[hit], (ctx[hit] >> np.uint64(1)) % self.parts[at[hit]].astype(np.uint64))
         return out
 
     def known(self) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +228,8 @@ def cut(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, grp: np.ndarray, grou
         a, b = cuts[s], cuts[s + 1]
         k, count = np.unique(key[a:b], return_counts=True)
         own, g = np.unique(grp[a:b], return_inverse=True)
-        out.append((int(s) * fan, packed(k, count.astype(np.uint32), ctx[a:b], doc[a:b], g.astype(np.uint32), np.array(groups, np.int64)[own])))
+        u, at = np.unique(ctx[a:b], return_inverse=True)
+        out.append((int(s) * fan, packed(k, count.astype(np.uint32), steps_of(u), at.astype(np.uint32), doc[a:b], g.astype(np.uint32), np.array(groups, np.int64)[own])))
     return out
 
 
@@ -231,9 +237,9 @@ def joined(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     """The tokens of several bodies: key, context, document, number of the group, and the groups."""
     key, ctx, doc, grp, groups = [], [], [], [], []
     for body in bodies:
-        k, count, c, n, g, own = unpacked(body)
+        k, count, u, at, n, g, own = unpacked(body)
         key.append(np.repeat(k, count))
-        ctx.append(c)
+        ctx.append(np.cumsum(u)[at])
         doc.append(n)
         grp.append(g + np.uint32(len(groups)))
         groups += own.tolist()
@@ -257,7 +263,7 @@ def deal(docs: DataFrame, hot: Hot, shards: int, fan: int = 1) -> DataFrame:
             key, c, n = np.concatenate(w), np.concatenate(ctx), np.concatenate(doc)
             key = shipped.value.deal(key, c)
             flag = np.array(held, bool)[n]
-            c = c | (flag.astype(np.uint32) << np.uint32(CONTEXT_BITS))
+            c = c | flag.astype(np.uint64)
             g = (pid << 24) + group
             rows = [(-1 - g % shards, g, None, ids[:], held[:], sizes[:])]
             rows += [(shard, g, body, None, None, None) for shard, body in cut(key, c, n.astype(np.uint16), np.zeros(len(key), np.uint32), [g], shards, fan)]
@@ -320,7 +326,27 @@ def merged(dealt: DataFrame, shards: int, fan: int) -> DataFrame:
     return dealt.repartitionById(-(-shards // fan), place_of(shards, fan)).mapInArrow(work, DEALT)
 
 
-BUILT = "shard int, g long, body binary, doc_ids array<long>, held array<boolean>, sizes array<int>, stats array<binary>, hot array<struct<i:int,c:long,t:long>>, n long, v long, t1 long"
+MOVES = "seat binary, moving array<struct<part:int,body:binary>>, hot array<struct<i:int,c:long,t:long>>, n long, v long, c1 long, t1 long"
+BUILT = "shard int, g long, body binary, doc_ids array<long>, held array<boolean>, sizes array<int>, fixed array<struct<part:int,body:binary>>, " + MOVES
+_ASK = pa.list_(pa.struct([("part", pa.int32()), ("body", pa.binary())]))
+MOVES_KINDS = (pa.binary(), _ASK, pa.list_(pa.struct([("i", pa.int32()), ("c", pa.int64()), ("t", pa.int64())])), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+MOVES_NAMES = ["seat", "moving", "hot", "n", "v", "c1", "t1"]
+
+
+def asked(ctx: np.ndarray, shards: int, *values: np.ndarray) -> list[dict]:
+    """A shard's ascending contexts and its sums in each, by the part that adds them up."""
+    cuts = np.searchsorted(shard_of(ctx, shards), np.arange(shards + 1))
+    return [{"part": int(i), "body": packed(steps_of(ctx[cuts[i] : cuts[i + 1]]), *[x[cuts[i] : cuts[i + 1]] for x in values])} for i in np.flatnonzero(np.diff(cuts))]
+
+
+def sum_by(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, weights=values, minlength=n).astype(np.int64)
+
+
+def hot_sums(hot_of: np.ndarray, cw: np.ndarray, cw1: np.ndarray) -> list[dict]:
+    which = np.flatnonzero(hot_of >= 0)
+    own, at = np.unique(hot_of[which], return_inverse=True)
+    return [{"i": int(i), "c": int(c), "t": int(t)} for i, c, t in zip(own, sum_by(at, cw[which], len(own)), sum_by(at, cw1[which], len(own)), strict=True)]
 
 
 def build(dealt: DataFrame, hot: Hot, shards: int) -> DataFrame:
@@ -337,45 +363,44 @@ def build(dealt: DataFrame, hot: Hot, shards: int) -> DataFrame:
         grp = of[grp].astype(np.uint32)
         words, word = np.unique(key, return_inverse=True)
         del key, bodies, every, of
-        mask = np.uint32(CONTEXTS - 1)
-        pair = (word.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | (ctx & mask)
+        train = (ctx & np.uint64(1)) == 0
+        ctxs, at = np.unique(ctx >> np.uint64(1) << np.uint64(1), return_inverse=True)
+        pair = (word.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)
+        del word, ctx, at
         order = np.argsort(pair, kind="stable")
-        pair, doc, grp, train = pair[order], doc[order], grp[order], (ctx[order] >> np.uint32(CONTEXT_BITS)) == 0
-        del order, word, ctx
+        pair, doc, grp, train = pair[order], doc[order], grp[order], train[order]
+        del order
         first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
         many = np.diff(np.append(first, len(pair)))
         c = np.add.reduceat(train.astype(np.int64), first)
-        pw, pc = (pair[first] >> np.uint64(CONTEXT_BITS)).astype(np.int64), (pair[first] & np.uint64(CONTEXTS - 1)).astype(np.int64)
-        cw = np.bincount(pw, weights=c, minlength=len(words)).astype(np.int64)
+        pw, pc = (pair[first] >> np.uint64(32)).astype(np.int64), (pair[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del pair
+        cw = sum_by(pw, c, len(words))
         rng = np.random.default_rng([shard, 0])
         n = int(cw.sum())
-        known = c > 0
-        types = np.bincount(pc[known], minlength=CONTEXTS)
+        several = np.flatnonzero(c > 1)
+        # the first seating goes by the shard's own estimates of the totals
+        types = np.bincount(pc[c > 0], minlength=len(ctxs))
         strength = THETA2 + D2 * np.maximum(types * shards - 1, 0)
-        t = np.zeros(len(c), np.int64)
-        p = cw[pw[known]] / max(n * shards, 1)
-        t[known] = draw_tables(c[known], p, strength[pc[known]], D2, rng)
-        cw1 = np.bincount(pw, weights=t, minlength=len(words)).astype(np.int64)
+        t = draw_tables(c[several], cw[pw[several]] / max(n * shards, 1), strength[pc[several]], D2, rng)
+        single = sum_by(pw, c == 1, len(words))
+        cw1 = single + sum_by(pw[several], t, len(words))
         keys, which = hot.known()
         at = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0))
         is_hot = keys[at] == words if len(keys) else np.zeros(len(words), bool)
-        v = int(((cw > 0) & ~is_hot).sum())
-        t1 = draw_tables(cw1[~is_hot], np.full((~is_hot).sum(), 1 / max(v * shards + 1, 1)), np.full((~is_hot).sum(), THETA1 + D1 * v * shards), D1, rng)
-        cu = np.bincount(pc, weights=c, minlength=CONTEXTS).astype(np.int64)
-        tu = np.bincount(pc, weights=t, minlength=CONTEXTS).astype(np.int64)
-        stats = [packed(cu[i : i + STAT_BLOCK], tu[i : i + STAT_BLOCK]) for i in range(0, CONTEXTS, STAT_BLOCK)]
-        sums: dict[int, list[int]] = {}
-        for i in np.flatnonzero(is_hot):
-            x = sums.setdefault(int(which[at[i]]), [0, 0])
-            x[0] += int(cw[i])
-            x[1] += int(cw1[i])
-        hots = [{"i": i, "c": x[0], "t": x[1]} for i, x in sums.items()]
         hot_of = np.where(is_hot, which[at] if len(keys) else 0, -1).astype(np.int32)
-        body = packed(hot_of, cw, np.diff(np.searchsorted(pw, np.arange(len(words) + 1))).astype(np.uint32), pc.astype(np.uint32), c.astype(np.uint32), t.astype(np.uint32), many.astype(np.uint32), doc, grp, groups)
-        return (shard, None, body, None, None, None, stats, hots, n, v, int(t1.sum()))
-
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.struct([("i", pa.int32()), ("c", pa.int64()), ("t", pa.int64())])), pa.int64(), pa.int64(), pa.int64())
-    names = [x.split()[0] for x in BUILT.replace("<i:int,c:long,t:long>", "").split(", ")]
+        v = int(((cw > 0) & ~is_hot).sum())
+        tw1 = np.zeros(len(words), np.int64)
+        tw1[~is_hot] = draw_tables(cw1[~is_hot], np.full((~is_hot).sum(), 1 / max(v * shards + 1, 1)), np.full((~is_hot).sum(), THETA1 + D1 * v * shards), D1, rng)
+        fixed = asked(ctxs, shards, sum_by(pc, c, len(ctxs)), sum_by(pc, c == 1, len(ctxs)))
+        body = packed(hot_of, cw, np.bincount(pw, minlength=len(words)).astype(np.uint32), steps_of(ctxs), pc.astype(np.uint32), c.astype(np.uint32), many.astype(np.uint32), doc, grp, groups)
+        own, at = np.unique(pc[several], return_inverse=True)
+        moving = asked(ctxs[own], shards, sum_by(at, t, len(own)))
+        seat = packed(hot_of, single.astype(np.uint32), np.bincount(pw[several], minlength=len(words)).astype(np.uint32), steps_of(ctxs[own]), np.zeros(len(own), np.uint32), at.astype(np.uint32), c[several].astype(np.uint32), t.astype(np.uint32), tw1.astype(np.uint32))
+        return (shard, None, body, None, None, None, fixed, seat, moving, hot_sums(hot_of, cw, cw1), n, v, int(cw1.sum()), int(tw1.sum()))
+
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), _ASK, *MOVES_KINDS)
+    names = ["shard", "g", "body", "doc_ids", "held", "sizes", "fixed", *MOVES_NAMES]
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -385,7 +410,7 @@ def build(dealt: DataFrame, hot: Hot, shards: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 if r["shard"] < 0:
-                    yield as_batch([(r["shard"], r["g"], None, r["doc_ids"], r["held"], r["sizes"], None, None, 0, 0, 0)])
+                    yield as_batch([(r["shard"], r["g"], None, r["doc_ids"], r["held"], r["sizes"], None, None, None, None, 0, 0, 0, 0)])
                 else:
                     parts.setdefault(r["shard"], []).append(r["body"])
         for shard in sorted(parts):
@@ -394,64 +419,155 @@ def build(dealt: DataFrame, hot: Hot, shards: int) -> DataFrame:
     return dealt.repartitionById(shards, place_of(shards, 1)).mapInArrow(work, BUILT)
 
 
-def totals(built: DataFrame, hot: Hot) -> dict:
-    """Customers and tables by context and of hot words, and sums over all shards: sizes that don't depend on the corpus."""
-    one = built.where("shard >= 0").agg(F.sum("n"), F.sum("v"), F.sum("t1")).first()
-    n, v, t1 = (int(x or 0) for x in one)
+def totals(state: DataFrame, hot: Hot, before: dict | None = None) -> dict:
+    """The parent's totals and those of hot words, over all shards: sizes that don't depend on the corpus."""
+    one = state.agg(F.sum("n"), F.sum("v"), F.sum("c1"), F.sum("t1")).first()
+    n, v, c1, t1 = (int(x or 0) for x in one)
+    hc, ht = np.zeros(len(hot.words), np.int64), np.zeros(len(hot.words), np.int64)
+    for r in state.select(F.explode("hot").alias("h")).groupBy("h.i").agg(F.sum("h.c").alias("c"), F.sum("h.t").alias("t")).collect():
+        hc[r["i"]], ht[r["i"]] = r["c"], r["t"]
+    if before:  # the counts stay, only tables move
+        n, v, hc = before["n"], before["v"], before["hc"]
+    else:
+        v += int((hc > 0).sum())
+    rng = np.random.default_rng([1, before["sweep"] + 1 if before else 0])
+    ht1 = draw_tables(ht, np.full(len(ht), 1 / (v + 1)), np.full(len(ht), THETA1 + D1 * t1), D1, rng)
+    return {"n": n, "v": v, "c1": c1, "t1": t1 + int(ht1.sum()), "hc": hc, "ht": ht, "ht1": ht1, "sweep": before["sweep"] + 1 if before else 0}
+
+
+FOUND = "shard int, part int, body binary"
+
+
+def asks(table: DataFrame, column: str, kind: int) -> DataFrame:
+    return table.select("shard", F.lit(kind).alias("kind"), F.explode(column).alias("a")).select("shard", "kind", "a.part", "a.body")
+
+
+def exchange(rows: DataFrame, shards: int, kind: int, seatings: int) -> DataFrame:
+    """Sums over shards by context: customers, tables of pairs of one customer, and the moving tables.
+
+    rows: fixed ones (kind 0: customers, tables of one customer) and moving ones (kind 1: one
+    sum for each of ``seatings``). Those of ``kind`` are answered, context by context.
+    """
 
     def add(batches):
-        total: dict[int, list[np.ndarray]] = {}
+        shard, kinds, bodies, part = [], [], [], None
         for batch in batches:
-            for block, data in zip(batch.column("pos").to_pylist(), batch.column("col").to_pylist(), strict=True):
-                x = unpacked(data)
-                total[block] = [a + b for a, b in zip(total[block], x, strict=True)] if block in total else x
-        for block, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed(*x)], pa.binary())], names=["pos", "col"])
-
-    rows = built.where("shard >= 0").select(F.posexplode("stats")).mapInArrow(add, "pos int, col binary").repartition(cluster.parts(built.sparkSession), "pos").mapInArrow(add, "pos int, col binary").collect()
-    cu, tu = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
-    for r in rows:
-        at = slice(r["pos"] * STAT_BLOCK, (r["pos"] + 1) * STAT_BLOCK)
-        cu[at], tu[at] = unpacked(bytes(r["col"]))
-    hc, ht = np.zeros(len(hot.words), np.int64), np.zeros(len(hot.words), np.int64)
-    for r in built.where("shard >= 0").select(F.explode("hot").alias("h")).groupBy("h.i").agg(F.sum("h.c").alias("c"), F.sum("h.t").alias("t")).collect():
-        hc[r["i"]], ht[r["i"]] = r["c"], r["t"]
-    rng = np.random.default_rng(1)
-    v += int((hc > 0).sum())
-    base = np.full(len(ht), 1 / (v + 1))
-    ht1 = draw_tables(ht, base, np.full(len(ht), THETA1 + D1 * t1), D1, rng)
-    return {"n": n, "v": v, "t1": t1 + int(ht1.sum()), "c1": int(tu.sum()), "cu": cu, "tu": tu, "hc": hc, "ht": ht, "ht1": ht1}
+            for r in batch.to_pylist():
+                part = r["part"]
+                shard.append(r["shard"])
+                kinds.append(r["kind"])
+                bodies.append(unpacked(r["body"]))
+        if not bodies:
+            return
+        sizes = [len(x[0]) for x in bodies]
+        every, at = np.unique(np.concatenate([np.cumsum(x[0]) for x in bodies]), return_inverse=True)
+        ends = np.cumsum(sizes)
+        sums = np.zeros((2 + seatings, len(every)), np.int64)
+        for x, k, end in zip(bodies, kinds, ends, strict=True):
+            for i, y in enumerate(x[1:]):
+                sums[2 * k + i][at[end - len(y) : end]] += y
+        for s, k, end, size in zip(shard, kinds, ends, sizes, strict=True):
+            if k == kind:
+                mine = at[end - size : end]
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part], pa.int32()), pa.array([packed(*[x[mine] for x in sums])], pa.binary())], names=["shard", "part", "body"])
+
+    return rows.repartitionById(shards, F.col("part")).mapInArrow(add, FOUND)
+
+
+def answers(parts: dict[int, bytes]) -> list[np.ndarray]:
+    """The sums for all contexts a shard asked for, in their order."""
+    got = [unpacked(parts[i]) for i in sorted(parts)]
+    return [np.concatenate(x) for x in zip(*got, strict=True)]
+
+
+def parent(all_: dict, hot_of: np.ndarray, cw1: np.ndarray, tw1: np.ndarray) -> np.ndarray:
+    """Probability of each word in the parent restaurant."""
+    hot = hot_of >= 0
+    cw1, tw1 = cw1.copy(), tw1.astype(np.int64)
+    cw1[hot], tw1[hot] = all_["ht"][hot_of[hot]], all_["ht1"][hot_of[hot]]
+    return (cw1 - D1 * tw1 + (THETA1 + D1 * all_["t1"]) / (all_["v"] + 1)) / (THETA1 + all_["c1"])
+
+
+def seating(seat: bytes) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """What stays of a shard's seating, and the tables of pairs and of words in each kept seating."""
+    x = unpacked(seat)
+    m = (len(x) - 7) // 2
+    return x[:7], x[7 : 7 + m], x[7 + m :]
+
+
+def sweep_shard(shard: int, seat: bytes, parts: dict[int, bytes], all_: dict, shards: int) -> tuple:
+    (hot_of, single, per_word, steps, known, pc, c), ts, tw1s = seating(seat)
+    pw = np.repeat(np.arange(len(single)), per_word)
+    c, t, single = c.astype(np.int64), ts[-1].astype(np.int64), single.astype(np.int64)
+    rng = np.random.default_rng([shard, 1 + all_["sweep"]])
+    cw1 = single + sum_by(pw, t, len(single))
+    p1 = parent(all_, hot_of, cw1, tw1s[-1])
+    if len(c):
+        _, ones, moved = answers(parts)
+        known = known + ones
+        t = draw_tables(c, p1[pw], THETA2 + D2 * np.maximum((known + moved)[pc] - t, 0), D2, rng)
+        cw1 = single + sum_by(pw, t, len(single))
+    mine = hot_of < 0
+    tw1 = np.zeros(len(single), np.int64)
+    tw1[mine] = draw_tables(cw1[mine], np.full(mine.sum(), 1 / (all_["v"] + 1)), THETA1 + D1 * np.maximum(all_["t1"] - tw1s[-1][mine].astype(np.float64), 0), D1, rng)
+    keep = all_["sweep"] >= BURN_IN
+    ts, tw1s = [*(ts if keep else []), t.astype(np.uint32)], [*(tw1s if keep else []), tw1.astype(np.uint32)]
+    # the last sweep's tables alone are needed for the next, all kept ones for the scores
+    last = all_["sweep"] + 1 == BURN_IN + SAMPLES - 1
+    moving = asked(np.cumsum(steps), shards, *[sum_by(pc, x, len(steps)) for x in (ts if last else ts[-1:])])
+    new = packed(hot_of, single.astype(np.uint32), per_word, steps, known.astype(np.uint32), pc, c.astype(np.uint32), *ts, *tw1s)
+    return (shard, new, moving, hot_sums(hot_of, np.zeros(len(single)), cw1), 0, 0, int(cw1.sum()), int(tw1.sum()))
+
+
+def sweep(state: DataFrame, found: DataFrame, all_: dict, shards: int) -> DataFrame:
+    """The next seating of every shard, from the totals of the present one."""
+    shipped = state.sparkSession.sparkContext.broadcast(all_)
+
+    def work(batches):
+        seats, parts = {}, {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] is None:
+                    seats[r["shard"]] = r["body"]
+                else:
+                    parts.setdefault(r["shard"], {})[r["part"]] = r["body"]
+        for shard in sorted(seats):
+            row = sweep_shard(shard, seats.pop(shard), parts.pop(shard, {}), shipped.value, shards)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), *MOVES_KINDS), strict=True)], names=["shard", *MOVES_NAMES])
 
+    rows = state.select("shard", F.lit(None).cast("int").alias("part"), F.col("seat").alias("body")).unionByName(found)
+    return rows.repartitionById(shards, F.col("shard")).mapInArrow(work, "shard int, " + MOVES)
 
 
-def score_shard(shard: int, body: bytes, all_: dict, parts: int) -> list[tuple]:
-    """Gibbs sweeps over a shard's seating, then sums by document, one row for each task that gathers some."""
-    hot_of, cw, per_word, pc, c, t, many, doc, grp, groups = unpacked(body)
+def pair_probabilities(body: list[np.ndarray], seat: bytes, parts: dict[int, bytes], kept: list[dict]) -> np.ndarray:
+    """Predictive probability of each (context, word) pair of a shard, averaged over the kept seatings."""
+    hot_of, _, per_word, _, pc, c = body
+    (_, single, per_several, *_), ts, tw1s = seating(seat)
+    pw = np.repeat(np.arange(len(per_word)), per_word)
+    sw = np.repeat(np.arange(len(per_word)), per_several)
+    several = np.flatnonzero(c > 1)
+    cu, ones, *moved = answers(parts)
+    out = np.zeros(len(c))
+    for all_, t, tw1, more in zip(kept, ts, tw1s, moved, strict=True):
+        p1 = parent(all_, hot_of, single.astype(np.int64) + sum_by(sw, t, len(per_word)), tw1)
+        own = np.where(c > 0, c - D2, 0.0)
+        own[several] = c[several] - D2 * t
+        out += (own + (THETA2 + D2 * (ones + more))[pc] * p1[pw]) / (THETA2 + cu)[pc]
+    return out / len(kept)
+
+
+def score_shard(body: bytes, seat: bytes, found: dict[int, bytes], kept: list[dict], parts: int) -> list[tuple]:
+    """Scores of a shard's pairs, then sums by document, one row for each task that gathers some."""
+    hot_of, cw, per_word, steps, pc, c, many, doc, grp, groups = unpacked(body)
+    pair_score = np.log10(pair_probabilities([hot_of, cw, per_word, steps, pc, c], seat, found, kept))
     pw = np.repeat(np.arange(len(cw)), per_word)
-    c, t, pc = c.astype(np.int64), t.astype(np.int64), pc.astype(np.int64)
     hot = hot_of >= 0
     cw = cw.copy()
-    cw[hot] = all_["hc"][hot_of[hot]]
-    n, v, t1, c1 = all_["n"], all_["v"], all_["t1"], all_["c1"]
-    base = 1 / (v + 1)
-    cu, tu = all_["cu"][pc], all_["tu"][pc]
-    back = np.where(cu > 0, (THETA2 + D2 * tu) / (THETA2 + cu), 1.0)
-    several = np.flatnonzero(c > 1)
-    mean = np.zeros(len(c))
-    rng = np.random.default_rng([shard, 1])
-    for sweep in range(BURN_IN + SAMPLES):
-        cw1 = np.bincount(pw, weights=t, minlength=len(cw)).astype(np.int64)
-        tw1 = draw_tables(cw1, np.full(len(cw), base), np.full(len(cw), THETA1 + D1 * max(t1 - 1, 0)), D1, rng)
-        cw1[hot], tw1[hot] = all_["ht"][hot_of[hot]], all_["ht1"][hot_of[hot]]
-        p1 = np.maximum(cw1 - D1 * tw1, 0) / (THETA1 + c1) + (THETA1 + D1 * t1) / (THETA1 + c1) * base
-        if sweep >= BURN_IN:
-            mean += np.maximum(c - D2 * t, 0) / (THETA2 + cu) + back * p1[pw]
-        if sweep < BURN_IN + SAMPLES - 1:
-            t[several] = draw_tables(c[several], p1[pw[several]], THETA2 + D2 * np.maximum(tu[several] - t[several], 0), D2, rng)
-    pair_score = np.log10(mean / SAMPLES)
+    cw[hot] = kept[0]["hc"][hot_of[hot]]
+    n, v = kept[0]["n"], kept[0]["v"]
     word_base = np.log10((cw + 1.0) / (n + v + 1.0))
     score, flat = np.repeat(pair_score, many), np.repeat(pw, many)
-    del pair_score, mean, back, cu, tu, pw, pc, c, t
+    del pair_score, pw, pc, c
     # sums by (group, document), a run of groups at a time
     order = np.argsort(grp, kind="stable")
     bounds = np.searchsorted(grp[order], np.arange(len(groups) + 1))
@@ -486,29 +602,39 @@ def part_of(g: np.ndarray, parts: int) -> np.ndarray:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(built: DataFrame, all_: dict) -> DataFrame:
+def score(built: DataFrame, state: DataFrame, found: DataFrame, kept: list[dict], shards: int) -> DataFrame:
     sc = built.sparkSession.sparkContext
-    shipped = sc.broadcast(all_)
+    shipped = sc.broadcast(kept)
 
     parts = cluster.parts(built.sparkSession)
     kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()))
     summed = "part int, docs binary, score binary, base binary, g long, doc_ids array<long>, held array<boolean>, sizes array<int>"
+    names = [x.split()[0] for x in summed.split(", ")]
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def documents(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield as_batch([(int(part_of([r["g"]], parts)[0]), None, None, None, r["g"], r["doc_ids"], r["held"], r["sizes"])])
 
     def sums(batches):
-        names = [x.split()[0] for x in summed.split(", ")]
+        bodies, seats, got = {}, {}, {}
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                if r["shard"] < 0:
-                    rows = [(int(part_of([r["g"]], parts)[0]), None, None, None, r["g"], r["doc_ids"], r["held"], r["sizes"])]
+            for r in batch.to_pylist():
+                if r["part"] is None:
+                    (bodies if r["part_of_body"] else seats)[r["shard"]] = r["body"]
                 else:
-                    rows = [(*x, None, None, None, None) for x in score_shard(r["shard"], r["body"], shipped.value, parts)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    got.setdefault(r["shard"], {})[r["part"]] = r["body"]
+        for shard in sorted(bodies):
+            rows = [(*x, None, None, None, None) for x in score_shard(bodies.pop(shard), seats.pop(shard), got.pop(shard), shipped.value, parts)]
+            if rows:
+                yield as_batch(rows)
 
     def gather(batches):
         held: dict[int, dict] = {}
-        n = shipped.value["n"]
+        n = shipped.value[0]["n"]
         for batch in batches:
             for r in batch.to_pylist():
                 if r["g"] is not None:  # all of a task's documents come before their sums
@@ -532,23 +658,46 @@ def score(built: DataFrame, all_: dict) -> DataFrame:
                 names=[y.split()[0] for y in RESULT.split(", ")],
             )
 
-    found = built.select("shard", "g", "body", "doc_ids", "held", "sizes").mapInArrow(sums, summed)
-    return found.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("g").isNull()).mapInArrow(gather, RESULT)
+    none = F.lit(None).cast("int")
+    rows = built.where("shard >= 0").select("shard", none.alias("part"), "body", F.lit(True).alias("part_of_body"))
+    rows = rows.unionByName(state.select("shard", none.alias("part"), F.col("seat").alias("body"), F.lit(False).alias("part_of_body")))
+    rows = rows.unionByName(found.withColumn("part_of_body", F.lit(False)))
+    out = rows.repartitionById(shards, F.col("shard")).mapInArrow(sums, summed)
+    out = out.unionByName(built.where("shard < 0").select("g", "doc_ids", "held", "sizes").mapInArrow(documents, summed))
+    return out.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("g").isNull()).mapInArrow(gather, RESULT)
 
 
-def train_and_score(docs: DataFrame) -> DataFrame:
-    """Scores all rows of ``docs`` (doc_id, text, held) by a model of those that aren't held out.
-
-    A null or empty text is its end token alone. Repeated rows count each time. With
-    nothing to learn from, every token has the base probability of an unknown word.
-    """
+def fitted(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[dict], int]:
+    """What scores are made of: the shards, their last state with the kept seatings, sums by context, and totals of each kept seating."""
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(cluster.parts(docs.sparkSession), math.ceil(chars / SHARD_BYTES))
     hot = find_hot(docs, shards, chars)
     fan = -(-shards // MOST_FAN)
     dealt = deal(docs.select("doc_id", "text", "held"), hot, shards, fan)
     built = cluster.materialise(build(dealt if fan == 1 else merged(dealt, shards, fan), hot, shards))
-    return score(built, totals(built, hot))
+    body = built.where("shard >= 0")
+    state, all_ = body.select("shard", *MOVES_NAMES), None
+    kept = []
+    for k in range(BURN_IN + SAMPLES):
+        all_ = totals(state, hot, all_)
+        if k >= BURN_IN:
+            kept.append(all_)
+        if k == BURN_IN + SAMPLES - 1:
+            break
+        rows = asks(state, "moving", 1)
+        found = exchange(rows if k else rows.unionByName(asks(body, "fixed", 0)), shards, 1, 1)
+        state = cluster.materialise(sweep(state, found, all_, shards))
+    found = exchange(asks(body, "fixed", 0).unionByName(asks(state, "moving", 1)), shards, 0, SAMPLES)
+    return built, state, found, kept, shards
+
+
+def train_and_score(docs: DataFrame) -> DataFrame:
+    """Scores all rows of ``docs`` (doc_id, text, held) by a model of those that aren't held out.
+
+    A null or empty text is its end token alone. Repeated rows count each time. With
+    nothing to learn from, every token has the base probability of an unknown word.
+    """
+    return score(*fitted(docs))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,6 +229,12 @@ def test_mixing_meets_its_targets(spark, tables, results):
     assert mixing.apply(docs, mixer).columns == docs.columns
 
 
+def test_lm_contexts_are_their_words_own():
+    """Many previous words, no two of which share a restaurant."""
+    h = np.random.default_rng(2).integers(0, 1 << 63, 1_000_000).astype(np.uint64)
+    assert len(np.unique(pylm.context_of(h))) == len(np.unique(h))
+
+
 @pytest.mark.parametrize("every", [100, 400])
 def test_mixing_meets_the_target_of_a_scarce_domain(spark, every):
     """A domain of a hundredth of the tokens and less needs rates far above 8."""
