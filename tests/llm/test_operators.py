@@ -229,6 +229,31 @@ def test_mixing_meets_its_targets(spark, tables, results):
     assert mixing.apply(docs, mixer).columns == docs.columns
 
 
+@pytest.mark.parametrize("shard_bytes", [20 << 20, 3000, 600])
+def test_lm_probabilities_sum_to_one(spark, monkeypatch, shard_bytes):
+    """By context over all known words, the end and one unknown word, whatever the number of shards; no context is shared."""
+    monkeypatch.setattr(pylm, "SHARD_BYTES", shard_bytes)
+    words = [f"w{i}" for i in range(30)]
+    rng = np.random.default_rng(4)
+    train = [(i, " ".join(words[min(29, int(x))] for x in rng.geometric(0.12, 12) - 1), False) for i in range(300)]
+    ask = [(1000 + i, f"{a} {b}", True) for i, (a, b) in enumerate((a, b) for a in [*words, "zz"] for b in [*words, "zz"])]
+    docs = spark.createDataFrame(train + ask, "doc_id long, text string, held boolean")
+    built, state, found, kept, shards = pylm.fitted(docs)
+    seats = {r["shard"]: r["seat"] for r in state.collect()}
+    parts = defaultdict(dict)
+    for r in found.collect():
+        parts[r["shard"]][r["part"]] = r["body"]
+    total = defaultdict(float)
+    for r in built.where("shard >= 0").collect():
+        body = pylm.unpacked(r["body"])[:6]
+        for u, p in zip(np.cumsum(body[3])[body[4]].tolist(), pylm.pair_probabilities(body, seats[r["shard"]], parts[r["shard"]], kept), strict=True):
+            total[u] += p
+    assert len(kept) == pylm.SAMPLES and len(total) == 32
+    end = int(pylm.context_of(np.array([pylm.START]))[0])
+    # nothing but the end follows every other word here, and the start isn't followed by it
+    assert all(abs(p - 1) < 1e-9 for u, p in total.items() if u != end) and total[end] < 1
+
+
 def test_lm_contexts_are_their_words_own():
     """Many previous words, no two of which share a restaurant."""
     h = np.random.default_rng(2).integers(0, 1 << 63, 1_000_000).astype(np.uint64)
