@@ -23,6 +23,7 @@ from .plans import planner, space
 from .plans.space import Space, links, node_id, nodes, values
 from .plans.terms import Absent, Always, And, Bind, Choice, Glob, Lambda, Link, Match, Node, Not, Present, Quoted, Rule, Table, Var, Where, alpha_equal, is_closed, prenex
 from .plans.types import Arrow, Lattice, TypeSpec
+from .shared import place
 from .sources import text as src
 from .streaming import streams
 
@@ -211,7 +212,7 @@ def s12_owner_frame(spark, d):
 @named()
 def s13_delimited_table(spark, d):
     """Rows of a delimited text written here and read back: booleans, doubles, comments and blank lines."""
-    at = f"{streams._place(spark)}/table.csv"
+    at = f"{place(spark)}/table.csv"
     lines = ["# a comment", "b1, flt1, lbl", "T, 1.5, one", "", "0, -2, two", "# more", "1, x, three"]
     spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(at)
     return src.delimited(spark, at, "b1 boolean, flt1 double, lbl string")
@@ -251,7 +252,7 @@ def s17_parquet_pushdown(spark, d):
 @named("SELECT r_name, r_regionkey FROM region")
 def s18_external_store(spark, d):
     """Written to an external store and read back."""
-    at = f"{streams._place(spark)}/store"
+    at = f"{place(spark)}/store"
     table(spark, d, "region").write.parquet(at)
     return spark.read.parquet(at).select("r_name", "r_regionkey")
 

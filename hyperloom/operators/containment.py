@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.space import Space, link_id, written
+from ..plans.space import Space, link_id
+from ..shared import written
 
 
 def upward(space: Space, start: DataFrame, rounds: int = 100) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.space import written
+from ..shared import written
 
 
 def filter_rule(df: DataFrame, guard: Column | None = None, **conclusions: Column) -> DataFrame:

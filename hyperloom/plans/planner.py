@@ -17,8 +17,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
 from . import terms as t
-from .space import Space, node_id, written
+from .space import Space, node_id
 
 MAX_UNORDERED = 4
 

@@ -8,37 +8,19 @@ without duplicates, and no sequence has to be handed out.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .types import Lattice
 
 ATOMS = "atom_id long, type string, is_node boolean, name string, outgoing array<long>, arity int, num array<double>"
 VALUES = "atom_id long, key string, vtype string, fval array<double>, sval array<string>, bval array<boolean>"
 
 
-def written(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Cuts the lineage: writes to the shared checkpoint folder (in folders by a column, if named) and reads back."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not kept.isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hyperloom-"))
-            kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = kept.get()
-    path = os.path.join(at, f"plans-{spark.sparkContext.applicationId}", uuid.uuid4().hex)
-    writer = df.write if by is None else df.write.partitionBy(by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def node_id(type_: Column, name: Column) -> Column:
     return F.xxhash64(type_, name.cast("string"))
 

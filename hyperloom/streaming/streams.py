@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import place
+
 
 def queue(spark: SparkSession, path: str, like: DataFrame | None = None, files: int | None = None) -> DataFrame:
     """A stream of Parquet rows; the availableNow trigger reads it as a closed queue.
@@ -24,17 +24,34 @@ def queue(spark: SparkSession, path: str, like: DataFrame | None = None, files:
     return reader.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else reader.parquet(path)
 
 
-def drain(stream: DataFrame, mode: str = "append", name: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream until its source has no more, and gives what came out."""
+def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """Runs a stream until its source has no more, and gives what came out, as a table in the shared folder.
+
+    In append mode batches go to a Parquet sink, exactly once. In complete mode a batch is
+    the whole result, so each replaces the one before under a path of its own, and the last is read.
+    """
     spark = stream.sparkSession
-    name = name or f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = q.option("checkpointLocation", checkpoint or _place(spark)).start()
+    at = place(spark)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint or place(spark)).trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").outputMode("append").option("path", at).start()
+        _finish(q)
+        return spark.read.schema(stream.schema).parquet(at)
+    last: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/{number}")
+        last[:] = [f"{at}/{number}"]
+
+    _finish(writer.outputMode(mode).foreachBatch(keep).start())
+    return spark.read.schema(stream.schema).parquet(*last) if last else spark.createDataFrame([], stream.schema)
+
+
+def _finish(q) -> None:
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return spark.table(name)
 
 
 def sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
@@ -42,11 +59,6 @@ def sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _place(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{at}/streams-{uuid.uuid4().hex}" if at else tempfile.mkdtemp(prefix="hyperloom-stream-")
-
-
 class Pipes:
     """Named pipeline stages: each is a function of the one before, found by name."""
 
