@@ -2,51 +2,47 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import release as release
+from ..shared import written
+
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        at = tempfile.mkdtemp(prefix="hyperloom-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return at
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session sets its own.
+BATCH_BYTES = 4 << 20
+#: The most that is broadcast by hint.
+BROADCAST_BYTES = 64 << 20
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder as Parquet and reads it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"hyperloom-{spark.sparkContext.applicationId}", uuid.uuid4().hex)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes what this application has materialised. Results that read it end with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), f"hyperloom-{spark.sparkContext.applicationId}"))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return written(df)
 
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as rows may be long texts, where the session doesn't."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """``df`` with a hint to broadcast it if its rows, counted, stay under the bound; beyond, the optimizer joins as it would."""
+    return F.broadcast(df) if df.limit(BROADCAST_BYTES // row_bytes + 1).count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def as_rows(docs: DataFrame) -> DataFrame:
     """``docs`` as one column, _row: it passes through an operator whole, and its text isn't sent twice."""
     return docs.select(F.struct("*").alias("_row"))
@@ -79,13 +75,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """About ``per_class`` (text, label) rows of each label value, from rows where ``seen`` holds.
 
     The sample of ``labels`` is drawn by a hash of its key, so it doesn't depend on the
-    partitioning, and has a bounded expected size; only then are texts looked up.
+    partitioning, and has a bounded expected size; only then are texts looked up. An id
+    that is marked more than once has the larger of its labels. Of the rows that share an
+    id one text counts, the least by hash, so repeated rows don't grow the sample.
     """
     marked = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & seen)
+    marked = marked.groupBy("doc_id").agg(F.max("y").alias("y"))
     n = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n:
         return []
     share = F.coalesce(*[F.when(F.col("y") == y, F.lit(min(1.0, per_class / c))) for y, c in n.items()])
-    picked = marked.where(chance(F.col("doc_id")) < share).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.col("text").isNotNull()).select("text", "y")
+    picked = marked.where(chance(F.col("doc_id")) < share)
+    rows = docs.select("doc_id", "text").join(small(picked), "doc_id").where(F.col("text").isNotNull())
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("r")).select("r.*")
     return sorted((r["text"], r["y"]) for r in rows.collect())

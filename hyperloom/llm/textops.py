@@ -129,6 +129,12 @@ def runs(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterato
         i = j
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``limit`` bytes of text each, a longer text in a piece of its own."""
+    for run in runs(batch.column(column), limit):
+        yield batch.slice(run.first, len(run))
+
+
 def owner(offs: np.ndarray) -> np.ndarray:
     """The text's number for each span, from offsets by text."""
     return np.repeat(np.arange(len(offs) - 1), np.diff(offs))
