@@ -24,13 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import cluster
+from .textops import runs, slices
 
 CAPACITY = 4096
 END = 1
-#: Distinct words whose ids a worker remembers.
-MEMO_WORDS = 250_000
-#: Texts that a worker holds as strings at once.
-SLICE_ROWS = 500
+#: Distinct words whose ids a worker remembers, twice at most; words of more letters aren't remembered.
+MEMO_WORDS, MEMO_LETTERS = 160_000, 64
 _ODD = "\x1c\x1d\x1e\x1f"
 #: Words of Latin-1 letters, with a stop or comma: the tokenizer's own splitting has nothing to decide there.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -186,14 +185,18 @@ class Encoder(dict):
                     ids += self[stop]
             else:
                 ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
+        if len(word) <= MEMO_LETTERS:
+            self[word] = ids
         return ids
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, text: str, latin: bool = False) -> bytes:
+        """latin: whether all of ``text`` is ASCII or Latin-1, where lower case has no exceptions."""
         if any(c in text for c in _ODD):
             return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+        if latin:
+            text = text.lower()  # as the tokenizer would, but words differ less
         if len(self) > MEMO_WORDS:
-            self.older = dict(self)
+            self.older = self.copy()
             self.clear()
         return b"".join(map(self.__getitem__, text.split()))
 
@@ -204,6 +207,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def latin_texts(texts: pa.Array) -> list[bool]:
+    """Whether each text has only characters up to U+00FF."""
+    return [ok for run in runs(texts) for ok in (run.per_text(run.buf > 0xC3) == 0).tolist()]
+
+
 PIECES = "doc_id long, piece integer, start long, length long, ids_crc32 long"
 
 
@@ -216,11 +224,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def cut(batches):
         encode = Encoder.of(where)
         for whole in batches:
-            for k in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(k, SLICE_ROWS)
+            for batch in slices(whole):
                 rows: list[list] = [[], [], [], [], []]
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = encode(text or "") + end
+                for doc, text, latin in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), latin_texts(batch.column("text")), strict=True):
+                    ids = encode(text or "", latin) + end
                     for p, i in enumerate(range(0, len(ids), width)):
                         part = ids[i : i + width]
                         for c, x in zip(rows, (doc, p, i // 4, len(part) // 4, zlib.crc32(part)), strict=True):
