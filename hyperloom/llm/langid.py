@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cluster
-from .textops import LOWER, Run, runs
+from .textops import Run, folded, runs
 
 ORDER = 3
 #: Training texts of about so many characters a language are drawn; the model's size follows.
@@ -31,15 +31,6 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
-def folded(buf: np.ndarray) -> np.ndarray:
-    """Bytes with Latin capitals lowered: ASCII, and the second byte of U+00C0 to U+00DE."""
-    out = LOWER[buf]
-    if len(out) > 1:
-        upper = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E)
-        out[1:][upper] += 0x20
-    return out
-
-
 @dataclass
 class Model:
     langs: list[str]

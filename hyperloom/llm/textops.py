@@ -129,6 +129,28 @@ def runs(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterato
         i = j
 
 
+def folded(buf: np.ndarray) -> np.ndarray:
+    """Bytes with Latin capitals lowered: ASCII, and the second byte of U+00C0 to U+00DE but for U+00D7."""
+    out = LOWER[buf]
+    if len(out) > 1:
+        upper = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
+        out[1:][upper] += 0x20
+    return out
+
+
+def lowered_text(run: Run) -> Run:
+    """The run in lower case; texts beyond Latin-1 by the whole of Unicode."""
+    wide = np.flatnonzero(run.per_text(run.buf > 0xC3)) if len(run.buf) and run.buf.max() > 0xC3 else []
+    if not len(wide):
+        return Run(folded(run.buf), run.offs, run.first)
+    texts = [folded(run.buf[run.offs[i] : run.offs[i + 1]]).tobytes() for i in range(len(run))]
+    for i in wide:
+        texts[i] = run.text(i).decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape")
+    offs = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=offs[1:])
+    return Run(np.frombuffer(b"".join(texts), np.uint8), offs, run.first)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``limit`` bytes of text each, a longer text in a piece of its own."""
     for run in runs(batch.column(column), limit):
