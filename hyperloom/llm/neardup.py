@@ -5,8 +5,8 @@ MinHash values are linked into candidate families; within a family pairs compare
 MinHash values a few at a time and are dropped as soon as the posterior probability of
 reaching the threshold (uniform prior, binomial evidence) falls below a tolerance; the
 rest are verified exactly on the shingle sets. A large family is dealt out in pairs of
-blocks, so no task holds it whole, and only link counts and spanning links leave a task:
-no pair is ever a row.
+blocks, or where that sends fewer rows in its bands, so no task holds it whole, and only
+link counts and spanning links leave a task: no pair is ever a row.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cluster
@@ -31,8 +31,8 @@ HASHES = ROWS_A_BAND * BANDS
 ROUND = 20
 #: Posterior probability below which a pair is dropped.
 TOLERANCE = 1e-6
-#: A family of more classes is dealt out in blocks of about so many.
-BLOCK = 512
+#: A family is dealt out in blocks of about so many classes, or shingles in all.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 20
 BUFFER_BYTES = 1 << 22
 #: Pairs held at once while pruning.
 PAIRS = 1 << 18
@@ -147,8 +147,11 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def linked(keys: list[tuple], nodes: list[int], blocks: list[int], texts: list[bytes], threshold: float, need: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(node, links, least node it is connected with) within each group of equal keys (family, block, block)."""
+def linked(keys: list[tuple], nodes: list[int], blocks: list[int], texts: list[bytes], bands: list[list[int] | None], threshold: float, need: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(node, links, least node it is connected with) within each group of equal keys (family or band, block, block).
+
+    Rows with bands (ascending) are dealt by band: a pair counts in the least band that both have.
+    """
     offs = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=offs[1:])
     h, at = shingle_sets(Run(np.frombuffer(b"".join(texts), np.uint8), offs))
@@ -157,9 +160,6 @@ def linked(keys: list[tuple], nodes: list[int], blocks: list[int], texts: list[b
     for key, group in groupby(range(len(keys)), keys.__getitem__):
         idx = np.array(sorted(group, key=nodes.__getitem__))
         ids = np.array([nodes[k] for k in idx])
-        first = np.ones(len(ids), bool)
-        first[1:] = ids[1:] != ids[:-1]
-        idx, ids = idx[first], ids[first]
         side = np.array([blocks[k] for k in idx])
         if key[1] == key[2]:
             i, j = survivors(sig, size, idx, None, threshold, need)
@@ -168,20 +168,25 @@ def linked(keys: list[tuple], nodes: list[int], blocks: list[int], texts: list[b
         if not len(i):
             continue
         ok = verify(h, at, i, j, threshold)
+        i, j = i[ok], j[ok]
+        if bands[idx[0]] is not None:
+            own = {k: frozenset(bands[k]) for k in idx.tolist()}
+            ok = np.array([min(own[p] & own[q]) == key[0] for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
+            i, j = i[ok], j[ok]
         place = np.full(len(texts), -1)
         place[idx] = np.arange(len(idx))
-        i, j = place[i[ok]], place[j[ok]]
+        i, j = place[i], place[j]
         n = np.bincount(i, minlength=len(idx)) + np.bincount(j, minlength=len(idx))
         root = local_roots(len(idx), i, j)
         out += [(int(ids[k]), int(n[k]), int(ids[root[k]])) for k in np.flatnonzero(n)]
     return out
 
 
-SIGNED = "doc_id long, h1 long, h2 long, n_shingles long, bands array<long>"
+SIGNED = "doc_id long, t long, h1 long, h2 long, n_shingles long, bands array<long>"
 
 
 def signed(docs: DataFrame, k: int = K) -> DataFrame:
-    """Each document's shingle set as a 128-bit hash, its size, and its bands' keys."""
+    """Each document's text hash, its shingle set as a 128-bit hash, its size, and its bands' keys."""
 
     def sign(batches):
         for batch in batches:
@@ -200,75 +205,131 @@ def signed(docs: DataFrame, k: int = K) -> DataFrame:
                 bands.append(key.view(np.int64))
             b = np.concatenate(bands)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * BANDS, pa.int32()), pa.array(b.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(np.concatenate(x)) for x in (h1, h2, n)], lists], names=["doc_id", "h1", "h2", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *[pa.array(np.concatenate(x)) for x in (h1, h2, n)], lists], names=["doc_id", "t", "h1", "h2", "n_shingles", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(sign, SIGNED)
 
 
 def compared(members: DataFrame, threshold: float) -> DataFrame:
-    """Links within each (family, block, block) of ``members``: node, links, root."""
+    """Links within each (group, block, block) of ``members``: node, links, root."""
     need = needed(threshold)
 
     def work(batches):
-        keys, nodes, blocks, texts, held = [], [], [], [], 0
+        keys, nodes, blocks, texts, bands, held = [], [], [], [], [], 0
 
-        def flush(upto: int):
+        def flush():
             nonlocal held
-            rows = linked(keys[:upto], nodes[:upto], blocks[:upto], texts[:upto], threshold, need)
-            for x in (keys, nodes, blocks, texts):
-                del x[:upto]
-            held = sum(map(len, texts))
+            rows = linked(keys, nodes, blocks, texts, bands, threshold, need)
+            for x in (keys, nodes, blocks, texts, bands):
+                x.clear()
+            held = 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)], names=["node", "links", "root"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("comp", "bi", "bj", "node", "block", "text")]
-            for comp, bi, bj, node, block, text in zip(*cols, strict=True):
-                key = (comp, bi, bj)
-                if held > BUFFER_BYTES and keys[-1] != key:
-                    yield flush(len(keys))
-                keys.append(key)
-                nodes.append(node)
-                blocks.append(block)
-                texts.append((text or "").encode())
-                held += len(texts[-1])
+            cols = [batch.column(c).to_pylist() for c in ("group", "bi", "bj", "node", "block", "kept")]
+            for run in runs(batch.column("text")):
+                for k in range(len(run)):
+                    group, bi, bj, node, block, kept = (c[run.first + k] for c in cols)
+                    key = (group, bi, bj)
+                    if held > BUFFER_BYTES and keys[-1] != key:
+                        yield flush()
+                    for x, y in zip((keys, nodes, blocks, texts, bands), (key, node, block, run.text(k), kept), strict=True):
+                        x.append(y)
+                    held += len(texts[-1])
         if keys:
-            yield flush(len(keys))
+            yield flush()
 
-    dealt = members.repartition(cluster.parts(members.sparkSession), "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "node", "text")
+    dealt = members.repartition(cluster.parts(members.sparkSession), "group", "bi", "bj").sortWithinPartitions("group", "bi", "bj", "node")
     return dealt.mapInArrow(work, "node long, links long, root long")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row a row of ``docs``: doc_id, class_id, n_links, group_id, n_shingles.
+def blocks_of(n: Column, shingles_: Column) -> Column:
+    return F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(shingles_ / F.lit(BLOCK_SHINGLES))).cast("int")
+
+
+def in_blocks(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``rows`` (node, nb: the blocks of its group) once for each pair of blocks that its own block is in."""
+    placed = rows.select(*keep, "nb", F.pmod(F.xxhash64("node", F.lit(3)), F.col("nb")).cast("int").alias("block"))
+    placed = placed.select(*keep, "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    return placed.select(*keep, "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
 
-    class_id is the least id with the same shingle set; n_links counts the other classes
-    whose similarity reaches ``threshold``; group_id is the least id of the documents
-    that links connect. A text without a word (or null) is like none: it is its own class
-    and group. Rows that share an id count as one document; rows without an id get the
-    class of their text, which is null where no row of that text has an id.
+
+def dealt_out(families: DataFrame, reps: DataFrame, n_shingles: DataFrame) -> DataFrame:
+    """(group, bi, bj, node, block, kept): where each class of a family meets the others.
+
+    By default every class meets all of its family, block by block. A family whose bands
+    are much smaller than itself (a chain) is dealt by band where that takes fewer rows: by
+    one band of those with the same classes, whose keys a row lists in ``kept``.
+    families: node, comp; reps: node, band; n_shingles: node, n_shingles.
+    """
+    own = families.join(n_shingles, "node")
+    sizes = own.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).select("comp", "n", blocks_of(F.col("n"), F.col("s")).alias("nb"))
+    large = sizes.where("nb > 2").select("comp", (F.col("n") * F.col("nb")).alias("whole"))
+    inside = cluster.materialise(reps.join(own.join(large, "comp"), "node").select("node", "comp", "whole", "n_shingles", "band"))
+    same = inside.groupBy("band").agg(F.first("comp").alias("comp"), F.first("whole").alias("whole"), F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x")).where("n > 1")
+    one = cluster.materialise(same.groupBy("comp", "n", "low", "high", "x").agg(F.min("band").alias("band"), F.first("whole").alias("whole"), F.first("s").alias("s")).select("comp", "whole", "band", "n", blocks_of(F.col("n"), F.col("s")).alias("nb")))
+    chains = one.groupBy("comp").agg(F.sum(F.col("n") * F.col("nb")).alias("rows"), F.first("whole").alias("whole")).where("rows < whole").select("comp")
+    chains = cluster.materialise(chains)
+    whole = own.join(sizes, "comp").join(chains, "comp", "left_anti").select(F.col("comp").alias("group"), "node", "nb", F.lit(None).cast("array<long>").alias("kept"))
+    if chains.isEmpty():
+        return in_blocks(whole, ["group", "node", "kept"])
+    banded = inside.select("node", "band").join(one.join(chains, "comp", "left_semi").select("band", "nb"), "band")
+    kept = banded.groupBy("node").agg(F.array_sort(F.collect_list("band")).alias("kept"))
+    banded = banded.join(kept, "node").select(F.col("band").alias("group"), "node", "nb", "kept")
+    return in_blocks(whole.unionByName(banded), ["group", "node", "kept"])
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row a row of ``docs``: doc_id, class_id, n_links, group_id, n_shingles, text_hash, is_first.
+
+    A class is all texts with one shingle set, whatever ids they have: class_id is the
+    least of its rows' ids, or where that is null or another class's too a hash of the set.
+    n_links counts the other classes whose similarity reaches ``threshold``; group_id is
+    the least class_id that links connect; is_first holds for one of the group's distinct
+    (doc_id, text) and its repetitions. A text without a word (or null) is like none: it is
+    its own class and group, first in it, under its own id. Rows that share an id but not
+    the text are documents of their own; rows without an id too.
     """
     sign = cluster.materialise(signed(docs))
     full = sign.where("n_shingles > 0")
-    classes = cluster.materialise(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id")))
-    reps = full.join(classes, ["h1", "h2"]).where(F.col("doc_id") == F.col("class_id")).select("class_id", F.explode("bands").alias("band"))
-    shared = reps.groupBy("band").agg(F.min("class_id").alias("root"), F.max("class_id").alias("last")).where("root != last").select("band", "root")
-    edges = reps.join(shared, "band").where("class_id != root").select(F.col("class_id").alias("a"), F.col("root").alias("b"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    by_set = full.groupBy("h1", "h2").agg(F.min(key).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    by_set = cluster.materialise(by_set.select("h1", "h2", F.col("first.doc_id").alias("id"), F.col("first.t").alias("t"), "n_shingles", "bands"))
+    twice = by_set.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id")
+    # ids of several texts are rare; their classes go by the set's hash
+    classes = by_set.join(twice.withColumn("twice", F.lit(True)), "id", "left").withColumn("node", F.when(F.col("id").isNull() | F.col("twice").isNotNull(), F.xxhash64("h1", "h2")).otherwise(F.col("id"))).drop("twice")
+    classes = cluster.materialise(classes)
+    reps = classes.select("node", F.explode("bands").alias("band"))
+    shared = reps.groupBy("band").agg(F.min("node").alias("root"), F.max("node").alias("last")).where("root != last").select("band", "root")
+    edges = reps.join(shared, "band").where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     families = components(edges)
-    sizes = families.groupBy("comp").agg(F.count("*").alias("n"))
-    nb = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    placed = families.join(sizes, "comp").select("node", "comp", nb.alias("nb"), F.pmod(F.xxhash64("node"), nb).cast("int").alias("block"))
-    placed = placed.select("node", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    placed = placed.select("node", "comp", "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"))
+    where = dealt_out(families, reps, classes.select("node", "n_shingles"))
+    firsts = families.select("node").join(classes.select("node", F.col("id").alias("_id"), F.col("t").alias("_t")), "node")
     # by hash on both sides at every size: texts are the larger side, and members grow with the corpus
-    members = placed.hint("merge").join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
-    found = cluster.materialise(compared(members, threshold))
-    links = found.groupBy(F.col("node").alias("class_id")).agg(F.sum("links").alias("n_links"))
-    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("class_id"), F.col("comp").alias("group_id"))
-    by_class = classes.join(links, "class_id", "left").join(groups, "class_id", "left")
-    out = full.select("doc_id", "h1", "h2", "n_shingles").join(by_class, ["h1", "h2"]).select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), "n_shingles")
-    bare = sign.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"), "n_shingles")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    texts = firsts.hint("merge").join(rows, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("t"))).groupBy("node").agg(F.first("text").alias("text"))
+    found = cluster.materialise(compared(where.join(texts, "node"), threshold))
+    links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
+    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).select("node", F.col("comp").alias("group_id"))
+    by_class = classes.select("h1", "h2", F.col("node").alias("class_id"), F.col("id").alias("_id"), F.col("t").alias("_t"), "node").join(links, "node", "left").join(groups, "node", "left").drop("node")
+    first = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("t")) & (F.coalesce("group_id", "class_id") == F.col("class_id"))
+    out = full.select("doc_id", "t", "h1", "h2", "n_shingles").join(by_class, ["h1", "h2"]).select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), "n_shingles", F.col("t").alias("text_hash"), first.alias("is_first"))
+    bare = sign.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"), "n_shingles", F.col("t").alias("text_hash"), F.lit(True).alias("is_first"))
     return out.union(bare)
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each group of near copies; texts without a word all stay."""
+    verdict = join(docs, threshold).select("doc_id", "text_hash", "is_first", "n_shingles")
+    # repetitions of one (doc_id, text) are told apart by their number only
+    once = cluster.materialise(verdict.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("is_first").alias("is_first"), F.max("n_shingles").alias("s")))
+    drop = once.where("not is_first or (n > 1 and s > 0)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_t"), "is_first")
+    rows = docs.select(F.struct("*").alias("_row")).withColumn("_h", F.xxhash64(F.col("_row.text")))
+    same = F.col("_id").eqNullSafe(F.col("_row.doc_id").cast("long")) & (F.col("_t") == F.col("_h"))
+    kept = rows.join(drop, same, "left_anti")
+    again = rows.join(drop.where("is_first"), same, "left_semi").groupBy(F.col("_row.doc_id").alias("_id"), "_h").agg(F.first("_row").alias("_row"))
+    return cluster.from_rows(kept.select("_row").unionByName(again.select("_row")), docs.columns)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(cluster.table(spark, sf_dir, "documents"))

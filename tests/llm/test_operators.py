@@ -114,6 +114,30 @@ def test_ngram_join_of_a_large_family(spark):
     assert got == near_duplicates(docs)
 
 
+def test_ngram_join_of_a_chain(spark, monkeypatch):
+    """A long chain, each text like its neighbours only, is dealt by band; links are the same."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    words = [f"w{i}" for i in range(2000)]
+    docs = [(i, " ".join(words[i : i + 60])) for i in range(0, 900, 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = near_duplicates(docs)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["group_id"]) for r in neardup.join(df).collect()}
+    assert got == want and len({g for _, _, g in want.values()}) < 20
+
+
+def test_rows_of_one_id_or_none(spark):
+    """Several texts under one id are documents of their own, and texts without an id are compared."""
+    text = " ".join(f"word{i}" for i in range(60))
+    near = text.replace("word59", "other")
+    far = " ".join(f"else{i}" for i in range(60))
+    docs = [(1, text), (1, far), (1, far), (2, near), (None, far.replace("else0", "x")), (None, "quite another text of ten words in all, or so"), (None, None), (5, " ")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = neardup.join(df).collect()
+    assert len(rows) == len(docs) and sum(r.n_links for r in rows) == 5
+    kept = Counter((r.doc_id, r.text) for r in neardup.one_of_each(df).collect())
+    assert kept == Counter([(1, text), (1, far), docs[5], docs[6], docs[7]])
+
+
 def test_pruning_bound():
     need = neardup.needed(0.8, 1e-6)
     assert all(0 < m < n for n, m in need.items()) and list(need.values()) == sorted(need.values())
