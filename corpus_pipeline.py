@@ -28,11 +28,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, the one with the least id; rows without an id all stay."""
-    verdict = neardup.join(docs)
-    losers = verdict.where("doc_id != group_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(losers, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keeps one document of each group of near copies.
+
+    Rows that share an id but not the text are documents of their own, and rows without an
+    id are compared like others; rows alike in both are copies.
+    """
+    return neardup.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
