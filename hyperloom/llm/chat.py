@@ -91,44 +91,59 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_LOADED: dict[str, object] = {}
+
+
 def load(path: str):
-    """The tokenizer with the template's marks as special tokens."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import AddedToken, Tokenizer
+    """The tokenizer with the template's marks as special tokens; a worker keeps it between tasks."""
+    if path not in _LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import AddedToken, Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.add_special_tokens([AddedToken(m, normalized=False, special=True) for m in (TURN, TEXT, END)])
-    return t
+        t = Tokenizer.from_file(path)
+        t.add_special_tokens([AddedToken(m, normalized=False, special=True) for m in (TURN, TEXT, END)])
+        _LOADED[path] = t
+    return _LOADED[path]
 
 
-SCHEMA = "conv_id long, formatted string, n_tokens long, token_ids array<int>, loss_mask array<boolean>, mask_text string"
+#: Characters of conversations that a worker renders and encodes at once; a longer one by itself.
+AT_ONCE = 1 << 18
+SCHEMA = "conv_id long, formatted string, n_tokens long, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
 
 
 def format_conversations(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """One row a conversation: the formatted text, its tokens, their mask, and the text under the mask.
+    """One row a conversation: the formatted text, its tokens with the characters they span, and their mask.
 
     Turns come in order of turn (nulls first), then role, then text; a null role or text
     is empty, and repeated rows are repeated turns. A null conv_id is a conversation too.
-    A conversation is rendered whole, so it is gathered whole; nothing else is.
+    A conversation is rendered and encoded whole, so it is gathered whole; nothing else is.
     """
     where = tokenizer or default_tokenizer()
     turns = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t")).select("conv_id", F.col("t.role").alias("role"), F.col("t.text").alias("text"))
+    types = [pa.int64(), pa.string(), pa.int64(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_())]
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def encoded(held: list[tuple]) -> pa.RecordBatch:
+        cols: list[list] = [[] for _ in names]
+        for (conv, text, spans), e in zip(held, load(where).encode_batch([h[1] for h in held], add_special_tokens=False), strict=True):
+            offs = np.array(e.offsets, np.int64).reshape(-1, 2)
+            for c, x in zip(cols, (conv, text, len(offs), e.ids, offs[:, 0].tolist(), offs[:, 1].tolist(), mask(offs, spans).tolist()), strict=True):
+                c.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=names)
 
     def work(batches):
-        t = load(where)
+        held, size = [], 0
         for batch in batches:
-            ids, roles, texts = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))
-            for i in range(0, len(ids), 256):
-                done = [render(list(zip(r, x, strict=True))) for r, x in zip(roles[i : i + 256], texts[i : i + 256], strict=True)]
-                cols: list[list] = [[] for _ in range(6)]
-                for conv, (text, spans), e in zip(ids[i : i + 256], done, t.encode_batch([d[0] for d in done], add_special_tokens=False), strict=True):
-                    offs = np.array(e.offsets, np.int64).reshape(-1, 2)
-                    on = mask(offs, spans)
-                    for c, x in zip(cols, (conv, text, len(offs), e.ids, on.tolist(), masked_text(text, offs, on)), strict=True):
-                        c.append(x)
-                types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["conv_id", "formatted", "n_tokens", "token_ids", "loss_mask", "mask_text"])
+            for i in range(batch.num_rows):
+                conv, roles, texts = (batch.column(c)[i].as_py() for c in ("conv_id", "role", "text"))
+                held.append((conv, *render(list(zip(roles, texts, strict=True)))))
+                size += len(held[-1][1])
+                if size >= AT_ONCE:
+                    yield encoded(held)
+                    held, size = [], 0
+        if held:
+            yield encoded(held)
 
     return whole.mapInArrow(work, SCHEMA)
 
@@ -137,16 +152,20 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What a formatted conversation reads back as."""
+    """What a formatted conversation reads back as: its turns by the marks, its loss by the mask and the tokens' spans."""
 
     def work(batches):
         for batch in batches:
             rows = []
-            for r in batch.select(["conv_id", "formatted", "n_tokens", "loss_mask", "mask_text"]).to_pylist():
-                turns = parse(r["formatted"])
-                said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                loss = r["mask_text"]
-                rows.append((r["conv_id"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(r["formatted"]), r["n_tokens"], sum(r["loss_mask"])))
+            for i in range(batch.num_rows):
+                conv, text, n, starts, ends, on = (batch.column(c)[i] for c in ("conv_id", "formatted", "n_tokens", "token_starts", "token_ends", "loss_mask"))
+                text = text.as_py()
+                turns = parse(text)
+                said = "".join(f"{role}\n{t}\n" for role, t in turns)
+                offs = np.stack([x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (starts, ends)], 1)
+                on = on.values.to_numpy(zero_copy_only=False).astype(bool)
+                loss = masked_text(text, offs, on)
+                rows.append((conv.as_py(), len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), n.as_py(), int(on.sum())))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
             kinds = [pa.string() if i in (2, 4) else pa.int64() for i in range(8)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
@@ -155,7 +174,9 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe; turns that the table itself has under the probe's id are left out, so that the probe is as stated."""
     rows = cluster.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     conv, texts = PROBE
+    rows = rows.where(~F.col("conv_id").eqNullSafe(F.lit(conv)))
     probe = spark.createDataFrame([(conv, i, r, t) for i, (r, t) in enumerate(zip(("user", "assistant"), texts, strict=True))], "conv_id long, turn long, role string, text string")
     return digest(format_conversations(rows.unionByName(probe)))

@@ -3,8 +3,9 @@
 Per language, byte contexts of up to ``ORDER`` bytes hold symbol counts; a symbol unseen
 in a context is reached through an escape (method C: as many escape counts as distinct
 symbols) to the next shorter context with the seen symbols excluded, down to a uniform
-order.  The statistics are frozen after training, so the whole model is one table of code
-lengths by (context, next byte, language), and a text costs a few array look-ups a byte.
+order.  The statistics are frozen after training, so the whole model is one table of exact
+code lengths by (context, next byte, language), and a text costs a few array look-ups a
+byte.  The longer contexts are the most frequent ones that the table has room for.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cluster
-from .textops import Run, folded, runs
+from .textops import CHUNK_BYTES, Run, folded, runs
 
-ORDER = 3
-#: Training texts of about so many characters a language are drawn; the model's size follows.
-SAMPLE_CHARS = 1_500_000
-MIN_CONTEXT = 3
-SCALE = 64
+ORDER = 4
+#: Training texts of about so many characters a language are drawn, and in all.
+SAMPLE_CHARS, ALL_CHARS = 1_500_000, 12_000_000
+#: Contexts that training has fewer times are no better than shorter ones. Cells of the table of code lengths.
+MIN_CONTEXT, CELLS = 3, 1 << 23
 #: Bits of evidence counted at most, so that scores stay informative for long texts.
 EVIDENCE_BYTES = 200
 
@@ -36,10 +37,20 @@ class Model:
     langs: list[str]
     symbol: np.ndarray  # 256 -> 1..; 0 is a text's start, 1 any byte that training lacks
     steps: list[np.ndarray]  # steps[k]: (context of k bytes, symbol) -> context of k + 1 bytes
-    code: np.ndarray  # (context * symbols + symbol, language) -> code length, 1 / SCALE bits
+    code: np.ndarray  # (context * symbols + symbol, language) -> code length in bits
 
     def bits(self, run: Run) -> np.ndarray:
-        """Code length of each text under each language, in bits."""
+        """Code length of each text under each language, in bits. A text much longer than a run is taken in pieces."""
+        if len(run) > 1 or len(run.buf) <= 2 * CHUNK_BYTES:
+            return self._bits(run, 0)
+        out, order = np.zeros((1, len(self.langs))), len(self.steps)
+        for i in range(0, len(run.buf), CHUNK_BYTES):
+            piece = run.buf[max(0, i - order) : i + CHUNK_BYTES]
+            out += self._bits(Run(piece, np.array([0, len(piece)])), min(i, order))
+        return out
+
+    def _bits(self, run: Run, skip: int) -> np.ndarray:
+        """skip: bytes of the text that only serve as context."""
         n, a = len(run), len(self.steps[0])
         sym = np.zeros(len(run.buf) + n, np.int32)
         starts = run.offs[:-1] + np.arange(n)
@@ -50,15 +61,22 @@ class Model:
         best = level.copy()
         for step in self.steps[1:]:
             nxt = np.zeros_like(level)
-            nxt[1:] = step[level[:-1] * a + sym[1:]]
+            nxt[1:] = step[level[:-1].astype(np.int64) * a + sym[1:]]
             level = nxt
             np.copyto(best, level, where=level > 0)
-        cost = np.zeros((len(sym), len(self.langs)), np.int32)
-        cost[1:] = self.code[best[:-1] * a + sym[1:]]
-        cost[starts] = 0
-        if len(sym) <= 1 << 20:
-            return np.add.reduceat(cost, starts, axis=0) / SCALE if n else np.zeros((0, len(self.langs)))
-        return np.stack([cost[s:e].sum(0, dtype=np.int64) for s, e in zip(starts, [*starts[1:], len(sym)], strict=True)]) / SCALE
+        at = np.zeros(len(sym), np.int64)
+        at[1:] = best[:-1].astype(np.int64) * a + sym[1:]
+        inside[: skip + 1] &= skip == 0
+        out = np.zeros((n, len(self.langs)))
+        which = np.repeat(np.arange(n), np.diff(np.append(starts, len(sym))))
+        step = max(1, (1 << 21) // len(self.langs))
+        for i in range(0, len(sym), step):
+            cost = self.code[at[i : i + step]].astype(np.float64)
+            cost[~inside[i : i + step]] = 0
+            own = which[i : i + step]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            out[own[first]] += np.add.reduceat(cost, first, axis=0)
+        return out
 
 
 def train(samples: dict[str, list[str]], order: int = ORDER) -> Model | None:
@@ -87,7 +105,7 @@ def train(samples: dict[str, list[str]], order: int = ORDER) -> Model | None:
         out = []
         for c, s in zip(level, streams, strict=True):
             ok = (c[:-1] >= base) & (s[1:] > 0)
-            out.append(np.bincount((c[:-1][ok] - base) * a + s[1:][ok], minlength=size * a).reshape(size, a))
+            out.append(np.bincount((c[:-1][ok] - base) * a + s[1:][ok], minlength=size * a).astype(np.int32).reshape(size, a))
         return np.stack(out, 2)
 
     counts.append(tally(levels, 1, a))
@@ -95,7 +113,11 @@ def train(samples: dict[str, list[str]], order: int = ORDER) -> Model | None:
     for _ in range(1, order):
         key = [np.where((c[:-1] >= base_before) & (s[1:] > 0), c[:-1].astype(np.int64) * a + s[1:], -1) for c, s in zip(levels, streams, strict=True)]
         seen, n = np.unique(np.concatenate(key), return_counts=True)
-        keep = seen[(seen >= 0) & (n >= MIN_CONTEXT)]
+        ok = (seen >= 0) & (n >= MIN_CONTEXT)
+        room = max(0, CELLS // (a * len(langs)) - total)
+        if ok.sum() > room:  # the most frequent ones; among equals the first
+            ok[np.argsort(-np.where(ok, n, 0), kind="stable")[room:]] = False
+        keep = seen[ok]
         step = np.zeros(total * a, np.int32)
         step[keep] = np.arange(len(keep)) + total
         # drop a context's first byte: the suffix of the context before, extended by the same byte
@@ -113,35 +135,39 @@ def train(samples: dict[str, list[str]], order: int = ORDER) -> Model | None:
         shorter = step
         total += len(keep)
     flat = np.concatenate(suffix)
-    prob = np.empty((total, a, len(langs)))
+    prob = np.empty((total, a, len(langs)), np.float32)
     at = 0
     for block in counts:
-        n = block.sum(1, keepdims=True)
-        q = (block > 0).sum(1, keepdims=True)
-        size = len(block)
-        low = np.full((1, a, len(langs)), 1.0 / (a - 1)) if at == 0 else prob[flat[at : at + size]]
-        if at == 0:
-            low[:, 0] = 0
-        rest = np.where(block > 0, 0.0, low)
-        mass = rest.sum(1, keepdims=True)
-        esc = np.where(n > 0, q / np.maximum(n + q, 1), 1.0)
-        esc = np.where(mass > 0, esc, 0.0)
-        known = block / np.maximum(n, 1)
-        prob[at : at + size] = (1 - esc) * known + esc * rest / np.where(mass > 0, mass, 1.0)
-        at += size
-    code = np.minimum(-np.log2(np.maximum(prob, 1e-9)), 30.0) * SCALE
-    return Model(langs, symbol, steps, np.rint(code).astype(np.int32).reshape(total * a, len(langs)))
+        for i in range(0, len(block), 1024):  # a context needs those of shorter levels only
+            part = block[i : i + 1024]
+            n = part.sum(1, keepdims=True)
+            q = (part > 0).sum(1, keepdims=True)
+            size = len(part)
+            low = prob[flat[at : at + size]].astype(np.float64) if at else np.full((1, a, len(langs)), 1.0 / (a - 1))
+            if not at:
+                low[:, 0] = 0
+            rest = np.where(part > 0, 0.0, low)
+            mass = rest.sum(1, keepdims=True)
+            esc = np.where(n > 0, q / np.maximum(n + q, 1), 1.0)
+            esc = np.where(mass > 0, esc, 0.0)
+            known = part / np.maximum(n, 1)
+            prob[at : at + size] = (1 - esc) * known + esc * rest / np.where(mass > 0, mass, 1.0)
+            at += size
+    with np.errstate(divide="ignore"):  # a text's start is never coded
+        np.log2(prob, out=prob)
+    return Model(langs, symbol, steps, np.negative(prob, out=prob).reshape(total * a, len(langs)))
 
 
 def fit(docs: DataFrame, seen=None, sample_chars: int = SAMPLE_CHARS) -> Model | None:
-    """Trains on a sample of about ``sample_chars`` characters of each language, drawn by text hash."""
+    """Trains on a sample of about ``sample_chars`` characters of each language, ALL_CHARS of all, drawn by text hash; of one text as many at most."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (seen if seen is not None else F.lit(True)))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     sizes = {k: v for k, v in sizes.items() if v}
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, sample_chars / v))])
-    picked = rows.where(cluster.chance(F.col("text")) < F.try_element_at(share, F.col("lang"))).select("lang", "text").distinct()
+    most = max(1, min(sample_chars, ALL_CHARS // len(sizes)))
+    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, most / v))])
+    picked = rows.where(cluster.chance(F.col("text")) < F.try_element_at(share, F.col("lang"))).select("lang", F.substring("text", 1, most).alias("text")).distinct()
     samples: dict[str, list[str]] = {}
     for r in picked.collect():
         samples.setdefault(r["lang"], []).append(r["text"])
@@ -176,7 +202,8 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
     """The columns ``keep`` of ``docs``, with lang_pred, score and bits_per_byte of its text.
 
     Null texts and texts without a letter get ``und`` and score 0; ties go to the
-    language that sorts first. Repeated rows are scored alike, each in its own row.
+    language that sorts first. Long texts are coded whole. Repeated rows are scored alike,
+    each in its own row.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by soft membership, in DataFrame operations only.
 
-A naive Bayes classifier over letter counts, fitted on a labelled table, gives each text a
-posterior over domains. Every document then gets a nonnegative rate so that the domains'
+A naive Bayes classifier, fitted on a labelled table, gives each text a posterior over
+domains. What it counts are the characters and pairs of characters that tell most about the
+domains of that table, found on a bounded sample of its rows. Every document then gets a nonnegative rate so that the domains'
 expected token totals (tokens x rate x posterior, summed) come as close as they can to the
 target weights: least squares by projected gradient. A step only needs one sum a domain,
 so each iteration is one aggregation, and a document's rate is a fixed expression of its
@@ -20,20 +21,27 @@ from pyspark.sql import functions as F
 
 from . import cluster
 
-#: Counted characters: fixed values, letters whose shares tell the languages at hand apart.
-LETTERS = "äöüßñóíçéèêwkzqjvxbh"
+#: Characters and pairs that are counted, and how many characters of each domain are sampled to choose them.
+FEATURES, SAMPLE_CHARS = 20, 300_000
+#: Of the sample's characters, the share that a counted one makes up at least.
+LEAST_SHARE = 2e-4
 ROUNDS = 40
 TOLERANCE = 1e-4
-#: A text's bytes count for its posterior as if it had at most about so many, so that posteriors stay soft.
-EVIDENCE = 200.0
+#: Labelled rows, drawn at random, on which the evidence is chosen.
+CALIBRATED_ROWS = 100_000
+#: A text's bytes count for its posterior as if it had at most so many: whichever of these
+#: gives the labelled rows' own domains the greatest probability, so that posteriors are as soft as they should be.
+EVIDENCE = (6.0, 12.0, 25.0, 50.0, 100.0, 200.0, 400.0)
 
 
 @dataclass
 class Mixer:
+    marks: list[str]
     domains: list[str]
     prior: list[float]
-    weight: list[list[float]]  # by letter (and all others last), by domain: log share
+    weight: list[list[float]]  # by mark (and all other bytes last), by domain: log share
     target: list[float]
+    evidence: float = EVIDENCE[-1]
     steps: list[list[float]] = field(default_factory=list)
     totals: list[list[float]] = field(default_factory=list)
 
@@ -43,8 +51,40 @@ def without(text: Column, part: str) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part)))
 
 
-def letter_counts(text: Column) -> list[Column]:
-    return [(without(text, c) / F.lit(len(c.encode()))).cast("int").alias(f"_c{i}") for i, c in enumerate(LETTERS)]
+def choose_marks(labelled: DataFrame, domain: str, n: int = FEATURES) -> list[str]:
+    """The ``n`` characters or pairs whose counts say most about ``domain`` (by mutual information), from a sample of about SAMPLE_CHARS a domain.
+
+    One that mostly stands within one that is chosen already adds little and is passed over.
+    """
+    rows = labelled.where(F.col(domain).isNotNull() & (F.octet_length("text") > 0)).select(F.col(domain).cast("string").alias("d"), "text")
+    sizes = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.sum(F.length("text")).alias("n")).collect()}
+    if not sizes:
+        return []
+    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, SAMPLE_CHARS / v))])
+    letters = rows.where(F.rand(5) < F.try_element_at(share, F.col("d"))).select("d", F.split("text", "").alias("c"))
+    both = letters.select("d", F.explode(F.flatten(F.transform("c", lambda c, i: F.array(c, F.concat(c, F.coalesce(F.get("c", i + 1), F.lit(""))))))).alias("g"))
+    names = sorted(sizes)
+    counted = both.groupBy("g").agg(*[F.count_if(F.col("d") == d).alias(f"n{i}") for i, d in enumerate(names)], F.count("*").alias("n"))
+    totals = letters.groupBy("d").agg(F.sum(F.size("c")).alias("n")).collect()
+    per = np.array([next((r["n"] for r in totals if r["d"] == d), 0) for d in names], float) + 1
+    found = counted.where((F.col("n") >= LEAST_SHARE * per.sum()) & (F.trim("g") == F.col("g")) & (F.length("g") > 0)).orderBy("g").collect()
+    if not found:
+        return []
+    p = (np.array([[r[f"n{i}"] for i in range(len(names))] for r in found], float) + 0.5) / per
+    mean = p.mean(1, keepdims=True)
+    gain = (p * np.log(p / mean)).mean(1)
+    chosen: list[int] = []
+    for k in np.argsort(-gain, kind="stable").tolist():
+        a = found[k]["g"]
+        if not any((a in found[c]["g"] or found[c]["g"] in a) and 2 * min(found[k]["n"], found[c]["n"]) > max(found[k]["n"], found[c]["n"]) for c in chosen):
+            chosen.append(k)
+        if len(chosen) == n:
+            break
+    return [found[k]["g"] for k in chosen]
+
+
+def mark_counts(text: Column, marks: list[str]) -> list[Column]:
+    return [(without(text, c) / F.lit(len(c.encode()))).cast("int").alias(f"_c{i}") for i, c in enumerate(marks)]
 
 
 def tokens(text: Column) -> Column:
@@ -52,43 +92,52 @@ def tokens(text: Column) -> Column:
     return F.when(F.octet_length(text) > 0, 1 + without(text, " ") + without(text, "\n")).otherwise(0).cast("long")
 
 
-def features(docs: DataFrame, keep: list[str]) -> DataFrame:
+def drawn_by(docs: DataFrame) -> Column:
+    """What a row's chance depends on: its id and its text."""
+    return F.xxhash64(F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.lit(None).cast("string"), "text")
+
+
+def features(docs: DataFrame, marks: list[str], keep: list[str]) -> DataFrame:
     base = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     text = F.col("_text")
-    return base.select(*keep, tokens(text).alias("_tokens"), F.octet_length(text).cast("long").alias("_n"), *letter_counts(text))
+    return base.select(*keep, tokens(text).alias("_tokens"), F.octet_length(text).cast("long").alias("_n"), *mark_counts(text, marks))
 
 
-def columns() -> list[str]:
-    return [f"_c{i}" for i in range(len(LETTERS))]
+def columns(marks: list[str]) -> list[str]:
+    return [f"_c{i}" for i in range(len(marks))]
 
 
-def fit_classifier(feats: DataFrame, domain: str, targets: dict[str, float] | None = None) -> Mixer | None:
+def others(marks: list[str]) -> Column:
+    """Bytes that no mark takes up, as marks may overlap 0 at least."""
+    return F.greatest(F.col("_n") - reduce(lambda a, b: a + b, [F.col(c) * F.lit(len(m.encode())) for c, m in zip(columns(marks), marks, strict=True)], F.lit(0)), F.lit(0))
+
+
+def fit_classifier(feats: DataFrame, marks: list[str], domain: str, targets: dict[str, float] | None = None) -> Mixer | None:
     """Naive Bayes from all rows of ``feats`` whose ``domain`` isn't null. targets: weight by domain; equal ones by default."""
-    cols = columns()
-    rows = feats.where(F.col(domain).isNotNull()).groupBy(F.col(domain).cast("string").alias("d")).agg(F.count("*").alias("rows"), F.sum("_n").alias("n"), *[F.sum(c).alias(c) for c in cols]).orderBy("d").collect()
+    cols = columns(marks)
+    rows = feats.where(F.col(domain).isNotNull()).groupBy(F.col(domain).cast("string").alias("d")).agg(F.count("*").alias("rows"), F.sum("_n").alias("n"), F.sum(others(marks)).alias("_rest"), *[F.sum(c).alias(c) for c in cols]).orderBy("d").collect()
     rows = [r for r in rows if r["n"]]
     if not rows:
         return None
     domains = [r["d"] for r in rows]
-    counts = np.array([[r[c] for c in cols] for r in rows], float)
-    counts = np.concatenate([counts, np.maximum(np.array([[r["n"]] for r in rows], float) - counts.sum(1, keepdims=True), 0)], 1) + 1.0
+    counts = np.array([[*[r[c] for c in cols], r["_rest"]] for r in rows], float) + 1.0
     share = np.log(counts / counts.sum(1, keepdims=True))
     prior = np.array([r["rows"] for r in rows], float)
     want = np.array([float((targets or {}).get(d, 0 if targets else 1)) for d in domains])
     if want.sum() <= 0:
         want = np.ones(len(domains))
-    return Mixer(domains, np.log(prior / prior.sum()).tolist(), share.T.tolist(), (want / want.sum()).tolist())
+    return Mixer(marks, domains, np.log(prior / prior.sum()).tolist(), share.T.tolist(), (want / want.sum()).tolist())
 
 
 def with_posterior(feats: DataFrame, mixer: Mixer, keep: list[str]) -> DataFrame:
-    """``keep`` and _post, the array of domain probabilities from the letter counts; a text without letters has the prior.
+    """``keep`` and _post, the array of domain probabilities from the counts; an empty text has the prior.
 
     Logits, their maximum and their exponentials are columns in turn, so that each is
     computed once a row and not once a use.
     """
-    cols = [F.col(c).cast("double") for c in columns()]
-    other = F.greatest(F.col("_n") - reduce(lambda a, b: a + b, [F.col(c) for c in columns()]), F.lit(0)).cast("double")
-    scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("_n"), F.lit(1)))
+    cols = [F.col(c).cast("double") for c in columns(mixer.marks)]
+    other = others(mixer.marks).cast("double")
+    scale = F.least(F.lit(1.0), F.lit(mixer.evidence) / F.greatest(F.col("_n"), F.lit(1)))
     k = range(len(mixer.domains))
     logits = [(F.lit(mixer.prior[d]) + scale * reduce(lambda a, b: a + b, [c * F.lit(w[d]) for c, w in zip([*cols, other], mixer.weight, strict=True)])).alias(f"_l{d}") for d in k]
     out = feats.select(*keep, *logits)
@@ -99,6 +148,21 @@ def with_posterior(feats: DataFrame, mixer: Mixer, keep: list[str]) -> DataFrame
     return out.select(*keep, F.array(*[F.col(f"_e{d}") / F.col("_sum") for d in k]).alias("_post"))
 
 
+def soften(feats: DataFrame, domain: str, mixer: Mixer) -> Mixer:
+    """Chooses the evidence by the mean log probability of the labelled rows' own domains."""
+    own = F.array_position(F.array(*[F.lit(d) for d in mixer.domains]), F.col(domain)).cast("int")
+    rows = feats.where(F.col(domain).isin(*mixer.domains))
+    n = rows.count()
+    if n > CALIBRATED_ROWS:
+        rows = cluster.materialise(rows.where(F.rand(6) < CALIBRATED_ROWS / n))
+    losses = {}
+    for e in EVIDENCE:
+        mixer.evidence = e
+        losses[e] = with_posterior(rows, mixer, [domain]).agg(F.avg(-F.log(F.greatest(F.element_at("_post", own), F.lit(1e-12))))).first()[0]
+    mixer.evidence = min(losses, key=losses.get)
+    return mixer
+
+
 def rate(mixer: Mixer, post: Column) -> Column:
     """A document's rate after the steps so far: from 1, each step down the gradient, cut off below 0."""
     out = F.lit(1.0)
@@ -142,36 +206,47 @@ def fit_rates(docs: DataFrame, mixer: Mixer, rounds: int = ROUNDS) -> Mixer:
 
 
 def fit(docs: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, labelled: DataFrame | None = None, keep: list[str] | None = None) -> tuple[Mixer | None, DataFrame]:
-    """Classifier and rates for ``docs``, and the written table they come from: ``keep``, _tokens, _post.
+    """Classifier and rates for ``docs``, and the written table they come from: ``keep``, _draw, _tokens, _post.
 
     labelled: a table with text and ``domain``; by default ``docs`` itself where ``domain``
-    isn't null. Texts are read once. Without labelled rows there is no mixer.
+    isn't null. Null texts count as empty: no tokens, and the prior. Long texts are counted
+    whole. Without labelled rows there is no mixer.
     """
     keep = keep or []
-    feats = cluster.materialise(features(docs.withColumn("_domain", F.col(domain).cast("string")) if labelled is None else docs.withColumn("_domain", F.lit(None).cast("string")), [*keep, "_domain"]))
-    mixer = fit_classifier(feats if labelled is None else features(labelled.withColumn("_domain", F.col(domain).cast("string")), ["_domain"]), "_domain", targets)
+    known = (docs if labelled is None else labelled).withColumn("_domain", F.col(domain).cast("string"))
+    marks = choose_marks(known, "_domain")
+    rows = docs.withColumn("_draw", drawn_by(docs))
+    rows = rows.withColumn("_domain", F.col(domain).cast("string")) if labelled is None else rows.withColumn("_domain", F.lit(None).cast("string"))
+    feats = cluster.materialise(features(rows, marks, [*keep, "_draw", "_domain"]))
+    taught = feats if labelled is None else cluster.materialise(features(known, marks, ["_domain"]))
+    mixer = fit_classifier(taught, marks, "_domain", targets)
     if mixer is None:
-        return None, feats.select(*keep, "_tokens", F.array().cast("array<double>").alias("_post"))
-    table = cluster.materialise(with_posterior(feats, mixer, [*keep, "_tokens"]))
+        return None, feats.select(*keep, "_draw", "_tokens", F.array().cast("array<double>").alias("_post"))
+    soften(taught, "_domain", mixer)
+    table = cluster.materialise(with_posterior(feats, mixer, [*keep, "_draw", "_tokens"]))
     return fit_rates(table, mixer), table
 
 
-def copies(rate_: str, key: Column) -> Column:
-    """How many times a row is taken: its rate's whole part, and once more by a hash of ``key`` with the rest as chance."""
+def copies(rate_: str, draw: Column) -> Column:
+    """How many times a row is taken: its rate's whole part, and once more by a hash of ``draw`` with the rest as chance."""
     whole = F.floor(rate_)
-    return (whole + F.when(cluster.chance(F.coalesce(key.cast("string"), F.lit(""))) < F.col(rate_) - whole, 1).otherwise(0)).cast("int")
+    return (whole + F.when(cluster.chance(draw) < F.col(rate_) - whole, 1).otherwise(0)).cast("int")
 
 
 def apply(docs: DataFrame, mixer: Mixer | None) -> DataFrame:
-    """``docs`` with each row taken as often as its rate says; the columns stay. Repeated rows are taken alike."""
+    """``docs`` with each row taken as often as its rate says; the columns stay.
+
+    The draw goes by id and text: rows without an id are drawn each by its text, and
+    repeated rows are taken alike.
+    """
     names = docs.columns
     if mixer is None:
         return docs
     text = F.coalesce("text", F.lit(""))
     # the row travels as one column, so that none of its names can clash with those made here
-    feats = docs.select(F.struct("*").alias("_row"), F.octet_length(text).cast("long").alias("_n"), *letter_counts(text))
-    rated = with_posterior(feats, mixer, ["_row"]).withColumn("_rate", rate(mixer, F.col("_post")))
-    taken = rated.select("_row", F.explode(F.array_repeat(F.lit(1), copies("_rate", F.col("_row")["doc_id"]))).alias("_copy"))
+    feats = docs.select(F.struct("*").alias("_row"), drawn_by(docs).alias("_draw"), F.octet_length(text).cast("long").alias("_n"), *mark_counts(text, mixer.marks))
+    rated = with_posterior(feats, mixer, ["_row", "_draw"]).withColumn("_rate", rate(mixer, F.col("_post")))
+    taken = rated.select("_row", F.explode(F.array_repeat(F.lit(1), copies("_rate", F.col("_draw")))).alias("_copy"))
     return taken.select(*[F.col("_row")[c].alias(c) for c in names])
 
 
@@ -181,6 +256,6 @@ TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixer, table = fit(cluster.table(spark, sf_dir, "documents"), "lang", TARGETS, keep=["doc_id"])
-    out = table.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_post").alias("posterior"))
+    out = table.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_post").alias("posterior"), "_draw")
     out = out.withColumn("rate", rate(mixer, F.col("posterior")) if mixer else F.lit(1.0))
-    return out.withColumn("copies", copies("rate", F.col("doc_id")))
+    return out.withColumn("copies", copies("rate", F.col("_draw"))).drop("_draw")

@@ -39,8 +39,10 @@ BURN_IN, SAMPLES = 1, 3
 #: Counts up to this have their table numbers drawn exactly; beyond, tables are added by doubling counts.
 EXACT = 64
 #: Tokens that a map task gathers before it deals them out, and text bytes behind one shard.
-GATHER_TOKENS, GATHER_DOCS = 1 << 21, 60_000
+GATHER_TOKENS = 1 << 21
 SHARD_BYTES = 20 << 20
+#: Text bytes whose documents one task sums up in the end, and the most of such tasks.
+SUMMED_BYTES, MOST_SUMMED = 64 << 20, 1 << 14
 #: A task deals to at most about so many others at once; beyond, tokens go by way of coarse shards and are merged there.
 MOST_FAN = 2048
 #: Text characters sampled to find the words that need more than one task (balance only; results don't depend on it).
@@ -266,7 +268,7 @@ def deal(docs: DataFrame, hot: Hot, shards: int, fan: int = 1) -> DataFrame:
             c = c | flag.astype(np.uint64)
             g = (pid << 24) + group
             rows = [(-1 - g % shards, g, None, ids[:], held[:], sizes[:])]
-            rows += [(shard, g, body, None, None, None) for shard, body in cut(key, c, n.astype(np.uint16), np.zeros(len(key), np.uint32), [g], shards, fan)]
+            rows += [(shard, g, body, None, None, None) for shard, body in cut(key, c, n.astype(np.uint32), np.zeros(len(key), np.uint32), [g], shards, fan)]
             for x in (w, ctx, doc, ids, held, sizes):
                 x.clear()
             group += 1
@@ -285,7 +287,7 @@ def deal(docs: DataFrame, hot: Hot, shards: int, fan: int = 1) -> DataFrame:
                 held += out[run.first : run.first + len(run)]
                 sizes += np.diff(offs).tolist()
                 have += len(a)
-                if have >= GATHER_TOKENS or len(ids) >= GATHER_DOCS - 5000:
+                if have >= GATHER_TOKENS:
                     yield flush()
         if ids:
             yield flush()
@@ -576,21 +578,21 @@ def score_shard(body: bytes, seat: bytes, found: dict[int, bytes], kept: list[di
     while i < len(groups):
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SUM_TOKENS, "right")) - 1)
         rows = order[bounds[i] : bounds[j]]
-        slot, which = np.unique((grp[rows].astype(np.int64) << 16) | doc[rows], return_inverse=True)
+        slot, which = np.unique((grp[rows].astype(np.int64) << 32) | doc[rows], return_inverse=True)
         word = flat[rows]
         sums = (slot, np.bincount(which, weights=cw[word] > 0).astype(np.uint32), np.bincount(which, weights=score[rows]).astype("<f4"), np.bincount(which, weights=word_base[word]).astype("<f8"))
         for x, y in zip(found, sums, strict=True):
             x.append(y)
         i = j
     slot, known, s, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
-    home = part_of(groups, parts)[slot >> 16]
+    home = part_of(groups, parts)[slot >> 32]
     rank = np.argsort(home, kind="stable")
     cuts = np.searchsorted(home[rank], np.arange(parts + 1))
     out = []
     for part in np.flatnonzero(np.diff(cuts)):
         mine = rank[cuts[part] : cuts[part + 1]]
-        own, g = np.unique(slot[mine] >> 16, return_inverse=True)
-        out.append((int(part), packed(groups[own], g.astype(np.uint32), (slot[mine] & 0xFFFF).astype(np.uint16), known[mine]), s[mine].tobytes(), b[mine].tobytes()))
+        own, g = np.unique(slot[mine] >> 32, return_inverse=True)
+        out.append((int(part), packed(groups[own], g.astype(np.uint32), (slot[mine] & 0xFFFFFFFF).astype(np.uint32), known[mine]), s[mine].tobytes(), b[mine].tobytes()))
     return out
 
 
@@ -603,10 +605,9 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def score(built: DataFrame, state: DataFrame, found: DataFrame, kept: list[dict], shards: int) -> DataFrame:
-    sc = built.sparkSession.sparkContext
-    shipped = sc.broadcast(kept)
-
-    parts = cluster.parts(built.sparkSession)
+    shipped = built.sparkSession.sparkContext.broadcast(kept)
+    # as many tasks as there are shards for so many bytes
+    parts = min(MOST_SUMMED, max(cluster.parts(built.sparkSession), math.ceil(shards * SHARD_BYTES / SUMMED_BYTES)))
     kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()))
     summed = "part int, docs binary, score binary, base binary, g long, doc_ids array<long>, held array<boolean>, sizes array<int>"
     names = [x.split()[0] for x in summed.split(", ")]

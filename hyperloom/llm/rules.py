@@ -112,7 +112,7 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_RO
     if not n:
         return None
     picked = good.where(cluster.chance(F.col("doc_id")) < min(1.0, trusted_rows / n)).distinct().withColumn("_good", F.lit(True))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left").select(F.col("_good").isNotNull().alias("good"), "text")
+    rows = docs.select("doc_id", "text").join(cluster.small(picked), "doc_id", "left").select(F.col("_good").isNotNull().alias("good"), "text")
 
     def count(batches):
         raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -142,6 +142,7 @@ def judge(docs: DataFrame, weights: np.ndarray | None, keep: list[str], threshol
 
     A null or empty text has no words and fails the base rules; a text shorter than a
     window has llr 0. Without trusted rows the llr is 0 and the base rules alone decide.
+    Long texts are read whole; repeated rows are judged alike.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
