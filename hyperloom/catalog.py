@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from .api import Graph
 from .functions import algebra
 from .functions import predicates as b
+from .functions import scope
 from .functions import text as text_
 from .functions import udf
 from .functions import vector as v
@@ -21,10 +23,11 @@ from .operators import collections as coll
 from .operators import containment, rewrite
 from .plans import planner, space
 from .plans.space import Space, links, node_id, nodes, values
-from .plans.terms import Absent, Always, And, Bind, Choice, Glob, Lambda, Link, Match, Node, Not, Present, Quoted, Rule, Table, Var, Where, alpha_equal, is_closed, prenex
-from .plans.types import Arrow, Lattice, TypeSpec
+from .plans.terms import Absent, Always, And, Bind, Choice, Evaluation, Exists, Glob, Identical, Lambda, Link, Match, Node, Not, Or, Present, Quoted, Rule, Sign, Table, Var, Where, prenex
+from .plans.types import Arrow, Lattice, Signature, TypeSpec
 from .shared import place
 from .sources import text as src
+from .sources.store import Store
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,16 +209,17 @@ def s11_incoming(spark, d):
 
 @named(FRAMES_SQL + "SELECT k, max(frame) AS owner FROM layers GROUP BY k")
 def s12_owner_frame(spark, d):
-    return frames(spark, d).groupBy("k").agg(F.max("frame").alias("owner"))
+    return space.owner(frames(spark, d), ["k"])
 
 
-@named()
+@named("SELECT n_nationkey::DOUBLE AS k, n_name AS name, n_regionkey = 1 AS first_ FROM nation")
 def s13_delimited_table(spark, d):
-    """Rows of a delimited text written here and read back: booleans, doubles, comments and blank lines."""
+    """A table as delimited text with comments and blank lines, read back: booleans, doubles, texts."""
     at = f"{place(spark)}/table.csv"
-    lines = ["# a comment", "b1, flt1, lbl", "T, 1.5, one", "", "0, -2, two", "# more", "1, x, three"]
-    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(at)
-    return src.delimited(spark, at, "b1 boolean, flt1 double, lbl string")
+    n = table(spark, d, "nation").select(F.concat_ws(", ", F.col("n_nationkey").cast("double").cast("string"), "n_name", F.when(F.col("n_regionkey") == 1, "T").otherwise("0")).alias("value"))
+    head = spark.createDataFrame([("# a comment",), ("k, name, first_",), ("",), ("# more",)], "value string").coalesce(1)
+    head.unionByName(n).coalesce(1).write.text(at)
+    return src.delimited(spark, at, "k double, name string, first_ boolean")
 
 
 PROGRAM = """
@@ -251,10 +255,10 @@ def s17_parquet_pushdown(spark, d):
 
 @named("SELECT r_name, r_regionkey FROM region")
 def s18_external_store(spark, d):
-    """Written to an external store and read back."""
-    at = f"{place(spark)}/store"
-    table(spark, d, "region").write.parquet(at)
-    return spark.read.parquet(at).select("r_name", "r_regionkey")
+    """Written to an external store and read back, by messages."""
+    store = Store(spark, f"{place(spark)}/store").send("open")
+    store.send("write", "region", table(spark, d, "region"))
+    return store.send("read", "region").select("r_name", "r_regionkey")
 
 
 @named(GRAPH_SQL + "SELECT '(Member (NationNode \"' || x || '\") (RegionNode \"' || y || '\"))' AS sexpr FROM member WHERE xt = 'NationNode'")
@@ -347,6 +351,15 @@ def p9_p10_choice(spark, d):
     return planner.meet(["c"], Choice(Table(t["customer"], {"c": "c_custkey"}, "c_mktsegment = 'BUILDING'"), Table(t["orders"], {"c": "o_custkey"}, "o_orderpriority = '1-URGENT'")))
 
 
+@named("SELECT c_custkey AS c, NULL::DOUBLE AS total FROM customer WHERE c_acctbal > 9000 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') UNION SELECT o_custkey, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 480000 AND c_acctbal < o_totalprice / 100")
+def p10_or(spark, d):
+    """Two patterns that are grounded apart, one with an absence and one with a test of its own."""
+    t = star(spark, d)
+    rich = And(Table(t["customer"], {"c": "c_custkey"}, "c_acctbal > 9000"), Absent(Table(t["orders"], {"c": "o_custkey"}, "o_orderstatus = 'P'")))
+    dear = And(Table(t["orders"], {"c": "o_custkey", "total": "o_totalprice"}, "o_totalprice > 480000"), Table(t["customer"], {"c": "c_custkey", "bal": "c_acctbal"}), Where(("bal", "total"), lambda x, y: x < y / 100))
+    return planner.meet(["c", "total"], Or(rich, dear))
+
+
 @named("SELECT DISTINCT c_custkey AS c FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 9000 AND o_totalprice > 400000")
 def p11_and(spark, d):
     t = star(spark, d)
@@ -354,16 +367,40 @@ def p11_and(spark, d):
     return planner.meet(["c"], And(c, c, Table(t["orders"], {"c": "o_custkey"}, "o_totalprice > 400000")))
 
 
+@named("SELECT DISTINCT p_partkey AS p FROM part WHERE p_size > 3 AND p_size < 6 AND p_size <> 4")
+def p11_two_tests(spark, d):
+    """Several tests of the same variable all hold."""
+    body = [Table(table(spark, d, "part"), {"p": "p_partkey", "a": "p_size"}), Where(("a",), lambda a: a > 3), Where(("a",), lambda a: a < 6), Where(("a",), lambda a: a != 4)]
+    return planner.meet(["p"], body)
+
+
+@named(GRAPH_SQL + "SELECT x FROM member WHERE xt = 'SupplierNode' AND y = 'NATION_7'")
+def p21_two_types(spark, d):
+    """One clause under two types: both count."""
+    g = graph(spark, d)
+    to = Node("NationNode", "NATION_7")
+    body = [Match(Link("Member", Var("x", TypeSpec.inherits(g.lattice, "Party")), to)), Match(Link("Member", Var("x", TypeSpec.exact("SupplierNode")), to))]
+    return label(g, planner.meet(["x"], body, g), x="x")
+
+
 @named("SELECT c_custkey AS c FROM customer WHERE NOT c_acctbal > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def p12_not(spark, d):
     t = star(spark, d)
     return planner.meet(["c"], [Table(t["customer"], {"c": "c_custkey", "bal": "c_acctbal"}), Not(Where(("bal",), lambda x: x > 0)), Not(Present(Table(t["orders"], {"c": "o_custkey"}, "o_orderstatus = 'P'")))])
 
 
-@named("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'big' WHEN p_retailprice > 950 THEN 'dear' ELSE 'other' END AS first_true FROM part")
+@named("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN false ELSE 10 / (p_size % 3) > 6 END AS both, CASE WHEN p_size % 3 = 0 THEN true ELSE 10 / (p_size % 3) > 6 END AS either FROM part")
 def p13_sequential(spark, d):
-    p = table(spark, d, "part")
-    return p.select("p_partkey", b.cond((F.col("p_size") > 40, F.lit("big")), (F.col("p_retailprice") > 950, F.lit("dear")), F.lit("other")).alias("first_true"))
+    """What follows a failure isn't evaluated: here it would divide by zero, which is an error."""
+    x = F.col("p_size") % 3
+    return table(spark, d, "part").select("p_partkey", b.sequential_and(x != 0, 10 / x > 6).alias("both"), b.sequential_or(x == 0, 10 / x > 6).alias("either"))
+
+
+@named("SELECT p_partkey, 1 AS x, (length(bin(p_size)) - 1)::BIGINT AS n FROM part WHERE p_size > 0")
+def p13_loop(spark, d):
+    """A tail-recursive loop of all rows side by side: halve while there is more than one."""
+    p = table(spark, d, "part").where("p_size > 0").select("p_partkey", F.col("p_size").alias("x"), F.lit(0).cast("long").alias("n"))
+    return rewrite.loop(p, F.col("x") > 1, lambda df: df.select("p_partkey", F.floor(F.col("x") / 2).cast("int").alias("x"), (F.col("n") + 1).alias("n")))
 
 
 @named("SELECT r_name AS r, n_name AS n FROM region, nation WHERE n_nationkey < 5")
@@ -378,6 +415,21 @@ def p15_unordered(spark, d):
     return label(g, planner.meet(["x"], [Match(Link("Neighbours", Var("x"), Node("NationNode", "NATION_7")))], g), other="x")
 
 
+@named("WITH s AS (SELECT c_nationkey AS n, list_sort(list(DISTINCT c_mktsegment)) AS w FROM customer GROUP BY 1) SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x, n FROM s WHERE len(w) = 5 AND list_contains(w, 'BUILDING') AND list_contains(w, 'MACHINERY')) WHERE x NOT IN ('BUILDING', 'MACHINERY') GROUP BY x")
+def p15_five_children(spark, d):
+    """Sets of five: two known members, three variables in any order."""
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("w"))
+    sets = c.select("c_nationkey", F.transform("w", lambda x: node_id(F.lit("SegmentNode"), x)).alias("o"))
+    lat = Lattice().load(LATTICE)
+    # one link a nation: the nation's own node tells equal sets apart
+    made = sets.select(F.concat("o", F.array(node_id(F.lit("NationNode"), F.col("c_nationkey").cast("string")))).alias("o"))
+    g = Space.of(nodes(table(spark, d, "customer"), "SegmentNode", "c_mktsegment"), nodes(c, "NationNode", F.col("c_nationkey").cast("string")), links(made, "Set", F.col("o"), lat), lattice=lat)
+    seg = TypeSpec.exact("SegmentNode")
+    term = Link("Set", Node("SegmentNode", "BUILDING"), Node("SegmentNode", "MACHINERY"), Var("x", seg), Var("y", seg), Var("z", seg), Var("n", TypeSpec.exact("NationNode")))
+    got = planner.meet(["x", "n"], [Match(term)], g)
+    return label(g, got, x="x").groupBy("x").agg(F.count("*").alias("n"))
+
+
 @named(GRAPH_SQL + "SELECT DISTINCT w[1] AS first_, len(w) - 1 AS rest FROM phrase WHERE len(w) >= 2")
 def p16_glob(spark, d):
     g = graph(spark, d)
@@ -385,9 +437,9 @@ def p16_glob(spark, d):
     return g.named(got, "x").select(F.col("x_name").alias("first_"), F.size("rest").cast("long").alias("rest")).distinct()
 
 
-@named("WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b]'), lambda x: x <> '') AS w FROM documents WHERE length(text) < 400), i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t) SELECT doc_id, i - 1 AS at, w[i] AS a, w[i+1] AS b, w[i+2] AS c FROM i")
+@named("WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b]'), lambda x: x <> '') AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t) SELECT doc_id, i - 1 AS at, w[i] AS a, w[i+1] AS b, w[i+2] AS c FROM i")
 def p16_windows(spark, d):
-    t = table(spark, d, "documents").where("length(text) < 400").select("doc_id", text_.split(F.col("text")).alias("w")).where("size(w) >= 3")
+    t = table(spark, d, "documents").select("doc_id", text_.split(F.col("text")).alias("w")).where("size(w) >= 3")
     i = t.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 3)).alias("at"))
     return i.select("doc_id", F.col("at").cast("long").alias("at"), *[F.get("w", F.col("at") + k).alias(n) for k, n in enumerate("abc")])
 
@@ -417,10 +469,22 @@ def p18_quote(spark, d):
     return g.named(ids, "x").select(F.col("x_name").alias("name"))
 
 
-@named("SELECT true AS same, false AS other")
+TERMS_SQL = "WITH q AS (SELECT p_partkey, p_size % 3 AS s, p_partkey % 3 AS t FROM part) "
+
+
+def scoped_terms(spark, d):
+    """(List $v $w $v') by part: whether the first and last variable are one depends on the row."""
+    p = table(spark, d, "part")
+    v_, w_ = F.concat(F.lit("$v"), F.col("p_size") % 3), F.concat(F.lit("$v"), F.col("p_partkey") % 3)
+    return p.select("p_partkey", F.concat(F.lit("(List "), v_, F.lit(" $w "), w_, F.lit(")")).alias("term"))
+
+
+@named(TERMS_SQL + "SELECT p_partkey, CASE WHEN s = t THEN 'there and back' ELSE 'three' END AS shape FROM q")
 def p19_scope(spark, d):
-    f, g, h = Lambda(("x",), Link("List", Var("x"), Var("x"))), Lambda(("y",), Link("List", Var("y"), Var("y"))), Lambda(("y",), Link("List", Var("y"), Node("Concept", "y")))
-    return spark.range(1).select(F.lit(alpha_equal(f.body, g.body)).alias("same"), F.lit(alpha_equal(f.body, h.body)).alias("other"))
+    """Scoped terms match stored ones up to the names of their variables: a join on canonical forms."""
+    known = spark.createDataFrame([("(List $p $q $p)", "there and back"), ("(List $a $b $c)", "three"), ("(List $a $a $b)", "no part")], "known string, shape string")
+    rows = scoped_terms(spark, d).withColumn("k", scope.canonical(F.col("term")))
+    return rows.join(known.withColumn("k", scope.canonical(F.col("known"))), "k").select("p_partkey", "shape")
 
 
 @named(GRAPH_SQL + "SELECT count(*) AS n FROM member")
@@ -429,8 +493,7 @@ def p20_self_ground(spark, d):
     g = graph(spark, d)
     body = Link("Member", Var("x"), Var("y"))
     g = g.insert(src.rows_of(g, [body])).stored()
-    own = g.atoms.where(F.col("type") == "Variable").select(F.col("atom_id").alias("x"))
-    return planner.meet(["x", "y"], [Match(body)], g).join(own, "x", "left_anti").agg(F.count("*").alias("n"))
+    return planner.meet(["x", "y"], [Match(body)], g).agg(F.count("*").alias("n"))
 
 
 @named(GRAPH_SQL + "SELECT x FROM member WHERE xt = 'SupplierNode' AND y = 'NATION_7'")
@@ -440,18 +503,34 @@ def p21_typed_variable(spark, d):
     return label(g, planner.meet(["x"], [Match(Link("Member", Var("x", spec), Node("NationNode", "NATION_7")))], g), x="x")
 
 
-@named(GRAPH_SQL + "SELECT (SELECT count(DISTINCT x) FROM member WHERE xt = 'NationNode') AS x, (SELECT count(DISTINCT y) FROM member WHERE xt = 'NationNode') AS y")
+@named("WITH q AS (SELECT DISTINCT c_name, c_nationkey, c_mktsegment FROM customer) SELECT 'variable' AS kind, 'n' AS name, count(DISTINCT c_nationkey) AS size FROM q UNION ALL SELECT 'variable', 's', count(DISTINCT c_mktsegment) FROM q UNION ALL SELECT 'variable', 'c', count(DISTINCT c_name) FROM q UNION ALL SELECT 'rewrite', 'half', count(DISTINCT c_nationkey // 2) FROM q UNION ALL SELECT 'rewrite', 'initial', count(DISTINCT c_mktsegment[1]) FROM q UNION ALL SELECT 'results', 'all', count(DISTINCT (c_nationkey // 2, c_mktsegment[1])) FROM q")
 def p22_marginals(spark, d):
-    g = graph(spark, d)
-    nation = TypeSpec.exact("NationNode")
-    m = planner.marginals(planner.meet(["x", "y"], [Match(Link("Member", Var("x", nation), Var("y")))], g))
-    return m["x"].agg(F.count("*").alias("x")).crossJoin(m["y"].agg(F.count("*").alias("y")))
+    """Values of each variable and of each rewrite, from one search."""
+    body = [Table(table(spark, d, "customer"), {"c": "c_name", "n": "c_nationkey", "s": "c_mktsegment"})]
+    out, by_var, by_rewrite = planner.query_with_marginals(["c", "n", "s"], body, {"half": lambda c, n, s: F.floor(n / 2), "initial": lambda c, n, s: F.substring(s, 1, 1)})
+    sizes = [("variable", k, x) for k, x in by_var.items()] + [("rewrite", k, x) for k, x in by_rewrite.items()] + [("results", "all", out)]
+    each = [x.agg(F.count("*").alias("size")).select(F.lit(kind).alias("kind"), F.lit(k).alias("name"), "size") for kind, k, x in sizes]
+    return reduce(DataFrame.unionByName, each)
 
 
-@named("SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1")
+@named("SELECT c_mktsegment AS seg, count(DISTINCT c_nationkey) AS n, string_agg(DISTINCT c_nationkey::VARCHAR, ',' ORDER BY c_nationkey::VARCHAR) AS nations FROM customer GROUP BY 1")
 def p23_container(spark, d):
-    bag = planner.meet(["seg"], [Table(table(spark, d, "customer"), {"seg": "c_mktsegment"})], container="queue")
-    return bag.groupBy("seg").agg(F.count("*").alias("n"))
+    """The caller's own container: groups instead of a set."""
+    body = [Table(table(spark, d, "customer"), {"seg": "c_mktsegment", "n": F.col("c_nationkey").cast("string")})]
+    got = planner.meet(["seg", "n"], body, container=coll.in_groups(["seg"], ["n"], "size"))
+    return got.select("seg", F.col("size").alias("n"), F.array_join("items", ",").alias("nations"))
+
+
+@named("SELECT p_size AS s, p_partkey AS p FROM part ORDER BY p_size DESC, p_partkey LIMIT 20")
+def p23_sorted_container(spark, d):
+    body = [Table(table(spark, d, "part"), {"p": "p_partkey", "s": "p_size"})]
+    return planner.meet(["s", "p"], body, container=coll.in_order(F.desc("s"), F.asc("p"), take=20))
+
+
+@named("SELECT s_nationkey AS n, count(*) AS c FROM supplier GROUP BY 1")
+def p23_queue_container(spark, d):
+    bag = planner.meet(["n"], [Table(table(spark, d, "supplier"), {"n": "s_nationkey"})], container="queue")
+    return bag.groupBy("n").agg(F.count("*").alias("c"))
 
 
 @named("SELECT 5::BIGINT AS n")
@@ -496,6 +575,14 @@ def v1_v4_typed_list(spark, d):
     return label(g, planner.meet(["x", "y"], [Match(Link("Member", Var("x", nation), Var("y", region)))], g), x="x", y="y")
 
 
+@named(GRAPH_SQL + "SELECT y AS a, x AS b FROM member WHERE xt = 'NationNode'")
+def v3_variable_set(spark, d):
+    """An unordered declaration: the columns come by name."""
+    g = graph(spark, d)
+    got = planner.meet(frozenset({"b", "a"}), [Match(Link("Member", Var("b", TypeSpec.exact("NationNode")), Var("a")))], g)
+    return label(g, got, a="a", b="b")
+
+
 @named(GRAPH_SQL + "SELECT type, count(*) AS n FROM atom WHERE type IN ('NationNode', 'RegionNode') GROUP BY type")
 def v9_intersection(spark, d):
     g = graph(spark, d)
@@ -514,8 +601,7 @@ def v15_typed_atom(spark, d):
 @named(GRAPH_SQL + "SELECT DISTINCT y FROM member WHERE xt = 'SupplierNode'")
 def v16_type_wildcard(spark, d):
     g = graph(spark, d)
-    any_supplier = Var("_any", TypeSpec.exact("SupplierNode"))
-    return label(g, planner.meet(["y"], [Match(Link("Member", any_supplier, Var("y")))], g), y="y")
+    return label(g, planner.meet(["y"], [Match(Link("Member", Sign(TypeSpec.exact("SupplierNode")), Var("y")))], g), y="y")
 
 
 @named(GRAPH_SQL + "SELECT type, count(*) AS n FROM atom WHERE type IN ('CustomerNode', 'SupplierNode') GROUP BY type")
@@ -525,17 +611,33 @@ def v5_v8_types(spark, d):
     return g.atoms.where(spec.admits(F.col("type"))).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@named(GRAPH_SQL + "SELECT x, y FROM member WHERE xt = 'NationNode'")
+@named(GRAPH_SQL + "SELECT c_mktsegment AS seg, count(*) AS n FROM pairs GROUP BY 1")
 def v10_signature(spark, d):
+    """A deep type: only links of customers and segments ground the variable."""
     g = graph(spark, d)
-    one, two = TypeSpec.exact("NationNode"), TypeSpec.inherits(g.lattice, "Place")
-    return label(g, planner.meet(["x", "y"], [Match(Link("Member", Var("x", one), Var("y", two)))], g), x="x", y="y")
+    pair = Signature("List", TypeSpec.inherits(g.lattice, "Party"), TypeSpec.exact("SegmentNode"))
+    got = planner.meet(["l"], [Match(Link("Edge", Node("Predicate", "segment"), Var("l", pair)))], g)
+    seg = g.atoms.select(F.col("atom_id").alias("l"), F.get("outgoing", F.lit(1)).alias("s"))
+    return label(g, got.join(seg, "l"), seg="s").groupBy("seg").agg(F.count("*").alias("n"))
+
 
+@named("SELECT 'deep' AS kind, 0::BIGINT AS n UNION ALL SELECT 'edge', count(*) FROM (SELECT DISTINCT c_name, c_mktsegment FROM customer)")
+def v10_deep_signature(spark, d):
+    """Signatures within signatures; one that asks for other children admits nothing."""
+    g = graph(spark, d)
+    pair = Signature("List", TypeSpec.exact("CustomerNode"), TypeSpec.exact("SegmentNode"))
+    plan = planner.Planner(g)
+    edge = plan.admitted(Signature("Edge", TypeSpec.exact("Predicate"), pair))
+    wrong = plan.admitted(Signature("Edge", TypeSpec.exact("Predicate"), Signature("List", TypeSpec.exact("SegmentNode"), TypeSpec.exact("CustomerNode"))))
+    return reduce(DataFrame.unionByName, [x.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, x in (("edge", edge), ("deep", wrong))])
 
-@named("SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part")
+
+@named("SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b, p_size::VARCHAR AS s, p_brand AS t, p_size > 10 AS u FROM part")
 def v11_constructor(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("fv"))
-    return p.select("p_partkey", F.col("fv")[0].alias("a"), F.col("fv")[1].alias("b"))
+    """Values made of parts, which are cast to the kind's own."""
+    made = {"f": v.construct("FloatValue", F.col("p_size"), F.col("p_retailprice")), "s": v.construct("StringValue", F.col("p_size"), F.col("p_brand")), "l": v.construct("LinkValue", F.col("p_brand"), F.col("p_size") > 10)}
+    p = table(spark, d, "part").select("p_partkey", *[c.alias(k) for k, c in made.items()])
+    return p.select("p_partkey", F.col("f")[0].alias("a"), F.col("f")[1].alias("b"), F.col("s")[0].alias("s"), F.col("l._0").alias("t"), F.col("l._1").alias("u"))
 
 
 @named(GRAPH_SQL + "SELECT count(*) AS n FROM phrase WHERE len(w) BETWEEN 2 AND 3")
@@ -545,13 +647,16 @@ def v12_interval(spark, d):
     return got.agg(F.count("*").alias("n"))
 
 
-@named("SELECT true AS accepts, true AS composes, false AS other")
+@named(GRAPH_SQL + "SELECT xt AS type, count(*) AS n, xt = 'NationNode' AS accepted, true AS composes, false AS other FROM member GROUP BY 1")
 def v13_arrow(spark, d):
-    lat = Lattice()
-    f = Arrow([TypeSpec.inherits(lat, "Node")], TypeSpec.exact("Number"))
-    g = Arrow([TypeSpec.inherits(lat, "Node")], TypeSpec.exact("Concept"))
-    h = Arrow([TypeSpec.exact("Predicate")], TypeSpec.exact("Concept"))
-    return spark.range(1).select(F.lit(f.accepts("Concept")).alias("accepts"), F.lit(f.compose(g) is not None).alias("composes"), F.lit(f.compose(h) is not None).alias("other"))
+    """A function type over the children of stored links, and its composition with two others."""
+    g = graph(spark, d)
+    f = Arrow([TypeSpec.inherits(g.lattice, "Place"), TypeSpec.exact("RegionNode")], TypeSpec.exact("Number"))
+    then, not_then = Arrow([TypeSpec.inherits(g.lattice, "Node")], TypeSpec.exact("Concept")), Arrow([TypeSpec.exact("Predicate")], TypeSpec.exact("Concept"))
+    m = g.by_type("Member").select(F.get("outgoing", F.lit(0)).alias("x"), F.get("outgoing", F.lit(1)).alias("y"))
+    kinds = g.type_of(g.type_of(m, "x"), "y")
+    rows = kinds.select(F.col("x_type").alias("type"), f.admits(F.col("x_type"), F.col("y_type")).alias("accepted")).groupBy("type", "accepted").agg(F.count("*").alias("n"))
+    return rows.select("type", "n", "accepted", F.lit(f.compose(then) is not None).alias("composes"), F.lit(f.compose(not_then) is not None).alias("other"))
 
 
 @named("SELECT ancestor FROM (VALUES ('NationNode'), ('Place'), ('Concept'), ('Node'), ('Atom'), ('Value'), ('TopType')) t(ancestor)")
@@ -575,10 +680,18 @@ def b2_b3_equal(spark, d):
     return planner.meet(["o", "k"], body)
 
 
-@named("SELECT true AS a, false AS b")
+@named("SELECT o_orderkey AS o, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 450000 AND o_orderstatus = 'F'")
+def b3_identical(spark, d):
+    """Identity binds the variable that has no value yet, and joins by it."""
+    t = star(spark, d)
+    body = [Table(t["orders"], {"o": "o_orderkey", "k": "o_custkey"}, "o_totalprice > 450000 and o_orderstatus = 'F'"), Identical("c", "k"), Table(t["customer"], {"c": "c_custkey", "name": "c_name"})]
+    return planner.meet(["o", "name"], body)
+
+
+@named(TERMS_SQL + "SELECT p_partkey, s = t AS a, s <> t AS b FROM q")
 def b4_alpha_equal(spark, d):
-    x = Link("List", Var("p"), Var("q"), Var("p"))
-    return spark.range(1).select(F.lit(alpha_equal(x, Link("List", Var("s"), Var("t"), Var("s")))).alias("a"), F.lit(alpha_equal(x, Link("List", Var("s"), Var("t"), Var("t")))).alias("b"))
+    term = F.col("term")
+    return scoped_terms(spark, d).select("p_partkey", scope.alpha_equal(term, F.lit("(List $s $t $s)")).alias("a"), scope.alpha_equal(term, F.lit("(List $s $t $u)")).alias("b"))
 
 
 @named("WITH ns AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS s FROM customer) SELECT DISTINCT a.n AS x, b.n AS y FROM ns a JOIN ns b ON a.s = b.s AND a.n <> b.n")
@@ -588,9 +701,10 @@ def b5_exclusive(spark, d):
     return planner.meet(["x", "y"], body)
 
 
-@named("SELECT true AS a, false AS b")
+@named("SELECT p_partkey, p_size % 2 = 0 AS closed FROM part")
 def b6_closed(spark, d):
-    return spark.range(1).select(F.lit(is_closed(Link("List", Node("Concept", "a")))).alias("a"), F.lit(is_closed(Link("List", Var("a")))).alias("b"))
+    last = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('"'), "p_brand", F.lit('"'))).otherwise(F.lit("$x"))
+    return table(spark, d, "part").select("p_partkey", scope.is_closed(F.concat(F.lit("(List "), last, F.lit(")"))).alias("closed"))
 
 
 CELLS = [f"c{r}{c}" for r in range(3) for c in range(3)]
@@ -631,11 +745,18 @@ def b12_b13_bool_vectors(spark, d):
     return e.select("event_id", b.first_true(v.bool_and(x, y)).alias("a0"), v.bool_and(x, y)[1].alias("a1"), b.first_true(v.bool_or(x, y)).alias("o0"), v.bool_not(x)[0].alias("n0"))
 
 
-@named("SELECT p_partkey FROM part WHERE p_retailprice * p_size > 40000")
+@named("SELECT p_partkey AS p FROM part WHERE p_retailprice * p_size > 40000 AND NOT (p_size < 45 OR p_size = 47) AND p_name LIKE '%e%'")
 def b14_evaluation(spark, d):
-    heavy = Lambda(("a", "b"), Link("Times", Var("a"), Var("b")))
-    assert heavy("x", "y") == Link("Times", "x", "y")
-    return table(spark, d, "part").where(F.col("p_retailprice") * F.col("p_size") > 40000).select("p_partkey")
+    """Predicates applied inside a pattern: a defined one, a lambda, and a black box."""
+    x, y = Var("x"), Var("y")
+    heavy = Lambda(("x", "y"), Link("GreaterThan", Link("Times", x, y), algebra.number(40000)))
+    body = [
+        Table(table(spark, d, "part"), {"p": "p_partkey", "size": "p_size", "price": "p_retailprice", "name": "p_name"}),
+        Evaluation("heavy", ("price", "size")),
+        Evaluation(Lambda(("x",), Link("Not", Link("Or", Link("LessThan", x, algebra.number(45)), Link("Equal", x, algebra.number(47))))), ("size",)),
+        Evaluation(udf.predicate(lambda s: s.str.contains("e")), ("name",)),
+    ]
+    return planner.meet(["p"], body, definitions={"heavy": heavy})
 
 
 @named("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) > 50")
@@ -676,7 +797,7 @@ def j4_anti(spark, d):
 @named("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
 def j5_semi(spark, d):
     t = star(spark, d)
-    return t["part"].join(t["lineitem"].where("l_quantity > 49"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("p_partkey")
+    return planner.meet(["p_partkey"], [Table(t["part"], {"p_partkey": "p_partkey"}), Exists(Table(t["lineitem"], {"p_partkey": "l_partkey"}, "l_quantity > 49"))])
 
 
 @named("SELECT DISTINCT o_orderkey AS o FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey")
@@ -721,13 +842,14 @@ def j11_maximal_join(spark, d):
     return g.atoms.join(found, "atom_id", "left_semi").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@named(GRAPH_SQL + "SELECT x, 'NATION_8' AS y FROM member WHERE y = 'NATION_7'")
+@named(GRAPH_SQL + "SELECT x, y FROM member WHERE y IN ('NATION_7', 'NATION_8') UNION SELECT x, 'NATION_8' FROM member WHERE y = 'NATION_7'")
 def j12_replacement(spark, d):
+    """The containers of one atom again with another in its place, inserted beside them."""
     g = graph(spark, d)
     old, new = (node_id(F.lit("NationNode"), F.lit(n)) for n in ("NATION_7", "NATION_8"))
     found = g.by_type("Member").where(F.get("outgoing", F.lit(1)) == old)
-    got = containment.replaced(g, found, old, new).select(F.get("outgoing", F.lit(0)).alias("x"), F.get("outgoing", F.lit(1)).alias("y"))
-    return label(g, got, x="x", y="y")
+    got = containment.replace_in(g, found, old, new).by_type("Member").select(F.get("outgoing", F.lit(0)).alias("x"), F.get("outgoing", F.lit(1)).alias("y"))
+    return label(g, got.where((F.col("y") == old) | (F.col("y") == new)), x="x", y="y")
 
 
 @named(GRAPH_SQL + "SELECT count(*) AS n FROM member WHERE y = 'NATION_7' OR x = 'NATION_7'")
@@ -753,9 +875,9 @@ def a2_group(spark, d):
     return coll.grouped(nr, ["r_name"], ["n_name"]).select("r_name", F.array_join("items", ",").alias("nations"), "n")
 
 
-@named("SELECT vec_id, len(embedding)::BIGINT AS size FROM embeddings")
+@named("SELECT vec_id, (len(embedding) + len(list_filter(embedding, lambda x: x > 0)))::BIGINT AS size FROM embeddings")
 def a3_size(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("size"))
+    return table(spark, d, "embeddings").select("vec_id", v.size_of(F.col("embedding"), F.filter("embedding", lambda x: x > 0)).alias("size"))
 
 
 @named("SELECT user_id, round(sum(value), 4) AS x0, count(*)::DOUBLE AS x1 FROM events GROUP BY user_id")
@@ -771,11 +893,13 @@ def a5_count_pipeline(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
 
 
-@named("SELECT a.vec_id AS x, b.vec_id AS y, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS dot FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
+@named("WITH f AS (SELECT c_nationkey AS n, o_orderpriority AS p, o_orderstatus AS s, count(*) AS c FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3) SELECT a.n AS x, b.n AS y, sum(a.c * b.c)::BIGINT AS dot FROM f a JOIN f b ON a.p = b.p AND a.s = b.s AND a.n < b.n GROUP BY 1, 2")
 def a6_dot_product(spark, d):
-    e = table(spark, d, "embeddings")
-    body = [Table(e, {"x": "vec_id", "l": "label", "u": "embedding"}), Table(e, {"y": "vec_id", "l": "label", "w": "embedding"}), Where(("x", "y"), lambda x, y: x < y)]
-    return planner.Planner().body(body).select("x", "y", F.round(v.dot(F.col("u"), F.col("w")), 6).alias("dot"))
+    """Dot products of nations by the features they share, counted first: no row meets another but through a feature."""
+    t = star(spark, d)
+    f = t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("n"), "o_orderpriority", "o_orderstatus").agg(F.count("*").alias("c"))
+    body = [Table(f, {"x": "n", "p": "o_orderpriority", "s": "o_orderstatus", "u": "c"}), Table(f, {"y": "n", "p": "o_orderpriority", "s": "o_orderstatus", "w": "c"}), Where(("x", "y"), lambda x, y: x < y)]
+    return planner.Planner().body(body).groupBy("x", "y").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
 
 
 @named("SELECT l_orderkey AS o, max(l_quantity) AS mx, min(l_quantity) AS mn, greatest(max(l_quantity), 30.0) AS g FROM lineitem GROUP BY 1")
@@ -784,9 +908,9 @@ def a7_max_min(spark, d):
     return line.select("o", "mx", "mn", v.maximum(F.array("mx", "mn"), F.array(F.lit(30.0)))[0].alias("g"))
 
 
-@named("SELECT vec_id, round(list_sum(list_transform(embedding[1:8], lambda x: x::DOUBLE)), 6) AS s FROM embeddings")
+@named("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS s FROM embeddings")
 def a8_fold(spark, d):
-    e = F.slice("embedding", 1, 8).cast("array<double>")
+    e = F.col("embedding").cast("array<double>")
     return table(spark, d, "embeddings").select("vec_id", F.round(v.fold(e, F.lit(0.0), lambda a, x: a + x), 6).alias("s"))
 
 
@@ -827,10 +951,19 @@ def w1_strict_order(spark, d):
     return coll.sorted_values(table(spark, d, "part").select("p_size"), F.asc("p_size"), ties="collapse", key=["p_size"])
 
 
-@named()
+@named("SELECT o_custkey, o_orderkey, row_number() OVER w AS i, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr, lag(o_totalprice) OVER w AS before_, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s3 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def w3_windows(spark, d):
+    w, p = Window.partitionBy("o_custkey").orderBy("o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderpriority")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("i"), F.rank().over(p).alias("r"), F.dense_rank().over(p).alias("dr"), F.lag("o_totalprice").over(w).alias("before_"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("s3"))
+
+
+@named("SELECT 10::BIGINT AS n, true AS distinct_, true AS known, true AS positive")
 def w4_random_choice(spark, d):
-    """Ten customers drawn by balance as weight."""
-    return coll.random_choice(table(spark, d, "customer").select("c_custkey", "c_acctbal"), F.col("c_acctbal"), 10).select("c_custkey")
+    """Ten customers drawn by balance as weight: ten, different, from the table, and none without weight."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    drawn = coll.random_choice(c, F.col("c_acctbal"), 10).select("c_custkey")
+    found = drawn.join(c, "c_custkey", "left")
+    return found.agg(F.count("*").alias("n"), (F.count_distinct("c_custkey") == F.count("*")).alias("distinct_"), F.bool_and(F.col("c_acctbal").isNotNull()).alias("known"), F.bool_and(F.col("c_acctbal") > 0).alias("positive"))
 
 
 @named("SELECT s_nationkey AS n FROM supplier UNION SELECT c_nationkey FROM customer WHERE c_acctbal < 0")
@@ -902,9 +1035,10 @@ def f5_functions(spark, d):
     return q.select("p_partkey", v.floor(a)[1].alias("f"), F.round(v.log2(a)[1], 6).alias("l"), F.round(v.sine(a)[0], 6).alias("s"), F.round(v.cosine(a)[0], 6).alias("c"), F.round(v.tangent(a)[0], 4).alias("t"), F.round(v.exp(c)[0], 6).alias("e"))
 
 
-@named("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS h FROM customer")
+@named("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS h, 0.0::DOUBLE AS minus_zero, 1.0::DOUBLE AS zero FROM customer")
 def f6_heaviside(spark, d):
-    return table(spark, d, "customer").select("c_custkey", v.heaviside(F.array("c_acctbal"))[0].alias("h"))
+    h = v.heaviside(F.array(F.col("c_acctbal"), F.lit(-0.0), F.lit(0.0)))
+    return table(spark, d, "customer").select("c_custkey", h[0].alias("h"), h[1].alias("minus_zero"), h[2].alias("zero"))
 
 
 @named(VSQL + "SELECT p_partkey, round(pow(c0, a0 / 50), 6) AS x0, 2::BIGINT AS n, round(pow(2, c1), 6) AS y1 FROM q")
@@ -974,18 +1108,21 @@ def f16_f17_columns(spark, d):
 
 @named("SELECT i - 1 AS pos, count(*)::BIGINT AS n, round(sum(embedding[i]::DOUBLE), 5) AS s FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY i")
 def f18_transpose(spark, d):
-    e = v.transpose(table(spark, d, "embeddings"), "vec_id", "embedding")
-    return e.select(F.col("pos").cast("long").alias("pos"), F.size("column").cast("long").alias("n"), F.round(v.accumulate(F.col("column")), 5).alias("s"))
+    e = v.transpose(table(spark, d, "embeddings"), "vec_id", "embedding", 100)
+    return e.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.sum(F.size("column").cast("long")).alias("n"), F.round(F.sum(v.accumulate(F.col("column"))), 5).alias("s"))
 
 
-@named("SELECT 'array<float>' AS t, count(*) AS n FROM embeddings")
+@named(GRAPH_SQL + "SELECT xt AS x_type, CASE xt WHEN 'NationNode' THEN 'RegionNode' ELSE 'NationNode' END AS y_type, count(*) AS n FROM member GROUP BY 1, 2")
 def f19_type_of(spark, d):
-    return table(spark, d, "embeddings").select(F.typeof("embedding").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    g = graph(spark, d)
+    m = g.by_type("Member").select(F.get("outgoing", F.lit(0)).alias("x"), F.get("outgoing", F.lit(1)).alias("y"))
+    return g.type_of(g.type_of(m, "x"), "y").groupBy("x_type", "y_type").agg(F.count("*").alias("n"))
 
 
-@named("SELECT true AS recent")
+@named("SELECT event_type, count(*) FILTER (WHERE ts < now()::TIMESTAMP) AS past FROM events GROUP BY 1")
 def f20_time(spark, d):
-    return spark.range(1).select((F.unix_micros(F.current_timestamp()) / 1e6 > 1.6e9).alias("recent"))
+    e = table(spark, d, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return e.groupBy("event_type").agg(F.count_if(F.col("at") < v.now()).alias("past"))
 
 
 @named("SELECT key, count(*) AS n FROM (SELECT 'balance' AS key FROM customer UNION ALL SELECT 'rich' FROM customer) GROUP BY key")
@@ -1001,10 +1138,12 @@ def f22_f23_value_of(spark, d):
     return g.value_of(ids, "balance", F.array(F.lit(-1.0))).select("name", F.col("fval")[0].alias("x"))
 
 
-@named("SELECT true AS differs")
+@named("SELECT 1 AS read, count(*) AS n FROM events UNION ALL SELECT 2, 0")
 def f24_stream_value(spark, d):
-    """Two reads of a random stream are two samples."""
-    return spark.range(1).select((F.rand(1) != F.rand(2)).alias("differs"))
+    """Reads of one stream: the first takes what there is, the next finds nothing new."""
+    kept = place(spark)
+    reads = [streams.drain(streams.queue(spark, f"{d}/events.parquet"), checkpoint=kept) for _ in range(2)]
+    return reduce(DataFrame.unionByName, [x.agg(F.count("*").alias("n")).select(F.lit(i + 1).alias("read"), "n") for i, x in enumerate(reads)])
 
 
 @named("SELECT c_name AS name, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS x FROM customer")
@@ -1015,10 +1154,21 @@ def f25_set_value(spark, d):
     return g.value_of(g.by_type("CustomerNode").select("atom_id", "name"), "balance").select("name", F.col("fval")[0].alias("x"))
 
 
-@named("SELECT c_nationkey AS n, count(DISTINCT c_mktsegment)::BIGINT AS as_set, count(*)::BIGINT AS as_list FROM customer GROUP BY 1")
+@named("SELECT c_name AS name, 2 * c_acctbal + CASE WHEN c_acctbal < 0 THEN 200 ELSE 0 END AS x FROM customer")
+def f25_lazy_formula(spark, d):
+    """A formula is stored, not its value: it sees a balance that changes later."""
+    g = graph(spark, d).set_formula("double", "balance", lambda x: v.times(v.scalar(2), x))
+    low = g.values.where("key = 'balance' and fval[0] < 0")
+    g = g.set_values(values(low, F.col("atom_id"), "balance", fval=F.array(F.col("fval")[0] + 100)))
+    return g.value_of(g.by_type("CustomerNode").select("atom_id", "name"), "double").select("name", F.col("fval")[0].alias("x"))
+
+
+@named("SELECT c_nationkey AS n, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS as_set, string_agg(c_mktsegment, ',' ORDER BY c_mktsegment) AS as_list, max(c_mktsegment) AS top FROM customer GROUP BY 1")
 def f26_collection_of(spark, d):
-    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n")).agg(F.collect_set("c_mktsegment").alias("s"), F.collect_list("c_mktsegment").alias("l"))
-    return c.select("n", F.size("s").cast("long").alias("as_set"), F.size("l").cast("long").alias("as_list"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("n"), "c_mktsegment")
+    s, l_, o = (coll.collection_of(c, ["n"], "c_mktsegment", kind) for kind in ("Set", "List", "SortedValue"))
+    out = s.select("n", F.array_join("items", ",").alias("as_set")).join(l_.select("n", F.array_join("items", ",").alias("as_list")), "n")
+    return out.join(o.select("n", F.col("items")[0].alias("top")), "n")
 
 
 @named(VSQL + "SELECT p_partkey, round(2 * a0 + 5, 6) AS x FROM q")
@@ -1030,6 +1180,21 @@ def f27_term_reduction(spark, d):
     return vecs(spark, d).select("p_partkey", F.round(algebra.column(term, {"x": F.slice("a", 1, 1)})[0], 6).alias("x"))
 
 
+@named(VSQL + "SELECT p_partkey, round(a0 * a0 + 1.5 * a0 * c0, 6) AS x FROM q")
+def f27_products_and_quotients(spark, d):
+    """x (x + y) + x y / 2 reduces to a sum of monomials."""
+    x, y = Var("x"), Var("y")
+    term = algebra.reduce_term(Link("Plus", Link("Times", x, Link("Plus", x, y)), Link("Divide", Link("Times", x, y), algebra.number(2))))
+    assert term.type == "Plus" and all(m.type == "Times" for m in term.out)
+    return vecs(spark, d).select("p_partkey", F.round(algebra.column(term, {"x": F.slice("a", 1, 1), "y": F.slice("c", 1, 1)})[0], 6).alias("x"))
+
+
+@named("SELECT o_orderkey, year(o_orderdate) AS y, date_trunc('month', o_orderdate)::DATE AS m, datediff('day', DATE '1992-01-01', o_orderdate::DATE) AS days, regexp_extract(o_orderpriority, '([0-9])-', 1) AS level, lower(substr(o_orderpriority, 3)) AS label FROM orders")
+def f29_dates_and_texts(spark, d):
+    o, at = table(spark, d, "orders"), F.col("o_orderdate")
+    return o.select("o_orderkey", F.year(at).alias("y"), F.trunc(at.cast("date"), "month").alias("m"), F.datediff(at.cast("date"), F.lit("1992-01-01").cast("date")).alias("days"), F.regexp_extract("o_orderpriority", "([0-9])-", 1).alias("level"), F.lower(F.substring("o_orderpriority", 3, 100)).alias("label"))
+
+
 @named(VSQL + "SELECT p_partkey, round((a0::FLOAT + c0::FLOAT)::DOUBLE, 3) AS x FROM q")
 def f28_float32(spark, d):
     s = v.float32(v.plus(v.float32(F.col("a")), v.float32(F.col("c"))))
@@ -1054,16 +1219,39 @@ def r2_put(spark, d):
     return rewrite.put(table(spark, d, "customer"), lambda n: n + 100, ["c_nationkey"], F.col("c_mktsegment") == "BUILDING")
 
 
-@named("SELECT '(List a a)' AS one, '(And x x_1)' AS two, 'a,b' AS three")
-def r3_r6_lambda_rule(spark, d):
-    def show(t):
-        return f"({t.type} {' '.join(map(show, t.out))})" if isinstance(t, Link) else t.name
+@named("SELECT p_partkey, 2 * p_size + p_retailprice AS x FROM part")
+def r3_lambda(spark, d):
+    """An anonymous function applied to columns."""
+    f = Lambda(("a", "b"), Link("Plus", Link("Times", algebra.number(2), Var("a")), Var("b")))
+    p = table(spark, d, "part")
+    return p.select("p_partkey", algebra.column(f.body, {"a": v.scalar(F.col("p_size")), "b": v.scalar(F.col("p_retailprice"))})[0].alias("x"))
+
 
-    f = Lambda(("x",), Link("List", Var("x"), Var("x")))
-    p = prenex("And", Lambda(("x",), Var("x")), Lambda(("x",), Var("x")))
-    rule = Rule(("x",), Var("x"), (Var("x"), Node("Concept", "b")))
-    out = ",".join(c.name for c in rule.applied({"x": Node("Concept", "a")}))
-    return spark.range(1).select(F.lit(show(f(Node("Concept", "a")))).alias("one"), F.lit(show(p.body)).alias("two"), F.lit(out).alias("three"))
+@named("SELECT p_partkey, 2 * p_size::DOUBLE AS twice, p_size::DOUBLE * p_size AS square, 'x' AS vardecl FROM part WHERE p_size > 40")
+def r4_rule(spark, d):
+    """A rule's variables, premise and conclusions, run over a table."""
+    x = Var("x")
+    rule = Rule(("x",), Link("GreaterThan", x, algebra.number(40)), (Link("Times", x, algebra.number(2)), Link("Times", x, x)))
+    p, size = table(spark, d, "part"), F.col("p_size")
+    twice, square = (algebra.column(c, {"x": v.scalar(size)})[0] for c in rule.conclusions)
+    return rewrite.filter_rule(p, algebra.truth(rule.premise, {"x": size}), p_partkey=F.col("p_partkey"), twice=twice, square=square, vardecl=F.lit(",".join(rule.vars)))
+
+
+@named("SELECT p_partkey, (p_size::DOUBLE + 1) * (p_retailprice + 1) AS x, 'x,x_1' AS vars FROM part")
+def r5_prenex(spark, d):
+    """Two functions of one variable joined into one of two: the second's is renamed."""
+    inc = Lambda(("x",), Link("Plus", Var("x"), algebra.number(1)))
+    both = prenex("Times", inc, inc)
+    p = table(spark, d, "part")
+    args = dict(zip(both.params, (v.scalar(F.col("p_size")), v.scalar(F.col("p_retailprice"))), strict=True))
+    return p.select("p_partkey", algebra.column(both.body, args)[0].alias("x"), F.lit(",".join(both.params)).alias("vars"))
+
+
+@named("SELECT p_partkey, '(List (Item \"' || p_brand || '\") \"$x\" $xy (Item \"' || p_brand || '\"))' AS term FROM part")
+def r6_replacement(spark, d):
+    """Substitution in a stored term, row by row: quoted text and longer names stay as they are."""
+    by = F.concat(F.lit('(Item "'), "p_brand", F.lit('")'))
+    return table(spark, d, "part").select("p_partkey", scope.substitute(F.lit('(List $x "$x" $xy $x)'), "x", by).alias("term"))
 
 
 @named("SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -1111,28 +1299,27 @@ def r12_r13_pure(spark, d):
     return above.space.atoms.agg(F.count("*").alias("inside")).crossJoin(below.space.atoms.agg(F.count("*").alias("outside")))
 
 
-@named("SELECT 'cat' AS germ, 'the' AS connector UNION ALL SELECT 'cat', 'runs' UNION ALL SELECT 'dog', 'the'")
+@named("WITH w AS (SELECT DISTINCT string_split(p_name, ' ') AS w FROM part) SELECT DISTINCT w[1] AS germ, unnest(w[2:]) AS connector FROM w")
 def r16_sections(spark, d):
-    """Germs and connectors of sections, by lookup on the edges."""
-    g = Space.empty(spark)
-    word = lambda w: Node("Concept", w)
-    made = [Link("Section", word("cat"), Link("List", word("the"), word("runs"))), Link("Section", word("dog"), Link("List", word("the")))]
-    g = g.insert(src.rows_of(g, made)).stored()
+    """Germs and connectors of sections made of part names, by lookup on the edges."""
+    w = table(spark, d, "part").select(F.split("p_name", " ").alias("w")).distinct()
+    ids = w.select(F.transform("w", lambda x: node_id(F.lit("Item"), x)).alias("o")).select(F.get("o", F.lit(0)).alias("germ"), F.slice("o", 2, 100).alias("rest"))
+    g = Space.of(nodes(w.select(F.explode("w").alias("x")), "Item", "x"), links(ids, "List", F.col("rest")), links(ids, "Section", [F.col("germ"), F.xxhash64(F.lit("List"), "rest")])).stored()
     sec = g.by_type("Section").select(F.get("outgoing", F.lit(0)).alias("germ"), F.get("outgoing", F.lit(1)).alias("link_id"))
-    return label(g, sec.join(g.edges, "link_id").select("germ", F.col("child_id").alias("connector")), germ="germ", connector="connector")
+    return label(g, sec.join(g.edges, "link_id").select("germ", F.col("child_id").alias("connector")).distinct(), germ="germ", connector="connector")
 
 
-@named("SELECT c_custkey, CASE WHEN list_contains(t, 'view') THEN 'seen' ELSE 'new' END AS state FROM (SELECT DISTINCT user_id AS c_custkey FROM events) LEFT JOIN (SELECT user_id, list(event_type) AS t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r <= 3 GROUP BY 1) ON user_id = c_custkey")
+@named("WITH RECURSIVE e AS (SELECT user_id, event_type AS i, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), m(user_id, r, state) AS (SELECT user_id, 0, 'new' FROM e WHERE r = 1 UNION ALL SELECT m.user_id, m.r + 1, CASE WHEN state = 'new' AND i = 'view' THEN 'seen' WHEN state = 'seen' AND i = 'purchase' THEN 'bought' WHEN state = 'bought' AND i = 'error' THEN 'new' ELSE state END FROM m JOIN e ON e.user_id = m.user_id AND e.r = m.r + 1) SELECT user_id, arg_max(state, r) AS state FROM m GROUP BY 1")
 def r14_machine(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").select(F.col("user_id").alias("c_custkey"), (F.row_number().over(w) - 1).alias("step"), F.col("event_type").alias("input")).where("step < 3")
-    moves = spark.createDataFrame([("new", "view", "seen")], "state string, input string, next_state string")
-    return rewrite.machine(moves, e, e.select("c_custkey").distinct().withColumn("state", F.lit("new")), ["c_custkey"], 3)
+    """Every user's machine over all of the user's events."""
+    moves = spark.createDataFrame([("new", "view", "seen"), ("seen", "purchase", "bought"), ("bought", "error", "new")], "state string, input string, next_state string")
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("input"))
+    return rewrite.machine(moves, e, "new", ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"))
 
 
-@named()
+@named("WITH RECURSIVE c AS (SELECT c_nationkey::BIGINT AS k, c_mktsegment AS s, count(*) AS n FROM customer GROUP BY 1, 2), e AS (SELECT x.k AS a, y.k AS b, sum(least(x.n, y.n))::BIGINT AS w FROM c x JOIN c y ON x.s = y.s AND x.k < y.k GROUP BY 1, 2), reach(a, b, node) AS (SELECT a, b, a FROM e UNION SELECT r.a, r.b, CASE WHEN f.a = r.node THEN f.b ELSE f.a END FROM reach r JOIN e x ON x.a = r.a AND x.b = r.b JOIN e f ON (f.a = r.node OR f.b = r.node) AND (f.w > x.w OR (f.w = x.w AND (f.a < x.a OR (f.a = x.a AND f.b < x.b))))) SELECT a, b, w FROM e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.a = e.a AND r.b = e.b AND r.node = e.b)")
 def r15_spanning_tree(spark, d):
-    """Maximum spanning tree of customers' nations by how many segments' counts they share (tests compare with a sequential one)."""
+    """Maximum spanning tree of nations by how many segments' counts they share; in SQL, the edges that no path of heavier ones bridges."""
     c = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
     body = [Table(c, {"a": "c_nationkey", "s": "c_mktsegment", "n": "n"}), Table(c, {"b": "c_nationkey", "s": "c_mktsegment", "m": "n"}), Where(("a", "b"), lambda a, b_: a < b_)]
     e = planner.Planner().body(body).groupBy("a", "b").agg(F.sum(F.least("n", "m")).alias("w"))
@@ -1154,9 +1341,9 @@ def t2_unique_stream(spark, d):
     return streams.drain(streams.unique(q.select("user_id", "event_type"), ["user_id", "event_type"]))
 
 
-@named("SELECT event_id, unnest([event_type, 'x']) AS item FROM events WHERE event_id < 100")
+@named("SELECT event_id, unnest([event_type, 'x']) AS item FROM events")
 def t3_flat_stream(spark, d):
-    q = streams.queue(spark, f"{d}/events.parquet").where("event_id < 100")
+    q = streams.queue(spark, f"{d}/events.parquet")
     return streams.drain(q.select("event_id", F.explode(F.array("event_type", F.lit("x"))).alias("item")))
 
 
@@ -1166,16 +1353,58 @@ def t4_t6_pipes(spark, d):
     return p.define("counts", lambda e: e.groupBy("event_type").agg(F.count("*").alias("n")), "dear")["counts"]
 
 
+@named("SELECT event_id, 3 * value + 1 AS x FROM events")
+def t4_formula_stream(spark, d):
+    """A formula that is computed anew on every batch, with its parameter as it is then."""
+    now = {"factor": 2}
+    make = lambda batch: batch.select("event_id", (F.col("value") * now["factor"] + 1).alias("x"))
+    now["factor"] = 3
+    return streams.formula(streams.queue(spark, f"{d}/events.parquet"), make, "event_id long, x double")
+
+
 @named("SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'part', count(*) FROM part")
 def t7_t8_threaded(spark, d):
     jobs = [lambda x=x: (x, table(spark, d, x).count()) for x in ("orders", "part")]
     return spark.createDataFrame(streams.threaded(jobs), "t string, n long")
 
 
+@named("SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+def t9_parallel(spark, d):
+    """Jobs that are started and left alone; their results are asked for later."""
+    jobs = streams.detached([lambda x=x: (x, table(spark, d, x).count()) for x in ("orders", "part")])
+    return spark.createDataFrame([j.result() for j in jobs], "t string, n long")
+
+
+@named("SELECT event_type, true AS slept FROM events GROUP BY 1")
+def t10_sleep(spark, d):
+    waited = streams.sleep(0.05)
+    return table(spark, d, "events").groupBy("event_type").agg((F.lit(waited) >= 0.05).alias("slept"))
+
+
+@named("SELECT 'items' AS stream, false AS hoards UNION ALL SELECT 'counts', true")
+def t11_signatures(spark, d):
+    """Streams that go on item by item, and those that collect first."""
+    q = streams.queue(spark, f"{d}/events.parquet")
+    kinds = [("items", streams.hoards(q.where("value > 1"))), ("counts", streams.hoards(q.groupBy("event_type").agg(F.count("*"))))]
+    return spark.createDataFrame(kinds, "stream string, hoards boolean")
+
+
 @named("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def t12_windowed(spark, d):
     q = streams.queue(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.drain(q.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")), "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return streams.drain(streams.windowed(q, "ts", "1 hour", ["event_type"]), "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@named("SELECT s AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY 1")
+def t12_sliding(spark, d):
+    q = streams.queue(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.drain(streams.windowed(q, "ts", "2 hours", [], slide="1 hour"), "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@named("WITH g AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE, true) AS new FROM events), n AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM n GROUP BY user_id, k")
+def t12_sessions(spark, d):
+    q = streams.queue(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.drain(streams.sessions(q, "ts", "30 minutes", ["user_id"]), "complete").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 # ---- user functions --------------------------------------------------------------------------------------
@@ -1187,18 +1416,62 @@ def x2_grounded_predicate(spark, d):
     return table(spark, d, "part").where(red("p_name")).select("p_partkey")
 
 
+@named("SELECT p_partkey, round(sqrt(p_retailprice), 6) AS x FROM part")
+def x1_grounded_by_name(spark, d):
+    """A function found by its path, over Arrow batches."""
+    root = udf.grounded("py:numpy.sqrt", "double")
+    return table(spark, d, "part").select("p_partkey", F.round(root("p_retailprice"), 6).alias("x"))
+
+
 @named("SELECT o_custkey AS c, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY 1")
 def x4_aggregate(spark, d):
     import pandas as pd
 
+    def least_and_most(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": [g["c"].iloc[0]], "low": [g["o_totalprice"].min()], "high": [g["o_totalprice"].max()]})
+
+    def spread(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": [g["c"].iloc[0]], "spread": [g["high"].max() - g["low"].min()]})
+
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c"), "o_totalprice")
-    return udf.aggregate(o, ["c"], lambda g: pd.DataFrame({"c": [g["c"].iloc[0]], "spread": [g["o_totalprice"].max() - g["o_totalprice"].min()]}), "c long, spread double")
+    return udf.aggregate(o, ["c"], least_and_most, spread, "c long, low double, high double", "c long, spread double", 2)
 
 
-@named("SELECT doc_id, unnest(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b]'), lambda x: x <> '')) AS word FROM documents WHERE doc_id < 50")
+@named("SELECT doc_id, unnest(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b]'), lambda x: x <> '')) AS word FROM documents")
 def x5_table_function(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 50")
-    return udf.flatten(docs, ["doc_id"], text_.split(F.col("text")), "word")
+    return udf.flatten(table(spark, d, "documents"), ["doc_id"], text_.split(F.col("text")), "word")
+
+
+@named("SELECT p_partkey, unnest(range(1, p_size % 4 + 1))::INT AS i FROM part")
+def x5_user_table_function(spark, d):
+    """A table function of the user's, joined laterally."""
+
+    @F.udtf(returnType="i int", useArrow=True)
+    class UpTo:
+        def eval(self, n: int):
+            for i in range(1, n + 1):
+                yield (i,)
+
+    return table(spark, d, "part").select("p_partkey", (F.col("p_size") % 4).alias("m")).lateralJoin(UpTo(F.col("m").outer())).select("p_partkey", "i")
+
+
+class Selective(planner.Planner):
+    """A planner of the user's: large tables join last, and what clauses match is cut to even keys."""
+
+    def accept(self, clause, df):
+        return df.where(F.col("o") % 2 == 0) if "o" in df.columns else df
+
+    def next_part(self, bound, parts):
+        near = [i for i, p in enumerate(parts) if set(p.columns) & set(bound)]
+        return near[-1] if near else None
+
+
+@named("SELECT o_orderkey AS o, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 2 = 0")
+def x6_extension(spark, d):
+    """The planner's hooks, changed by a subclass."""
+    t = star(spark, d)
+    body = [Table(t["orders"], {"o": "o_orderkey", "c": "o_custkey"}), Table(t["customer"], {"c": "c_custkey", "name": "c_name"})]
+    return Selective().body(body).select("o", "name")
 
 
 @named("SELECT 'Planet' AS type, 1::BIGINT AS n")

@@ -8,6 +8,7 @@ that reduce alike are equal.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def number(x: float) -> Node:
     return Node("Number", repr(float(x)))
 
 
+def _by_number(t: Any) -> bool:
+    """A quotient by a number other than 0."""
+    return isinstance(t, Link) and t.type == "Divide" and len(t.out) == 2 and isinstance(t.out[1], Node) and t.out[1].type == "Number" and float(t.out[1].name) != 0
+
+
 def _polynomial(t: Any) -> Counter:
     if isinstance(t, Node) and t.type == "Number":
         return Counter({(): float(t.name)})
@@ -49,6 +55,8 @@ def _polynomial(t: Any) -> Counter:
                     new[tuple(sorted([*m, *n], key=repr))] += c * d
             total = new
         return total
+    if _by_number(t):
+        return Counter({m: c / float(t.out[1].name) for m, c in _polynomial(t.out[0]).items()})
     if isinstance(t, Link):
         return Counter({(Link(t.type, *map(reduce_term, t.out)),): 1.0})
     return Counter({(t,): 1.0})
@@ -56,7 +64,7 @@ def _polynomial(t: Any) -> Counter:
 
 def reduce_term(t: Any) -> Any:
     """The term with like parts collected, constants folded and zeros gone."""
-    if not isinstance(t, Link) or t.type not in ("Plus", "Minus", "Times"):
+    if not isinstance(t, Link) or not (t.type in ("Plus", "Minus", "Times") or _by_number(t)):
         return Link(t.type, *map(reduce_term, t.out)) if isinstance(t, Link) else t
     parts = []
     for m, c in sorted(_polynomial(t).items(), key=lambda mc: (-len(mc[0]), repr(mc[0]))):
@@ -106,3 +114,31 @@ def column(t: Any, bound: dict[str, Column] | None = None) -> Column:
     if t.type not in FUNCTIONS:
         raise ValueError(f"{t.type} isn't a function")
     return FUNCTIONS[t.type](*[column(x, bound) for x in t.out])
+
+
+def _first(c: Column) -> Column:
+    return F.get(c, F.lit(0))
+
+
+TESTS = {
+    "GreaterThan": lambda a, b: _first(a) > _first(b),
+    "LessThan": lambda a, b: _first(a) < _first(b),
+    "Equal": lambda a, b: a == b,
+}
+
+
+def truth(t: Any, bound: dict[str, Column]) -> Column:
+    """A boolean column for a test: comparisons of arithmetic terms under And, Or and Not. Variables are numbers."""
+    vectors = {k: F.array(c.cast("double")) for k, c in bound.items()}
+
+    def go(x: Any) -> Column:
+        if isinstance(x, Link) and x.type in ("And", "Or"):
+            parts = [go(y) for y in x.out]
+            return reduce((lambda a, b: a & b) if x.type == "And" else (lambda a, b: a | b), parts)
+        if isinstance(x, Link) and x.type == "Not":
+            return ~go(x.out[0])
+        if isinstance(x, Link) and x.type in TESTS:
+            return F.coalesce(TESTS[x.type](*[column(y, vectors) for y in x.out]), F.lit(False))
+        raise ValueError(f"{x} isn't a test")
+
+    return go(t)

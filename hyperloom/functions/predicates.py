@@ -26,7 +26,9 @@ def equal(*v: Column) -> Column:
     return reduce(lambda a, b: a & b, [sure(v[0] == x) for x in v[1:]], F.lit(True))
 
 
-identical = equal
+def identical(*v: Column) -> Column:
+    """Syntactic identity: a missing value is identical with a missing one."""
+    return reduce(lambda a, b: a & b, [v[0].eqNullSafe(x) for x in v[1:]], F.lit(True))
 
 
 def exclusive(*v: Column) -> Column:
@@ -54,6 +56,22 @@ def neither(c: Column) -> Column:
     return ~sure(c)
 
 
+def sequential_and(*steps: Column) -> Column:
+    """True if all are, tried in order: what follows one that isn't true isn't evaluated."""
+    out = F.lit(True)
+    for x in reversed(steps):
+        out = F.when(sure(x), out).otherwise(F.lit(False))
+    return out
+
+
+def sequential_or(*steps: Column) -> Column:
+    """True if any is, tried in order: what follows a true one isn't evaluated."""
+    out = F.lit(False)
+    for x in reversed(steps):
+        out = F.when(sure(x), F.lit(True)).otherwise(out)
+    return out
+
+
 def first_true(bools: Column) -> Column:
     return sure(F.get(bools, F.lit(0)))
 

@@ -33,9 +33,13 @@ def predicate(f: Callable[..., pd.Series]) -> Callable[..., Column]:
     return lambda *c: F.coalesce(test(*c), F.lit(False))
 
 
-def aggregate(df: DataFrame, key: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], returns: str) -> DataFrame:
-    """A user aggregate over groups that fit a task; shuffle-side combination is the caller's to add."""
-    return df.groupBy(*key).applyInPandas(f, returns)
+def aggregate(df: DataFrame, key: list[str], partial: Callable[[pd.DataFrame], pd.DataFrame], merge: Callable[[pd.DataFrame], pd.DataFrame], state: str, returns: str, salts: int = 16) -> DataFrame:
+    """A user aggregate in two steps: ``partial`` over salted parts of a group, ``merge`` over their results.
+
+    A group is never in one worker whole: only its parts' states meet.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    return salted.groupBy(*key, "_salt").applyInPandas(lambda g: partial(g.drop(columns="_salt")), state).groupBy(*key).applyInPandas(merge, returns)
 
 
 def flatten(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:

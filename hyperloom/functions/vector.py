@@ -78,8 +78,33 @@ floor, log2, sine, cosine, tangent, exp = (unary(f) for f in (F.floor, F.log2, F
 
 
 def heaviside(v: Column) -> Column:
-    """1 from zero on, 0 below; a negative zero counts as zero here."""
-    return F.transform(v, lambda x: F.when(x < 0, 0.0).otherwise(1.0))
+    """1 less the sign bit: 1 from zero on, 0 below and for a negative zero."""
+
+    def one(x: Column) -> Column:
+        x = x.cast("double")
+        return F.when(x < 0, 0.0).when((x == 0) & x.cast("string").startswith("-"), 0.0).otherwise(1.0)
+
+    return F.transform(v, one)
+
+
+def size_of(*v: Column) -> Column:
+    """Sum of the sizes of lists."""
+    return reduce(lambda a, b: a + b, [F.size(x) for x in v]).cast("long")
+
+
+def now() -> Column:
+    """The present time in seconds."""
+    return F.unix_micros(F.current_timestamp()) / 1e6
+
+
+def construct(kind: str, *parts: Column) -> Column:
+    """A value of the named kind from its parts: numbers, texts or truths into one vector, or anything into a structure."""
+    types = {"FloatValue": "double", "Float32Value": "float", "StringValue": "string", "BoolValue": "boolean"}
+    if kind in types:
+        return F.array(*[x.cast(types[kind]) for x in parts])
+    if kind == "LinkValue":
+        return F.struct(*[x.alias(f"_{i}") for i, x in enumerate(parts)])
+    raise ValueError(f"{kind} can't be made of parts")
 
 
 def random(low: Column, high: Column, seed: int = 0) -> Column:
@@ -151,7 +176,10 @@ def gather(df, key: list[str], order: list[str], value: str):
     return df.groupBy(*key).agg(F.transform(rows, lambda s: s["_v"]).alias("column"))
 
 
-def transpose(df, order: str, row: str):
-    """Rows of vectors into columns of vectors: pos, column."""
-    each = df.select(order, F.posexplode(row).alias("pos", "x"))
-    return each.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "x"))), lambda s: s["x"]).alias("column"))
+def transpose(df, order: str, row: str, rows_a_part: int = 1 << 16):
+    """Rows of vectors into columns of vectors: pos, part, column.
+
+    A column is cut into parts by ``order`` (a number), so that no row grows with the table.
+    """
+    each = df.select(F.floor(F.col(order) / rows_a_part).alias("part"), order, F.posexplode(row).alias("pos", "x"))
+    return each.groupBy("pos", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "x"))), lambda s: s["x"]).alias("column"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,27 @@ def sorted_values(df: DataFrame, *order: Column, ties: str = "keep", key: list[s
     return df if take is None else df.limit(take)
 
 
+def in_groups(key: list[str], items: list[str], count: str = "n") -> Callable[[DataFrame], DataFrame]:
+    """A container for a meet: its results in groups."""
+    return lambda df: grouped(df, key, items, count)
+
+
+def in_order(*order: Column, ties: str = "keep", key: list[str] | None = None, take: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A container for a meet: its results sorted."""
+    return lambda df: sorted_values(df, *order, ties=ties, key=key, take=take)
+
+
+def collection_of(df: DataFrame, key: list[str], item: str, kind: str = "Set", name: str = "items") -> DataFrame:
+    """Items by key re-wrapped as the named kind: sets have no repetitions and no order, lists and queues keep both."""
+    if kind in ("Set", "UnisetValue"):
+        return df.groupBy(*key).agg(F.array_sort(F.collect_set(item)).alias(name))
+    if kind in ("List", "QueueValue", "LinkValue"):
+        return df.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias(name))
+    if kind == "SortedValue":
+        return df.groupBy(*key).agg(F.sort_array(F.collect_list(item), asc=False).alias(name))
+    raise ValueError(f"{kind} isn't a collection")
+
+
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once, with their number."""
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

@@ -62,6 +62,13 @@ def replaced(space: Space, found: DataFrame, old: Column, new: Column) -> DataFr
     return rows.select("atom_id", "type", out.alias("outgoing")).withColumn("new_id", link_id(F.col("type"), F.col("outgoing")))
 
 
+def replace_in(space: Space, found: DataFrame, old: Column, new: Column) -> Space:
+    """The space with the containers' replaced forms inserted beside them."""
+    made = replaced(space, found, old, new)
+    rows = made.select(F.col("new_id").alias("atom_id"), "type", F.lit(False).alias("is_node"), F.lit(None).cast("string").alias("name"), "outgoing", F.size("outgoing").alias("arity"), F.lit(None).cast("array<double>").alias("num"))
+    return space.insert(rows)
+
+
 def roots_of(space: Space, start: DataFrame) -> DataFrame:
     """(start_id, atom_id): the outermost atoms that each start atom is in."""
     held = space.edges.select(F.col("child_id").alias("atom_id"))

@@ -32,46 +32,71 @@ def delete(df: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
     return df.join(found.select(*on).distinct(), on, "left_anti")
 
 
-def machine(transitions: DataFrame, inputs: DataFrame, start: DataFrame, key: list[str], steps: int) -> DataFrame:
-    """Runs many finite-state machines side by side: start (key, state), inputs (key, step, input),
-    transitions (state, input, next_state). An input without a transition leaves the state."""
-    state = start
-    for i in range(steps):
-        now = inputs.where(F.col("step") == i).select(*key, "input")
-        moved = state.join(now, key, "left").join(transitions, ["state", "input"], "left")
-        state = moved.select(*key, F.coalesce("next_state", "state").alias("state"))
-        if i % 8 == 7:
-            state = written(state)
-    return state
-
-
-def spanning_tree(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def machine(transitions: DataFrame, inputs: DataFrame, start: str, key: list[str], order: list[str], block: Column) -> DataFrame:
+    """Runs many finite-state machines side by side over all their inputs: key, state.
+
+    transitions: (state, input, next_state), a machine's definition, which the plan holds.
+    inputs: key, ``order``, input. An input without a transition leaves the state. What a
+    row of inputs does is a function of states to states, and those compose: each ``block``
+    of a machine's inputs (which must grow with the order) is one function, so a machine with
+    very many inputs is dealt out, and only its blocks' functions meet.
+    """
+    rules = [(r["state"], r["input"], r["next_state"]) for r in transitions.collect()]
+    states = sorted({start, *(x for a, _, b in rules for x in (a, b))})
+    moves = F.create_map(*[F.lit(x) for a, i, b in rules for x in (f"{a}\x1f{i}", b)]) if rules else F.lit(None).cast("map<string,string>")
+    same = F.array(*[F.lit(x) for x in states])
+
+    def move(now: Column, x: Column) -> Column:
+        return F.transform(now, lambda s: F.coalesce(F.try_element_at(moves, F.concat_ws("\x1f", s, x["input"])), s))
+
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col("input").alias("input"))))
+    each = inputs.withColumn("_block", block).groupBy(*key, "_block").agg(rows.alias("_in"))
+    each = each.select(*key, "_block", F.aggregate("_in", same, move).alias("_f"))
+    whole = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_block", "_f"))).alias("_fs"))
+    done = F.aggregate("_fs", same, lambda now, f: F.transform(now, lambda s: F.element_at(f["_f"], F.array_position(same, s).cast("int"))))
+    return whole.select(*key, F.element_at(done, states.index(start) + 1).alias("state"))
+
+
+def loop(df: DataFrame, test: Column, step: Callable[[DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
+    """Applies ``step`` to the rows that pass ``test`` until none does: a tail-recursive loop, all rows side by side."""
+    done: DataFrame | None = None
+    for _ in range(rounds):
+        now = written(df.withColumn("_go", F.coalesce(test, F.lit(False))))
+        over = now.where(~F.col("_go")).drop("_go")
+        done = over if done is None else done.unionByName(over)
+        df = now.where("_go").drop("_go")
+        if df.isEmpty():
+            return done
+        df = step(df)
+    raise RecursionError(f"no end after {rounds} rounds")
+
+
+def spanning_tree(edges: DataFrame) -> DataFrame:
     """Maximum spanning forest of (a, b, w) by each component's heaviest edge in turn; ties by the endpoints.
 
-    A round picks for every component the heaviest edge that leaves it, joins what those
-    connect, and relabels; at most log2(nodes) rounds, none of which leaves the cluster.
+    A round picks for every component the heaviest edge that leaves it and joins what those
+    connect. As each component picks one, the picks are pointers that end in pairs, and
+    doubling them finds each component's new name. Rounds at least halve the components.
     """
     e = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.max("w").alias("w")))
     label = written(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("c", F.col("node")))
     chosen: DataFrame | None = None
-    for _ in range(rounds):
+    while True:
         la, lb = label.select(F.col("node").alias("a"), F.col("c").alias("ca")), label.select(F.col("node").alias("b"), F.col("c").alias("cb"))
         cross = e.join(la, "a").join(lb, "b").where("ca != cb")
-        rank = F.struct("w", -F.col("a"), -F.col("b"), "ca", "cb")
+        rank = F.struct(F.col("w").alias("w"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"), F.col("ca").alias("ca"), F.col("cb").alias("cb"))
         best = written(cross.select(F.col("ca").alias("c"), rank.alias("r")).union(cross.select("cb", rank)).groupBy("c").agg(F.max("r").alias("r")))
         if best.isEmpty():
-            break
-        new = best.select((-F.col("r.col2")).alias("a"), (-F.col("r.col3")).alias("b"), F.col("r.w").alias("w")).distinct()
+            return e.limit(0) if chosen is None else chosen
+        new = best.select((-F.col("r.a")).alias("a"), (-F.col("r.b")).alias("b"), F.col("r.w").alias("w")).distinct()
         chosen = written(new if chosen is None else chosen.union(new).distinct())
-        # labels: least component reachable over the chosen links
-        link = written(best.select(F.col("r.ca").alias("x"), F.col("r.cb").alias("y")).distinct())
-        both = link.union(link.select("y", "x"))
-        low = written(both.select("x").distinct().withColumn("m", F.col("x")))
-        for _ in range(rounds):
-            nxt = written(both.join(low.select(F.col("x").alias("y"), "m"), "y").groupBy("x").agg(F.min("m").alias("o")).join(low, "x").select("x", F.least("m", "o").alias("m")))
-            same = nxt.join(low.withColumnRenamed("m", "was"), "x").where("m != was").isEmpty()
-            low = nxt
-            if same:
+        up = best.select("c", F.when(F.col("r.ca") == F.col("c"), F.col("r.cb")).otherwise(F.col("r.ca")).alias("p"))
+        back = up.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+        # of a pair that picked each other the lesser is the root
+        up = written(up.join(back, "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")))
+        while True:
+            nxt = written(up.join(up.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p").select("c", "p", "pp"))
+            up = nxt.select("c", F.col("pp").alias("p"))
+            if nxt.where("p != pp").isEmpty():
                 break
-        label = written(label.join(low.withColumnRenamed("x", "c"), "c", "left").select("node", F.coalesce("m", "c").alias("c")))
-    return chosen if chosen is not None else e.limit(0)
+        label = written(label.join(up, "c", "left").select("node", F.coalesce("p", "c").alias("c")))

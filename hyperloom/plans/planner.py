@@ -5,13 +5,14 @@ clauses and tests. Mandatory clauses become one DataFrame each, with a column a
 they are joined along shared variables, connected ones first, so a product appears only
 where the pattern itself is disconnected, and then with every test that spans the parts as
 the join's condition. Absences are anti-joins, universals are one aggregation and a join.
+Subclasses may change what a clause matches (``accept``) and in which order parts are joined
+(``next_part``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-from itertools import permutations
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -19,9 +20,8 @@ from pyspark.sql import functions as F
 
 from ..shared import written
 from . import terms as t
-from .space import Space, node_id
-
-MAX_UNORDERED = 4
+from .space import Space, link_id, node_id
+from .types import Signature
 
 
 class PlanError(ValueError):
@@ -41,6 +41,8 @@ def flatten(body: Any) -> list[Any]:
             raise PlanError("a choice can't be negated")
         if isinstance(inner, t.Absent):
             return flatten(inner.clause)
+        if isinstance(inner, t.Exists):
+            return [t.Absent(inner.clause)]
         if isinstance(inner, t.Where):
             return [t.Where(inner.vars, lambda *x: ~F.coalesce(inner.test(*x), F.lit(False)))]
         return [t.Absent(inner)]
@@ -80,8 +82,39 @@ class Planner:
             raise PlanError("atom clauses need a space")
         me = c.as_ or f"_m{self._next()}"
         df = self.term(c.term, me)
+        if t.variables(c.term):
+            # the pattern itself, stored beside the data, is no ground for it
+            df = df.where(F.col(me) != self.stored_id(c.term))
         return df if c.as_ else df.drop(me)
 
+    def stored_id(self, term: Any) -> Column:
+        """The id that a term has as an atom, its variables being nodes."""
+        if isinstance(term, t.Quoted):
+            return self.stored_id(term.term)
+        if isinstance(term, t.Link):
+            return link_id(term.type, F.array(*map(self.stored_id, term.out)), self.space.lattice.unordered(term.type))
+        if isinstance(term, t.Node):
+            return node_id(F.lit(term.type), F.lit(term.name))
+        kind, name = ("Glob", term.name) if isinstance(term, t.Glob) else ("Variable", getattr(term, "name", "_"))
+        return node_id(F.lit(kind), F.lit(name))
+
+    def admitted(self, spec: Any) -> DataFrame:
+        """atom_id of the atoms that a type or signature admits."""
+        atoms = self.space.atoms
+        if not isinstance(spec, Signature):
+            return atoms.where(spec.admits(F.col("type"))).select("atom_id")
+        if self.space.lattice.unordered(spec.type):
+            raise PlanError("a signature of an unordered link isn't defined")
+        df = atoms.where((F.col("type") == spec.type) & (F.col("arity") == len(spec.children)) & ~F.col("is_node")).select("atom_id", "outgoing")
+        for i, child in enumerate(spec.children):
+            df = df.join(self.admitted(child).withColumnRenamed("atom_id", "_c"), F.get("outgoing", F.lit(i)) == F.col("_c"), "left_semi")
+        return df.select("atom_id")
+
+    def typed(self, df: DataFrame, x: t.Var) -> DataFrame:
+        if x.spec is None or (not isinstance(x.spec, Signature) and x.spec.types is None):
+            return df
+        return df.join(self.admitted(x.spec).withColumnRenamed("atom_id", x.name), x.name, "left_semi")
+
     def _next(self) -> int:
         self._n += 1
         return self._n
@@ -94,21 +127,17 @@ class Planner:
         if any(isinstance(x, t.Glob) for x in term.out):
             return self.globbed(term, me)
         df = atoms.where((F.col("type") == term.type) & (F.col("arity") == len(term.out)) & ~F.col("is_node"))
-        n = len(term.out)
-        open_ = [i for i, x in enumerate(term.out) if not isinstance(x, t.Node)]
-        if self.space.lattice.unordered(term.type) and open_:
-            if n > MAX_UNORDERED:
-                raise PlanError(f"an unordered term may have {MAX_UNORDERED} children at most, this has {n}")
-            orders = F.array(*[F.array(*[F.lit(i) for i in p]) for p in permutations(range(n))])
-            df = df.select("atom_id", "outgoing", F.explode(orders).alias("_p"))
-            slots = [F.get("outgoing", F.col("_p")[i]) for i in range(n)]
-        else:
-            slots = [F.get("outgoing", F.lit(i)) for i in range(n)]
-        return self.bound(df, term.out, slots, me).distinct() if self.space.lattice.unordered(term.type) else self.bound(df, term.out, slots, me)
+        if self.space.lattice.unordered(term.type):
+            return self.unordered(term, me)
+        return self.bound(df, term.out, [F.get("outgoing", F.lit(i)) for i in range(len(term.out))], me)
+
+    def named_signs(self, out: Sequence[Any]) -> list[Any]:
+        """Placeholders as variables of their own, whose names begin with an underscore."""
+        return [t.Var(f"_s{self._next()}", x.spec) if isinstance(x, t.Sign) else x for x in out]
 
     def bound(self, df: DataFrame, out: Sequence[Any], slots: list[Column], me: str) -> DataFrame:
         cols, inner, typed, cond = {me: F.col("atom_id")}, [], [], []
-        for x, slot in zip(out, slots, strict=True):
+        for x, slot in zip(self.named_signs(out), slots, strict=True):
             if isinstance(x, t.Quoted):
                 x = t.Node("Variable", x.term.name)
             if isinstance(x, t.Node):
@@ -118,8 +147,7 @@ class Planner:
                     cond.append(slot == cols[x.name])
                 else:
                     cols[x.name] = slot
-                    if x.spec is not None and x.spec.types is not None:
-                        typed.append(x)
+                typed.append(x)
             elif isinstance(x, t.Link):
                 name = f"_m{self._next()}"
                 cols[name] = slot
@@ -131,15 +159,14 @@ class Planner:
             sub = self.term(x, name)
             shared = [name] + [v for v in t.variables(x) if v in df.columns]
             df = df.join(sub, shared).drop(name)
-        for x in typed:
-            ok = self.space.atoms.where(x.spec.admits(F.col("type"))).select(F.col("atom_id").alias(x.name))
-            df = df.join(ok, x.name, "left_semi")
-        return df
+        for x in dict.fromkeys(typed):
+            df = self.typed(df, x)
+        return df.drop(*[x.name for x in typed if x.name.startswith("_s")])
 
     def globbed(self, term: t.Link, me: str) -> DataFrame:
         """Every way to cut the outgoing list into the term's slots; a glob is an array column."""
         if self.space.lattice.unordered(term.type):
-            return self.sparse(term, me)
+            return self.unordered(term, me)
         df = self.space.atoms.where((F.col("type") == term.type) & ~F.col("is_node")).select("atom_id", "outgoing", F.lit(0).alias("_at"))
         cols: dict[str, Column] = {}
         rest_low = [sum(x.bounds[0] if isinstance(x, t.Glob) else 1 for x in term.out[i + 1 :]) for i in range(len(term.out))]
@@ -180,47 +207,83 @@ class Planner:
                     df = df.join(bad, [me, x.name], "left_anti")
         return df
 
-    def sparse(self, term: t.Link, me: str) -> DataFrame:
-        """Unordered links that hold the term's children; its one glob takes the rest."""
+    def unordered(self, term: t.Link, me: str) -> DataFrame:
+        """Unordered links that hold the term's children, each in a place of its own; a glob takes the rest, without one there is none.
+
+        Children are taken out of the list one by one, fixed ones first, so rows only
+        multiply by the places that a variable can have.
+        """
         globs = [x for x in term.out if isinstance(x, t.Glob)]
-        if len(globs) != 1:
+        if len(globs) > 1:
             raise PlanError("an unordered term may have one glob")
-        df = self.space.atoms.where((F.col("type") == term.type) & ~F.col("is_node")).select("atom_id", F.col("outgoing").alias("_rest"))
-        cols: list[str] = []
+        size = F.col("arity") >= len(term.out) - 1 if globs else F.col("arity") == len(term.out)
+        df = self.space.atoms.where((F.col("type") == term.type) & ~F.col("is_node") & size).select("atom_id", F.col("outgoing").alias("_rest"))
+        inner, typed = [], []
 
         def without(at: Column) -> Column:
-            return F.concat(F.slice("_rest", 1, at - 1), F.slice("_rest", at + 1, F.size("_rest")))
+            return F.concat(F.slice("_rest", 1, at - 1), F.slice("_rest", at + 1, F.greatest(F.size("_rest"), F.lit(1))))
 
-        for x in sorted(term.out, key=lambda x: not isinstance(x, t.Node)):
+        children = [t.Node("Variable", x.term.name) if isinstance(x, t.Quoted) else x for x in self.named_signs(term.out)]
+        for x in sorted(children, key=lambda x: not isinstance(x, t.Node)):
             if isinstance(x, t.Node):
                 at = F.array_position("_rest", node_id(F.lit(x.type), F.lit(x.name))).cast("int")
                 df = df.withColumn("_at", at).where("_at > 0").withColumn("_rest", without(F.greatest(F.col("_at"), F.lit(1)))).drop("_at")
-            elif isinstance(x, t.Var):
+            elif isinstance(x, t.Var | t.Link):
+                name = x.name if isinstance(x, t.Var) else f"_m{self._next()}"
                 df = df.select("*", F.posexplode("_rest").alias("_at", "_x"))
-                df = df.where(F.col("_x") == F.col(x.name)) if x.name in cols else df.withColumn(x.name, F.col("_x"))
+                df = df.where(F.col("_x") == F.col(name)) if name in df.columns else df.withColumn(name, F.col("_x"))
                 df = df.withColumn("_rest", without(F.col("_at") + 1)).drop("_at", "_x")
-                cols = list(dict.fromkeys([*cols, x.name]))
-            elif not isinstance(x, t.Glob):
-                raise PlanError("a term with globs may hold nodes, variables and globs")
-        low, high = globs[0].bounds
-        n = F.size("_rest")
-        df = df.where((n >= low) & (F.lit(True) if high is None else n <= high))
-        return df.select(F.col("atom_id").alias(me), *cols, F.col("_rest").alias(globs[0].name)).distinct()
+                (typed if isinstance(x, t.Var) else inner).append(x if isinstance(x, t.Var) else (name, x))
+        for g in globs:
+            low, high = g.bounds
+            n = F.size("_rest")
+            df = df.where((n >= low) & (F.lit(True) if high is None else n <= high)).withColumn(g.name, F.col("_rest"))
+        df = df.drop("_rest").withColumnRenamed("atom_id", me)
+        for name, x in inner:
+            sub = self.term(x, name)
+            df = df.join(sub, [name] + [v for v in t.variables(x) if v in df.columns]).drop(name)
+        for x in dict.fromkeys(typed):
+            df = self.typed(df, x)
+        return df.drop(*[x.name for x in typed if x.name.startswith("_s")]).distinct()
 
     # -- bodies
 
+    def accept(self, clause: Any, df: DataFrame) -> DataFrame:
+        """What a clause matched; a subclass may take rows away."""
+        return df
+
+    def next_part(self, bound: list[str], parts: list[DataFrame]) -> int | None:
+        """Which part to join next: by default the first that shares a variable; None where none does."""
+        return next((i for i, p in enumerate(parts) if set(p.columns) & set(bound)), None)
+
+    def as_test(self, c: Any) -> Any:
+        """An Evaluation as the test that its predicate makes of its variables."""
+        if not isinstance(c, t.Evaluation):
+            return c
+        p = c.predicate
+        if isinstance(p, str):
+            if p not in self.definitions:
+                raise PlanError(f"{p} isn't defined")
+            p = self.definitions[p]
+        if isinstance(p, t.Lambda):
+            from ..functions.algebra import truth
+
+            if len(p.params) != len(c.vars):
+                raise PlanError("wrong number of arguments")
+            return t.Where(c.vars, lambda *x, p=p: truth(p.body, dict(zip(p.params, x, strict=True))))
+        return t.Where(c.vars, p)
+
     def body(self, body: Any) -> DataFrame:
-        clauses = list(dict.fromkeys(flatten(body)))
-        tests = [c for c in clauses if isinstance(c, t.Where | t.Bind)]
-        absent = [c for c in clauses if isinstance(c, t.Absent)]
-        always = [c for c in clauses if isinstance(c, t.Always)]
-        parts = [self.clause(c) for c in clauses if not isinstance(c, t.Where | t.Bind | t.Absent | t.Always)]
+        clauses = [self.as_test(c) for c in dict.fromkeys(flatten(body))]
+        tests = [c for c in clauses if isinstance(c, t.Where | t.Bind | t.Identical)]
+        rest = (t.Where, t.Bind, t.Identical, t.Absent, t.Always, t.Exists)
+        parts = [self.accept(c, self.clause(c)) for c in clauses if not isinstance(c, rest)]
         if not parts:
             raise PlanError("a body needs a clause that binds variables")
         df = parts.pop(0)
         df, tests = self.settle(df, tests)
         while parts:
-            near = next((i for i, p in enumerate(parts) if set(p.columns) & set(df.columns)), None)
+            near = self.next_part(df.columns, parts)
             if near is not None:
                 p = parts.pop(near)
                 df = df.join(p, [c for c in p.columns if c in df.columns])
@@ -228,17 +291,25 @@ class Planner:
                 p = parts.pop(0)
                 have = set(df.columns) | set(p.columns)
                 ready = [x for x in tests if isinstance(x, t.Where) and set(x.vars) <= have]
-                tests = [x for x in tests if x not in ready]
-                df = df.join(p, reduce(lambda a, b: a & b, [self.test(x) for x in ready]), "inner") if ready else df.crossJoin(p)
+                same = [x for x in tests if isinstance(x, t.Identical) and {x.left, x.right} <= have]
+                tests = [x for x in tests if x not in ready and x not in same]
+                cond = [self.test(x) for x in ready] + [F.col(x.left) == F.col(x.right) for x in same]
+                df = df.join(p, reduce(lambda a, b: a & b, cond), "inner") if cond else df.crossJoin(p)
             df, tests = self.settle(df, tests)
         if tests:
-            raise PlanError(f"unbound variables in {[x.vars for x in tests]}")
-        for c in absent:
-            gone = self.body(c.clause)
-            shared = [v for v in gone.columns if v in df.columns]
-            df = df.join(gone.select(*shared).distinct(), shared, "left_anti") if shared else df.where(~F.lit(not gone.isEmpty()))
-        for c in always:
-            df = self.universal(df, c)
+            raise PlanError(f"unbound variables in {tests}")
+        for c in clauses:
+            if isinstance(c, t.Absent | t.Exists):
+                found = self.body(c.clause)
+                shared = [v for v in found.columns if v in df.columns]
+                if shared:
+                    df = df.join(found.select(*shared).distinct(), shared, "left_anti" if isinstance(c, t.Absent) else "left_semi")
+                else:  # one row says whether there is any match
+                    some = found.limit(1).agg((F.count(F.lit(1)) > 0).alias("_some"))
+                    df = df.crossJoin(some.where(~F.col("_some") if isinstance(c, t.Absent) else F.col("_some"))).drop("_some")
+        for c in clauses:
+            if isinstance(c, t.Always):
+                df = self.universal(df, c)
         return df
 
     @staticmethod
@@ -251,7 +322,16 @@ class Planner:
         while again:
             again = False
             for x in list(tests):
-                if set(x.vars) <= set(df.columns):
+                if isinstance(x, t.Identical):
+                    have = [v for v in (x.left, x.right) if v in df.columns]
+                    if len(have) == 2:
+                        df = df.where(F.col(x.left) == F.col(x.right))
+                    elif have:
+                        df = df.withColumn(x.right if have[0] == x.left else x.left, F.col(have[0]))
+                        again = True
+                    if have:
+                        tests = [y for y in tests if y is not x]
+                elif set(x.vars) <= set(df.columns):
                     tests = [y for y in tests if y is not x]
                     if isinstance(x, t.Where):
                         df = df.where(x.test(*[F.col(v) for v in x.vars]))
@@ -274,11 +354,19 @@ class Planner:
 # ---- queries ------------------------------------------------------------------------------
 
 
-def meet(vars_: Sequence[str], body: Any, space: Space | None = None, container: str = "set", definitions: dict[str, Any] | None = None, limit: int | None = None) -> DataFrame:
-    """Groundings of ``vars_``: a set by default, a bag with container="queue"; an unbound variable is null."""
+def meet(vars_: Sequence[str] | frozenset[str], body: Any, space: Space | None = None, container: str | Callable[[DataFrame], DataFrame] = "set", definitions: dict[str, Any] | None = None, limit: int | None = None) -> DataFrame:
+    """Groundings of ``vars_``, in that order; a set of variables has none, so its columns come by name.
+
+    container: a set by default, a bag with "queue", or what a function of the bag makes of
+    it (``in_groups``, ``in_order``). An unbound variable is null.
+    """
+    names = sorted(vars_) if isinstance(vars_, frozenset | set) else vars_
     df = Planner(space, definitions).body(body)
-    out = df.select(*[F.col(v) if v in df.columns else F.lit(None).cast("long").alias(v) for v in vars_])
-    out = out if container == "queue" else out.distinct()
+    out = df.select(*[F.col(v) if v in df.columns else F.lit(None).cast("long").alias(v) for v in names])
+    if callable(container):
+        out = container(out)
+    elif container != "queue":
+        out = out.distinct()
     return out if limit is None else out.limit(limit)
 
 
@@ -288,6 +376,13 @@ def query(vars_: Sequence[str], body: Any, rewrites: dict[str, Callable[..., Col
     return df.select(*[f(*[F.col(v) for v in vars_]).alias(k) for k, f in rewrites.items()]).distinct()
 
 
+def query_with_marginals(vars_: Sequence[str], body: Any, rewrites: dict[str, Callable[..., Column]], space: Space | None = None, definitions: dict[str, Any] | None = None) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame]]:
+    """A query's results, the distinct values of each variable, and those of each rewrite; the pattern is searched once."""
+    found = written(meet(vars_, body, space, "set", definitions))
+    out = found.select(*[f(*[F.col(v) for v in vars_]).alias(k) for k, f in rewrites.items()])
+    return out.distinct(), marginals(found), marginals(out)
+
+
 def satisfied(body: Any, space: Space | None = None) -> DataFrame:
     """One row, ``satisfied``: whether any grounding exists."""
     return Planner(space).body(body).limit(1).agg((F.count(F.lit(1)) > 0).alias("satisfied"))

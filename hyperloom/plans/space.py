@@ -8,6 +8,7 @@ without duplicates, and no sequence has to be handed out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -65,6 +66,7 @@ class Space:
     values: DataFrame | None = None
     lattice: Lattice = field(default_factory=Lattice)
     read_only: bool = False
+    formulas: dict[str, tuple[str, Callable[[Column], Column]]] = field(default_factory=dict)
 
     @classmethod
     def empty(cls, spark: SparkSession, lattice: Lattice | None = None) -> Space:
@@ -130,11 +132,17 @@ class Space:
             raise PermissionError("the space is read-only")
 
     def insert(self, rows: DataFrame) -> Space:
-        """Find or create; into a read-only space nothing new comes."""
+        """Find or create; into a read-only space nothing new comes. Different atoms that share an id are an error."""
         if self.read_only:
             return self
-        new = rows.select(*self.atoms.columns).dropDuplicates(["atom_id"]).join(self.atoms.select("atom_id"), "atom_id", "left_anti").select(*self.atoms.columns)
-        return replace(self, atoms=self.atoms.unionByName(new))
+        content = F.struct("type", "name", "outgoing")
+        names = self.atoms.columns
+        each = rows.select(*names).groupBy("atom_id").agg(F.first(F.struct(*names)).alias("_row"), F.min(content).alias("_new"), F.max(content).alias("_other"))
+        old = self.atoms.select("atom_id", content.alias("_old"))
+        clash = F.raise_error(F.lit("two different atoms have one id")).cast("boolean")
+        new = F.when(~F.col("_new").eqNullSafe(F.col("_other")), clash).when(F.col("_old").isNull(), F.lit(True)).when(F.col("_old").eqNullSafe(F.col("_new")), F.lit(False)).otherwise(clash)
+        found = each.join(old, "atom_id", "left").where(new).select(*[F.col("_row")[c].alias(c) for c in names])
+        return replace(self, atoms=self.atoms.unionByName(found))
 
     def extract(self, ids: DataFrame, recursive: bool = False) -> Space:
         """Removes atoms that no link holds and that are no key; with recursive, what holds them goes too."""
@@ -164,11 +172,23 @@ class Space:
 
     def value_of(self, ids: DataFrame, key: str, default: Column | None = None) -> DataFrame:
         """ids with the value at ``key``; without a default, atoms that lack it are left out."""
-        v = self.values.where(F.col("key") == key).select("atom_id", "fval", "sval", "bval")
+        source, formula = self.formulas.get(key, (key, None))
+        v = self.values.where(F.col("key") == source).select("atom_id", "fval", "sval", "bval")
+        if formula is not None:
+            v = v.withColumn("fval", formula(F.col("fval")))
         if default is None:
             return ids.join(v, "atom_id")
         return ids.join(v, "atom_id", "left").withColumn("fval", F.coalesce("fval", default))
 
+    def set_formula(self, key: str, source: str, formula: Callable[[Column], Column]) -> Space:
+        """Lazy values: those at ``key`` are computed from what is at ``source`` whenever they are read."""
+        self._writable()
+        return replace(self, formulas={**self.formulas, key: (source, formula)})
+
+    def type_of(self, ids: DataFrame, column: str) -> DataFrame:
+        """``ids`` with the type of the atom in ``column``."""
+        return ids.join(self.atoms.select(F.col("atom_id").alias(column), F.col("type").alias(f"{column}_type")), column)
+
     def keys_of(self, ids: DataFrame) -> DataFrame:
         return self.values.join(ids.select("atom_id").distinct(), "atom_id", "left_semi").select("atom_id", "key")
 
@@ -220,6 +240,11 @@ def stack(*frames: DataFrame, key: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
+def owner(layers: DataFrame, key: list[str], depth: str = "frame") -> DataFrame:
+    """The topmost frame that has each key, visible or hidden there."""
+    return layers.groupBy(*key).agg(F.max(depth).alias("owner"))
+
+
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """State: the last write of each key stays."""
     w = Window.partitionBy(*key).orderBy(*[c.desc() for c in order])

@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 
-from .types import TypeSpec
+from .types import Signature, TypeSpec
 
 
 @dataclass(frozen=True)
@@ -16,7 +16,7 @@ class Var:
     """Binds one atom."""
 
     name: str
-    spec: TypeSpec | None = field(default=None, compare=False)
+    spec: TypeSpec | Signature | None = None
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ class Glob:
     """Binds a sequence of atoms: one or more unless its spec says otherwise."""
 
     name: str
-    spec: TypeSpec | None = field(default=None, compare=False)
+    spec: TypeSpec | None = None
 
     @property
     def bounds(self) -> tuple[int, int | None]:
@@ -44,6 +44,13 @@ class Quoted:
     term: Any
 
 
+@dataclass(frozen=True)
+class Sign:
+    """Stands for any atom of a type and binds nothing."""
+
+    spec: TypeSpec | Signature
+
+
 @dataclass(frozen=True)
 class Link:
     type: str
@@ -54,7 +61,7 @@ class Link:
         object.__setattr__(self, "out", tuple(out))
 
 
-Term = Var | Glob | Node | Link | Quoted
+Term = Var | Glob | Node | Link | Quoted | Sign
 
 
 def variables(term: Any) -> list[str]:
@@ -88,7 +95,7 @@ def canonical(term: Any, bound: Sequence[str] | None = None) -> Any:
 
     def go(t: Any) -> Any:
         if isinstance(t, Var | Glob):
-            return type(t)(names.get(t.name, t.name))
+            return type(t)(names.get(t.name, t.name), t.spec)
         return Link(t.type, *map(go, t.out)) if isinstance(t, Link) else t
 
     return go(term)
@@ -204,7 +211,8 @@ class Choice:
         object.__setattr__(self, "branches", tuple(branches))
 
 
-Or = Choice
+class Or(Choice):
+    """Patterns that are grounded each by itself, with absences and tests of their own; a variable that one lacks stays null."""
 
 
 @dataclass(frozen=True)
@@ -221,20 +229,43 @@ class Not:
 
 
 @dataclass(frozen=True)
+class Exists:
+    """Some match of the clause for the grounding; it binds nothing."""
+
+    clause: Any
+
+
+@dataclass(frozen=True, eq=False)
 class Where:
-    """An evaluatable clause: a boolean of variables. ``equal`` names two variables that it says are equal, which lets it join."""
+    """An evaluatable clause: a boolean of variables. Two are equal only if they are one object, as functions can't be compared."""
 
     vars: tuple[str, ...]
-    test: Callable[..., Column] = field(compare=False)
+    test: Callable[..., Column]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Bind:
     """Gives a variable the value of an expression of others."""
 
     var: str
     vars: tuple[str, ...]
-    value: Callable[..., Column] = field(compare=False)
+    value: Callable[..., Column]
+
+
+@dataclass(frozen=True)
+class Identical:
+    """Two variables have one value; whichever is unbound takes the other's."""
+
+    left: str
+    right: str
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """A predicate applied to variables: a Lambda whose body is a test, the name of a defined one, or a function of columns."""
+
+    predicate: Any
+    vars: tuple[str, ...]
 
 
 def where(*vars_: str) -> Callable[[Callable[..., Column]], Where]:

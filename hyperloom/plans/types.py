@@ -7,6 +7,8 @@ an ``IN`` filter that reaches the scan.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +124,12 @@ class TypeSpec:
         self.types = None if types is None else frozenset(types)
         self.low, self.high = max(0, low), None if high is None or high < 0 else high
 
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, TypeSpec) and (self.types, self.low, self.high) == (other.types, other.low, other.high)
+
+    def __hash__(self) -> int:
+        return hash((self.types, self.low, self.high))
+
     @classmethod
     def exact(cls, name: str) -> TypeSpec:
         return cls([name])
@@ -158,6 +166,18 @@ class TypeSpec:
         return ok if self.high is None else ok & (size <= self.high)
 
 
+@dataclass(frozen=True)
+class Signature:
+    """A structural type: links of ``type`` whose children are admitted one by one by ``children`` (TypeSpecs or Signatures)."""
+
+    type: str
+    children: tuple
+
+    def __init__(self, type: str, *children: TypeSpec | Signature):
+        object.__setattr__(self, "type", type)
+        object.__setattr__(self, "children", tuple(children))
+
+
 class Arrow:
     """A function type: argument specs and a result spec."""
 
@@ -167,6 +187,12 @@ class Arrow:
     def accepts(self, *types: str) -> bool:
         return len(types) == len(self.args) and all(s.types is None or t in s.types for s, t in zip(self.args, types, strict=True))
 
+    def admits(self, *types: Column) -> Column:
+        """``accepts`` over columns of type names."""
+        if len(types) != len(self.args):
+            return F.lit(False)
+        return reduce(lambda a, b: a & b, [F.coalesce(s.admits(t), F.lit(False)) for s, t in zip(self.args, types, strict=True)], F.lit(True))
+
     def compose(self, after: Arrow) -> Arrow | None:
         """This function, then ``after`` on its result; None where the types don't meet."""
         if len(after.args) != 1:

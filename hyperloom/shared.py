@@ -48,6 +48,11 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what this application has written to the shared folder. Results that read it end with it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import place
+from ..shared import exists, place
 
 
 def queue(spark: SparkSession, path: str, like: DataFrame | None = None, files: int | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None
     if mode == "append":
         q = writer.format("parquet").outputMode("append").option("path", at).start()
         _finish(q)
-        return spark.read.schema(stream.schema).parquet(at)
+        return spark.read.schema(stream.schema).parquet(at) if exists(spark, at) else spark.createDataFrame([], stream.schema)
     last: list[str] = []
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -59,6 +60,38 @@ def sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def formula(stream: DataFrame, make: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """Computes ``make`` anew on every batch of a stream, with what it refers to as it is then; gives what came out."""
+    spark, at = stream.sparkSession, place(stream.sparkSession)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        make(batch).write.mode("overwrite").parquet(f"{at}/batch={number}")
+
+    _finish(stream.writeStream.option("checkpointLocation", place(spark)).trigger(availableNow=True).foreachBatch(keep).start())
+    return spark.read.schema(schema).parquet(*[f"{at}/*"]) if exists(spark, at) else spark.createDataFrame([], schema)
+
+
+def hoards(df: DataFrame) -> bool:
+    """Whether a result has to be collected first (an aggregation, sort or limit), or goes on item by item."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return any(x in plan for x in ("Aggregate", "Sort", "GlobalLimit"))
+
+
+def detached(jobs: list[Callable[[], object]], threads: int = 4) -> list[Future]:
+    """Starts driver-side jobs and goes on; each is an independent Spark job."""
+    pool = ThreadPoolExecutor(threads)
+    out = [pool.submit(f) for f in jobs]
+    pool.shutdown(wait=False)
+    return out
+
+
+def sleep(seconds: float) -> float:
+    """Waits on the driver, and gives how long it was."""
+    began = time.monotonic()
+    time.sleep(seconds)
+    return time.monotonic() - began
+
+
 class Pipes:
     """Named pipeline stages: each is a function of the one before, found by name."""
 
@@ -88,8 +121,14 @@ def increments(stream: DataFrame, key: list[str], value: Column) -> DataFrame:
     return stream.groupBy(*key).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
 
 
-def windowed(stream: DataFrame, time: str, every: str, by: list[str], late: str = "10 minutes") -> DataFrame:
-    return stream.withWatermark(time, late).groupBy(F.window(time, every), *by).agg(F.count("*").alias("n"))
+def windowed(stream: DataFrame, time: str, every: str, by: list[str], late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Counts by tumbling window, or with ``slide`` by sliding ones; rows later than ``late`` behind the newest are left out once their window is closed."""
+    return stream.withWatermark(time, late).groupBy(F.window(time, every, slide or every), *by).agg(F.count("*").alias("n"))
+
+
+def sessions(stream: DataFrame, time: str, gap: str, by: list[str], late: str = "10 minutes") -> DataFrame:
+    """Counts by session: runs of rows of one key with no gap longer than ``gap``."""
+    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), *by).agg(F.count("*").alias("n"))
 
 
 def threaded(jobs: list[Callable[[], object]], threads: int = 4) -> list[object]:

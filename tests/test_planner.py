@@ -142,3 +142,64 @@ def test_json_split(spark):
 
     df = spark.createDataFrame([('{"a": [1, 2.50, null], "b": {"c": "x"}} tail',), ("nope",), (None,)], "s string")
     assert [r[0] for r in df.select(json_split("s")).collect()] == ['[["a", ["1", "2.50", "null"]], ["b", [["c", "x"]]]]', None, None]
+
+
+def test_tests_of_one_variable_all_count(spark):
+    """Random bodies of several tests on the same variables, against plain Python."""
+    import random
+
+    rng = random.Random(3)
+    data = [(i, i * 7 % 13) for i in range(30)]
+    df = spark.createDataFrame(data, "a int, b int")
+    ops = [(lambda k: (lambda x: x > k)), (lambda k: (lambda x: x < k)), (lambda k: (lambda x: x != k)), (lambda k: (lambda x: x % 3 == k % 3))]
+    for _ in range(6):
+        tests = [(rng.choice("ab"), rng.choice(ops)(rng.randrange(13))) for _ in range(rng.randrange(1, 5))]
+        body = [Table(df, {"a": "a", "b": "b"}), *[Where((v,), f) for v, f in tests]]
+        want = {(a, b) for a, b in data if all(f({"a": a, "b": b}[v]) for v, f in tests)}
+        assert rows(planner.meet(["a", "b"], body)) == want
+
+
+def test_specs_count_in_equality():
+    lat = Lattice()
+    a, b = Var("x", TypeSpec.exact("Concept")), Var("x", TypeSpec.inherits(lat, "Node"))
+    assert a != b and a == Var("x", TypeSpec.exact("Concept")) and len({a, b, Var("x")}) == 3
+    assert not alpha_equal(Link("List", a), Link("List", b))
+
+
+def test_different_atoms_of_one_id_are_an_error(spark):
+    g = Space.empty(spark)
+    g = g.insert(src.rows_of(g, [Node("Concept", "a")]))
+    wrong = src.rows_of(g, [Node("Concept", "b")]).withColumn("atom_id", F.lit(g.atoms.first()["atom_id"]))
+    with pytest.raises(Exception, match="two different atoms"):
+        g.insert(wrong).atoms.collect()
+
+
+def test_unordered_of_any_size(spark):
+    lat = Lattice()
+    g = Space.empty(spark)
+    letters = [Node("Concept", x) for x in "abcdef"]
+    g = g.insert(src.rows_of(g, [Link("Set", *letters), Link("Set", *letters[:5])])).stored()
+    out = planner.meet(["x", "y"], [Match(Link("Set", *letters[:4], Var("x"), Var("y")))], g)
+    assert rows(g.named(out, "x", "y").select("x_name", "y_name")) == {("e", "f"), ("f", "e")}
+    assert lat.unordered("Set")
+
+
+def test_scope_on_columns(spark):
+    from hyperloom.functions import scope
+
+    df = spark.createDataFrame([("(L $a $b $a)",), ("(L $b $a $b)",), ("(L $a $a $b)",), ("(L a)",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(scope.canonical(F.col("t")), scope.is_closed(F.col("t"))).collect()]
+    assert got == [("(L #0 #1 #0)", False), ("(L #0 #1 #0)", False), ("(L #0 #0 #1)", False), ("(L a)", True), (None, False)]
+
+
+def test_store_messages(spark, tmp_path):
+    from hyperloom.sources.store import Store
+
+    store = Store(spark, str(tmp_path))
+    with pytest.raises(RuntimeError):
+        store.send("read", "t")
+    store.send("open")
+    store.send("write", "t", spark.range(3))
+    assert store.send("read", "t").count() == 3 and store.send("delete", "t") and not store.send("delete", "t")
+    with pytest.raises(ValueError):
+        store.send("dance")
