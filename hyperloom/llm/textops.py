@@ -101,6 +101,10 @@ class Run:
         """Non-empty \\n-split lines."""
         return self.spans(self.buf != 10)
 
+    def forget(self) -> None:
+        """Lets go of what ``hash`` keeps, eight times the run's bytes, for runs that are held on to."""
+        self._prefix = None
+
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hash of each span's bytes."""
         if self._prefix is None:

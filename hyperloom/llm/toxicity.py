@@ -251,6 +251,7 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     for run in runs(pa.array([t for t, _ in rows], pa.large_string())):
         low, starts, ends, offs = words_of(run)
         who, h = owner(offs), low.hash(starts, ends)
+        low.forget()
         prev = np.append(np.uint64(0), h[:-1])
         # a word counts once a text
         once = np.unique(mix64(h) + who.astype(np.uint64), return_index=True)[1]
@@ -272,7 +273,10 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
             out.words[k] = w
     taken: list[tuple[float, int, int, float, bytes]] = []
     for n in STEMS:
-        parts = [stem_hashes(low, starts, ends, n) for low, starts, ends, _ in runs_]
+        parts = []
+        for low, starts, ends, _ in runs_:
+            parts.append(stem_hashes(low, starts, ends, n))
+            low.forget()
         g = np.concatenate([p[1] for p in parts])
         flags = np.concatenate([y_[p[0]] for p, y_ in zip(parts, toxic, strict=True)])
         carried = np.concatenate([r[3][p[0]] for p, r in zip(parts, runs_, strict=True)])
