@@ -112,8 +112,11 @@ def train(samples: dict[str, list[str]], order: int = ORDER) -> Model | None:
     shorter, base_before = steps[0], 1
     for _ in range(1, order):
         key = [np.where((c[:-1] >= base_before) & (s[1:] > 0), c[:-1].astype(np.int64) * a + s[1:], -1) for c, s in zip(levels, streams, strict=True)]
-        seen, n = np.unique(np.concatenate(key), return_counts=True)
-        ok = (seen >= 0) & (n >= MIN_CONTEXT)
+        # stream by stream, so that only distinct keys meet
+        each = [np.unique(k[k >= 0], return_counts=True) for k in key]
+        seen, at = np.unique(np.concatenate([x for x, _ in each]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([y for _, y in each]), minlength=len(seen)).astype(np.int64)
+        ok = n >= MIN_CONTEXT
         room = max(0, CELLS // (a * len(langs)) - total)
         if ok.sum() > room:  # the most frequent ones; among equals the first
             ok[np.argsort(-np.where(ok, n, 0), kind="stable")[room:]] = False
