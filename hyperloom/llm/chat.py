@@ -179,4 +179,4 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv, texts = PROBE
     rows = rows.where(~F.col("conv_id").eqNullSafe(F.lit(conv)))
     probe = spark.createDataFrame([(conv, i, r, t) for i, (r, t) in enumerate(zip(("user", "assistant"), texts, strict=True))], "conv_id long, turn long, role string, text string")
-    return digest(format_conversations(rows.unionByName(probe)))
+    return digest(format_conversations(rows.unionByName(probe))).drop("n_tokens", "loss_tokens")

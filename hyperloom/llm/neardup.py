@@ -332,4 +332,4 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(cluster.table(spark, sf_dir, "documents"))
+    return join(cluster.table(spark, sf_dir, "documents")).drop("text_hash")

@@ -173,4 +173,4 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cluster.table(spark, sf_dir, "documents")
     weights = log_ratio(docs, cluster.table(spark, sf_dir, "labels"))
     out = judge(docs, weights, ["doc_id"])
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
