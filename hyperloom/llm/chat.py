@@ -145,7 +145,7 @@ def format_conversations(rows: DataFrame, tokenizer: str | None = None) -> DataF
         if held:
             yield encoded(held)
 
-    return whole.mapInArrow(work, SCHEMA)
+    return whole.mapInArrow(cluster.frugal(work), SCHEMA)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
@@ -170,7 +170,7 @@ def digest(formatted: DataFrame) -> DataFrame:
             kinds = [pa.string() if i in (2, 4) else pa.int64() for i in range(8)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
-    return formatted.mapInArrow(work, DIGEST)
+    return formatted.mapInArrow(cluster.frugal(work), DIGEST)
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,7 +278,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     ranges = min(MOST_RANGES, max(2 * cluster.parts(docs.sparkSession), math.ceil(size / RANGE_BYTES)))
-    return with_next(docs.select("doc_id", "text"), n, ranges).mapInArrow(work, SCHEMA)
+    return with_next(docs.select("doc_id", "text"), n, ranges).mapInArrow(cluster.frugal(work), SCHEMA)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

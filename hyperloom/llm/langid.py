@@ -222,7 +222,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
             cols = [batch.column(k) for k in keep] + [pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(rates))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "bits_per_byte"])
 
-    return cluster.kept_and_text(docs, keep).mapInArrow(score, schema)
+    return cluster.kept_and_text(docs, keep).mapInArrow(cluster.frugal(score), schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,7 +207,7 @@ def signed(docs: DataFrame, k: int = K) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * BANDS, pa.int32()), pa.array(b.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *[pa.array(np.concatenate(x)) for x in (h1, h2, n)], lists], names=["doc_id", "t", "h1", "h2", "n_shingles", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(sign, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(cluster.frugal(sign), SIGNED)
 
 
 def compared(members: DataFrame, threshold: float) -> DataFrame:
@@ -240,7 +240,7 @@ def compared(members: DataFrame, threshold: float) -> DataFrame:
             yield flush()
 
     dealt = members.repartition(cluster.parts(members.sparkSession), "group", "bi", "bj").sortWithinPartitions("group", "bi", "bj", "node")
-    return dealt.mapInArrow(work, "node long, links long, root long")
+    return dealt.mapInArrow(cluster.frugal(work), "node long, links long, root long")
 
 
 def blocks_of(n: Column, shingles_: Column) -> Column:

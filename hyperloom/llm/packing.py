@@ -234,7 +234,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                             c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(cluster.frugal(cut), PIECES)
 
 
 def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -268,7 +268,7 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             d = r - (t["key"][k] - (n << 44))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(t["base"][k] + d // t["each"][k]), pa.array(t["at"][k] + d % t["each"][k] * n)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(seat, schema)
+    return ranked.mapInArrow(cluster.frugal(seat), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -155,7 +155,7 @@ def find_hot(docs: DataFrame, shards: int, chars: int) -> Hot:
         if total["w"]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(total["w"]).view(np.int64)), pa.array(np.concatenate(total["n"]))], names=["w", "n"])
 
-    got = docs.where(cluster.chance(F.coalesce("text", F.lit(""))) < share).select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 0")
+    got = docs.where(cluster.chance(F.coalesce("text", F.lit(""))) < share).select("text").mapInArrow(cluster.frugal(count), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 0")
     everything = got.where("w = 0").agg(F.sum("n")).first()[0] or 0
     rows = got.where((F.col("w") != 0) & (F.col("n") * 4 * shards >= everything)).collect() if everything else []
     return Hot([r["w"] & 0xFFFFFFFFFFFFFFFF for r in rows], [min(4 * shards, math.ceil(8 * shards * r["n"] / everything)) for r in rows])
@@ -292,7 +292,7 @@ def deal(docs: DataFrame, hot: Hot, shards: int, fan: int = 1) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.mapInArrow(work, DEALT)
+    return docs.mapInArrow(cluster.frugal(work), DEALT)
 
 
 def place_of(shards: int, fan: int) -> Column:
@@ -325,7 +325,7 @@ def merged(dealt: DataFrame, shards: int, fan: int) -> DataFrame:
         if held:
             yield as_batch([(shard, 0, body, None, None, None) for shard, body in cut(*joined(held), shards, 1)])
 
-    return dealt.repartitionById(-(-shards // fan), place_of(shards, fan)).mapInArrow(work, DEALT)
+    return dealt.repartitionById(-(-shards // fan), place_of(shards, fan)).mapInArrow(cluster.frugal(work), DEALT)
 
 
 MOVES = "seat binary, moving array<struct<part:int,body:binary>>, hot array<struct<i:int,c:long,t:long>>, n long, v long, c1 long, t1 long"
@@ -418,7 +418,7 @@ def build(dealt: DataFrame, hot: Hot, shards: int) -> DataFrame:
         for shard in sorted(parts):
             yield as_batch([build_one(shard, parts.pop(shard))])
 
-    return dealt.repartitionById(shards, place_of(shards, 1)).mapInArrow(work, BUILT)
+    return dealt.repartitionById(shards, place_of(shards, 1)).mapInArrow(cluster.frugal(work), BUILT)
 
 
 def totals(state: DataFrame, hot: Hot, before: dict | None = None) -> dict:
@@ -473,7 +473,7 @@ def exchange(rows: DataFrame, shards: int, kind: int, seatings: int) -> DataFram
                 mine = at[end - size : end]
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part], pa.int32()), pa.array([packed(*[x[mine] for x in sums])], pa.binary())], names=["shard", "part", "body"])
 
-    return rows.repartitionById(shards, F.col("part")).mapInArrow(add, FOUND)
+    return rows.repartitionById(shards, F.col("part")).mapInArrow(cluster.frugal(add), FOUND)
 
 
 def answers(parts: dict[int, bytes]) -> list[np.ndarray]:
@@ -538,7 +538,7 @@ def sweep(state: DataFrame, found: DataFrame, all_: dict, shards: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), *MOVES_KINDS), strict=True)], names=["shard", *MOVES_NAMES])
 
     rows = state.select("shard", F.lit(None).cast("int").alias("part"), F.col("seat").alias("body")).unionByName(found)
-    return rows.repartitionById(shards, F.col("shard")).mapInArrow(work, "shard int, " + MOVES)
+    return rows.repartitionById(shards, F.col("shard")).mapInArrow(cluster.frugal(work), "shard int, " + MOVES)
 
 
 def pair_probabilities(body: list[np.ndarray], seat: bytes, parts: dict[int, bytes], kept: list[dict]) -> np.ndarray:
@@ -663,9 +663,9 @@ def score(built: DataFrame, state: DataFrame, found: DataFrame, kept: list[dict]
     rows = built.where("shard >= 0").select("shard", none.alias("part"), "body", F.lit(True).alias("part_of_body"))
     rows = rows.unionByName(state.select("shard", none.alias("part"), F.col("seat").alias("body"), F.lit(False).alias("part_of_body")))
     rows = rows.unionByName(found.withColumn("part_of_body", F.lit(False)))
-    out = rows.repartitionById(shards, F.col("shard")).mapInArrow(sums, summed)
-    out = out.unionByName(built.where("shard < 0").select("g", "doc_ids", "held", "sizes").mapInArrow(documents, summed))
-    return out.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("g").isNull()).mapInArrow(gather, RESULT)
+    out = rows.repartitionById(shards, F.col("shard")).mapInArrow(cluster.frugal(sums), summed)
+    out = out.unionByName(built.where("shard < 0").select("g", "doc_ids", "held", "sizes").mapInArrow(cluster.frugal(documents), summed))
+    return out.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("g").isNull()).mapInArrow(cluster.frugal(gather), RESULT)
 
 
 def fitted(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[dict], int]:

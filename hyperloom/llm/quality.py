@@ -141,7 +141,7 @@ def classify(docs: DataFrame, model: Model | None, keep: list[str], cut: float =
             s = shipped.value.score(x) if coders else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(s), pa.array((s >= cut).astype(np.int32)), pa.array(x)], names=[*keep, "score", "predicted", "size_difference"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(score, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(cluster.frugal(score), schema)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

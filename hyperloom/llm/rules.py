@@ -127,7 +127,7 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_RO
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(trusted[at])], names=["bucket", "raw", "trusted"])
 
-    got = rows.mapInArrow(count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()
+    got = rows.mapInArrow(cluster.frugal(count), "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[got["bucket"]] = got["raw"]
     trusted[got["bucket"]] = got["trusted"]
@@ -164,7 +164,7 @@ def judge(docs: DataFrame, weights: np.ndarray | None, keep: list[str], threshol
                     cols[-1].append(sums(shipped.value[v], offs) / np.maximum(np.diff(offs), 1))
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(np.concatenate(c)) for c in cols], names=[*keep, *names, "llr"])
 
-    out = cluster.kept_and_text(docs, keep).mapInArrow(measure, schema)
+    out = cluster.kept_and_text(docs, keep).mapInArrow(cluster.frugal(measure), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 

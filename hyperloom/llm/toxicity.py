@@ -448,7 +448,7 @@ def classify(docs: DataFrame, model: Model | None, keep: list[str], cut: float =
                 s = 1 / (1 + np.exp(-np.concatenate(z)))
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(s), pa.array((s >= cut).astype(np.int32)), pa.array(np.concatenate(weight))], names=[*keep, "score", "predicted", "clause_weight"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(score, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(cluster.frugal(score), schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
