@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -289,8 +290,8 @@ def test_table_numbers_follow_the_restaurant():
     assert 1 <= big.min() and big.max() < 200
 
 
-def test_lm_predictions_sum_to_one(spark):
-    """Over a closed vocabulary the probabilities after a context add up to about one."""
+def test_lm_predictions_follow_counts(spark):
+    """After one context, words come in the order of their counts, and an unknown one last."""
     train = [(i, f"a {w}", False) for i, w in enumerate("b b b c c d e f g h".split() * 20)]
     words = "a b c d e f g h".split()
     ask = [(1000 + i, f"a {w}", True) for i, w in enumerate([*words, "unknownword"])] + [(2000, "a", True)]
@@ -339,6 +340,79 @@ def test_lm_probabilities_sum_to_one(spark, monkeypatch, shard_bytes):
     assert all(abs(p - 1) < 1e-9 for u, p in total.items() if u != end) and total[end] < 1
 
 
+class Restaurant:
+    """Customers seated one by one; the base is a parent restaurant or a constant."""
+
+    def __init__(self, d, theta, base, rng):
+        self.d, self.theta, self.base, self.rng = d, theta, base, rng
+        self.tables, self.c, self.t = defaultdict(list), 0, 0
+
+    def below(self, w):
+        return self.base.p(w) if isinstance(self.base, Restaurant) else self.base
+
+    def p(self, w):
+        x = self.tables.get(w, [])
+        return (sum(x) - self.d * len(x) + (self.theta + self.d * self.t) * self.below(w)) / (self.theta + self.c)
+
+    def seat(self, w):
+        x = self.tables[w]
+        at = self.rng.choices(range(len(x) + 1), [*(n - self.d for n in x), (self.theta + self.d * self.t) * self.below(w)])[0]
+        self.c += 1
+        if at < len(x):
+            x[at] += 1
+            return
+        x.append(1)
+        self.t += 1
+        if isinstance(self.base, Restaurant):
+            self.base.seat(w)
+
+    def leave(self, w):
+        x = self.tables[w]
+        at = self.rng.choices(range(len(x)), x)[0]
+        self.c -= 1
+        x[at] -= 1
+        if not x[at]:
+            del x[at]
+            self.t -= 1
+            if isinstance(self.base, Restaurant):
+                self.base.leave(w)
+
+
+@pytest.mark.parametrize("shard_bytes", [20 << 20, 1000])
+def test_lm_scores_by_seating_customers_one_by_one(spark, monkeypatch, shard_bytes):
+    """Scores against a Gibbs sampler over explicit tables, run for long and averaged."""
+    monkeypatch.setattr(pylm, "SHARD_BYTES", shard_bytes)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(150):
+        text = [rng.choice(words[:20])]
+        while len(text) < 25:  # each word has followers of its own, and some are common to all
+            k = min(int(rng.expovariate(0.4)), 199)
+            text.append(words[(7 * int(text[-1][1:]) + k) % 200 if rng.random() < 0.6 else k])
+        docs.append((i, " ".join(text), i % 5 == 0))
+    docs.append((150, "w1 unheard w1", True))
+    got = {r["doc_id"]: r["score"] for r in pylm.train_and_score(spark.createDataFrame(docs, "doc_id long, text string, held boolean")).collect()}
+    pairs = {i: list(zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True)) for i, t, _ in docs}
+    train = [x for i, _, held in docs if not held for x in pairs[i]]
+    top = Restaurant(pylm.D1, pylm.THETA1, 1 / (len({w for _, w in train}) + 1), rng)
+    at = defaultdict(lambda: Restaurant(pylm.D2, pylm.THETA2, top, rng))
+    for u, w in train:
+        at[u].seat(w)
+    sums, rounds = Counter(), 30
+    for k in range(10 + rounds):
+        for u, w in train:
+            at[u].leave(w)
+            at[u].seat(w)
+        if k >= 10:
+            for u, w in {x for y in pairs.values() for x in y}:
+                sums[u, w] += at[u].p(w)
+    want = {i: sum(math.log10(sums[x] / rounds) for x in pairs[i]) for i in pairs}
+    off = np.array([(got[i] - want[i]) / len(pairs[i]) for i in want])
+    # the parent alone is off by 0.6 a token
+    assert abs(off.mean()) < 0.01 and np.abs(off).max() < 0.05, (off.mean(), np.abs(off).max())
+
+
 def test_lm_contexts_are_their_words_own():
     """Many previous words, no two of which share a restaurant."""
     h = np.random.default_rng(2).integers(0, 1 << 63, 1_000_000).astype(np.uint64)
