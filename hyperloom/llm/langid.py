@@ -69,7 +69,7 @@ class Model:
         inside[: skip + 1] &= skip == 0
         out = np.zeros((n, len(self.langs)))
         which = np.repeat(np.arange(n), np.diff(np.append(starts, len(sym))))
-        step = max(1, (1 << 21) // len(self.langs))
+        step = max(1, (1 << 18) // len(self.langs))
         for i in range(0, len(sym), step):
             cost = self.code[at[i : i + step]].astype(np.float64)
             cost[~inside[i : i + step]] = 0
