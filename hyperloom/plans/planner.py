@@ -24,6 +24,10 @@ from .space import Space, link_id, node_id
 from .types import Signature
 
 
+#: Rows of a product's right side that meet a left row at once, on average, and the shares in which left rows are dealt to each such block.
+BLOCK, SHARES = 4096, 64
+
+
 class PlanError(ValueError):
     pass
 
@@ -274,12 +278,19 @@ class Planner:
         return t.Where(c.vars, p)
 
     def body(self, body: Any) -> DataFrame:
+        return self.grounded(body)[0]
+
+    def grounded(self, body: Any, asked: Sequence[str] | None = None) -> tuple[DataFrame, bool]:
+        """Groundings, and whether they are known to be a set. ``asked``: only these variables are wanted, as a set."""
         clauses = [self.as_test(c) for c in dict.fromkeys(flatten(body))]
         tests = [c for c in clauses if isinstance(c, t.Where | t.Bind | t.Identical)]
         rest = (t.Where, t.Bind, t.Identical, t.Absent, t.Always, t.Exists)
         parts = [self.accept(c, self.clause(c)) for c in clauses if not isinstance(c, rest)]
         if not parts:
             raise PlanError("a body needs a clause that binds variables")
+        negated = [(isinstance(c, t.Absent), self.body(c.clause)) for c in clauses if isinstance(c, t.Absent | t.Exists)]
+        universal = [c for c in clauses if isinstance(c, t.Always)]
+        is_set = False
         df = parts.pop(0)
         df, tests = self.settle(df, tests)
         while parts:
@@ -294,23 +305,78 @@ class Planner:
                 same = [x for x in tests if isinstance(x, t.Identical) and {x.left, x.right} <= have]
                 tests = [x for x in tests if x not in ready and x not in same]
                 cond = [self.test(x) for x in ready] + [F.col(x.left) == F.col(x.right) for x in same]
-                df = df.join(p, reduce(lambda a, b: a & b, cond), "inner") if cond else df.crossJoin(p)
+                used = {*(asked or ()), *[v for _, found in negated for v in found.columns], *[v for c in universal for v in c.by]}
+                if cond:
+                    df = df.join(p, reduce(lambda a, b: a & b, cond), "inner")
+                elif asked is not None and not parts and not tests and used & set(df.columns) and used & set(p.columns):
+                    left, right = (x.select(*[v for v in x.columns if v in used]).distinct() for x in (df, p))
+                    df, negated = self.set_product(left, right, negated)
+                    is_set = set(df.columns) <= set(asked)
+                else:
+                    df = df.crossJoin(p)
             df, tests = self.settle(df, tests)
         if tests:
             raise PlanError(f"unbound variables in {tests}")
-        for c in clauses:
-            if isinstance(c, t.Absent | t.Exists):
-                found = self.body(c.clause)
-                shared = [v for v in found.columns if v in df.columns]
-                if shared:
-                    df = df.join(found.select(*shared).distinct(), shared, "left_anti" if isinstance(c, t.Absent) else "left_semi")
-                else:  # one row says whether there is any match
-                    some = found.limit(1).agg((F.count(F.lit(1)) > 0).alias("_some"))
-                    df = df.crossJoin(some.where(~F.col("_some") if isinstance(c, t.Absent) else F.col("_some"))).drop("_some")
-        for c in clauses:
-            if isinstance(c, t.Always):
-                df = self.universal(df, c)
-        return df
+        for absent, found in negated:
+            df = self.negate(df, absent, found)
+        for c in universal:
+            df = self.universal(df, c)
+        return df, is_set
+
+    @staticmethod
+    def negate(df: DataFrame, absent: bool, found: DataFrame) -> DataFrame:
+        """Rows with no match among ``found``, or those with one."""
+        shared = [v for v in found.columns if v in df.columns]
+        if shared:
+            return df.join(found.select(*shared).distinct(), shared, "left_anti" if absent else "left_semi")
+        some = found.limit(1).agg((F.count(F.lit(1)) > 0).alias("_some"))  # one row says whether there is any match
+        return df.crossJoin(some.where(~F.col("_some") if absent else F.col("_some"))).drop("_some")
+
+    def set_product(self, left: DataFrame, right: DataFrame, negated: list[tuple[bool, DataFrame]]) -> tuple[DataFrame, list[tuple[bool, DataFrame]]]:
+        """The product of two sets that share no column, and the negations that are still to be made of it.
+
+        A negation of one side's variables is made of that side. Of the pairs themselves, absences
+        are made here: the right side is cut by hash into blocks of about ``BLOCK`` rows, a left row
+        meets a block in one row with the places in it that were found, and only the other
+        places are unfolded. So what is dealt out and joined is smaller than the product by
+        the size of a block, and no task holds more than a block at a time.
+        """
+        pairs_found, later = [], []
+        for absent, found in negated:
+            own = [v for v in found.columns if v in left.columns]
+            other = [v for v in found.columns if v in right.columns]
+            if own and not other:
+                left = self.negate(left, absent, found)
+            elif other and not own:
+                right = self.negate(right, absent, found)
+            elif absent and own:
+                pairs_found.append((own, other, found))
+            else:
+                later.append((absent, found))
+        if not pairs_found:
+            return left.crossJoin(right), later
+
+        context = left.sparkSession.sparkContext
+        n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism)
+        cols = right.columns
+        blocks = right.agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).where("_blocks > 0")
+        rows = F.array_sort(F.collect_list(F.struct(*cols)))  # in order, so that a row has the same place wherever this is computed
+        packed = right.crossJoin(blocks).groupBy(F.pmod(F.xxhash64(*cols), F.col("_blocks")).cast("int").alias("_block")).agg(rows.alias("_rows"))
+        placed = packed.select("_block", F.posexplode("_rows").alias("_at", "_row")).select("_block", "_at", "_row.*")
+        met = left.crossJoin(blocks).select(*left.columns, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+        none, gone = F.array().cast("array<int>"), []
+        for own, other, found in pairs_found:
+            gone.append(f"_gone{len(gone)}")
+            places = found.select(*own, *other).join(placed, other).groupBy("_block", *own).agg(F.collect_set("_at").alias(gone[-1]))
+            met = met.join(places, ["_block", *own], "left")
+        met = met.select(*left.columns, "_block", F.flatten(F.array(*[F.coalesce(F.col(g), none) for g in gone])).alias("_gone"))
+        met = met.withColumn("_share", F.pmod(F.xxhash64(*left.columns), F.lit(SHARES)).cast("int")).repartition(n, "_block", "_share")
+        shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share")
+        columns = packed.select("_block", F.sequence(F.lit(0), F.size("_rows") - 1).alias("_all"), *[F.col(f"_rows.{c}").alias(f"_of_{c}") for c in cols])
+        columns = columns.select("*", shares).repartition(n, "_block", "_share")
+        left_over = F.when(F.size("_gone") == 0, F.col("_all")).otherwise(F.array_except("_all", "_gone"))
+        out = met.join(columns.hint("merge"), ["_block", "_share"]).select(*left.columns, *[f"_of_{c}" for c in cols], F.explode(left_over).alias("_at"))
+        return out.select(*left.columns, *[F.get(f"_of_{c}", F.col("_at")).alias(c) for c in cols]), later
 
     @staticmethod
     def test(x: t.Where) -> Column:
@@ -361,11 +427,12 @@ def meet(vars_: Sequence[str] | frozenset[str], body: Any, space: Space | None =
     it (``in_groups``, ``in_order``). An unbound variable is null.
     """
     names = sorted(vars_) if isinstance(vars_, frozenset | set) else vars_
-    df = Planner(space, definitions).body(body)
+    as_set = not callable(container) and container != "queue"
+    df, is_set = Planner(space, definitions).grounded(body, names if as_set else None)
     out = df.select(*[F.col(v) if v in df.columns else F.lit(None).cast("long").alias(v) for v in names])
     if callable(container):
         out = container(out)
-    elif container != "queue":
+    elif as_set and not is_set:
         out = out.distinct()
     return out if limit is None else out.limit(limit)
 

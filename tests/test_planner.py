@@ -203,3 +203,27 @@ def test_store_messages(spark, tmp_path):
     assert store.send("read", "t").count() == 3 and store.send("delete", "t") and not store.send("delete", "t")
     with pytest.raises(ValueError):
         store.send("dance")
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_absent_pairs_of_a_product(spark, monkeypatch, block):
+    """Absences of a product's pairs are taken out before it is unfolded, by no anti-join: nulls, repeated rows, one side's absences, further columns."""
+    monkeypatch.setattr(planner, "BLOCK", block, raising=False)
+    a = [(i % 7 if i % 5 else None, i % 3) for i in range(30)]
+    b = [(i % 11 if i % 6 else None,) for i in range(40)]
+    gone = [(i % 7, i % 11 if i % 4 else None) for i in range(0, 60, 3)] * 2
+    more = [(i % 3, i % 11) for i in range(7)]
+    left, right = spark.createDataFrame(a, "x int, k int"), spark.createDataFrame(b, "y int")
+    pairs, kinds = spark.createDataFrame(gone, "x int, y int"), spark.createDataFrame(more, "k int, y int")
+    sevens = spark.createDataFrame([(7,)], "y int")
+    body = [Table(left, {"x": "x", "k": "k"}), Table(right, {"y": "y"}), Absent(Table(pairs, {"x": "x", "y": "y"})), Absent(Table(kinds, {"k": "k", "y": "y"})), Absent(Table(sevens, {"y": "y"}))]
+    want = {(x, k, y) for x, k in a for (y,) in b if (x, y) not in {g for g in gone if None not in g} and (k, y) not in set(more) and y != 7}
+    for names in (["x", "k", "y"], ["y", "x"]):
+        df = planner.meet(names, body)
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {tuple({"x": x, "k": k, "y": y}[n] for n in names) for x, k, y in want}
+    two = planner.meet(["x", "y"], [Table(left, {"x": "x"}), Table(right, {"y": "y"}), Absent(Table(pairs, {"x": "x", "y": "y"}))])
+    plan = two._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.index("Generate") < plan.index("Aggregate")  # nothing above unfolds again
+    assert planner.meet(["x", "y"], [Table(left, {"x": "x"}), Table(right, {"y": "y"}, "y > 99"), Absent(Table(pairs, {"x": "x", "y": "y"}))]).isEmpty()
