@@ -77,3 +77,23 @@ def agree(spark, name, folder, **tables):
 def test_heaviside_of_stored_zeros(spark, tmp_path):
     balances = [0.0, -0.0, -1e-300, 1e-300, None, math.nan, math.inf, -math.inf]
     agree(spark, "f6_heaviside", tmp_path, customer=spark.createDataFrame(list(enumerate(balances)), "c_custkey long, c_acctbal double"))
+
+
+def test_user_aggregate_by_batches(spark, tmp_path, monkeypatch):
+    """Null keys, keys beyond a double's precision, nulls and NaN among prices, groups over many batches; calls grow with batches and not with groups."""
+    from hyperloom.functions import udf
+
+    keys = [None, 1, 2**60, 2**60 + 1, 5, 6]
+    some = [(keys[i % 4], float(i * 37 % 101)) for i in range(400)] + [(5, None), (6, math.nan), (6, 1.0), (1, None), (7, None), (7, 3.0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = agree(spark, "x4_aggregate", tmp_path, orders=spark.createDataFrame(some, "o_custkey long, o_totalprice double"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 7
+    plans = []
+    real = udf.aggregate
+    monkeypatch.setattr(udf, "aggregate", lambda *a: plans.append(real(*a)) or plans[-1])
+    catalog.QUERIES["x4_aggregate"](spark, str(tmp_path))
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
