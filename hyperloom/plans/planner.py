@@ -48,13 +48,21 @@ def flatten(body: Any) -> list[Any]:
         if isinstance(inner, t.Exists):
             return [t.Absent(inner.clause)]
         if isinstance(inner, t.Where):
-            return [t.Where(inner.vars, lambda *x: ~F.coalesce(inner.test(*x), F.lit(False)))]
+            return [t.Where(inner.vars, lambda *x: ~F.coalesce(inner.test(*x), F.lit(False)), inner.many)]
         return [t.Absent(inner)]
     if isinstance(body, t.Choice) and len(body.branches) == 1:
         return flatten(body.branches[0])
     return [body]
 
 
+def share_of(df: DataFrame) -> Column:
+    return F.pmod(F.xxhash64(*df.columns), F.lit(SHARES)).cast("int")
+
+
+def every_share() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share")
+
+
 class Planner:
     """Plans bodies over a space (for Match clauses) and any tables."""
 
@@ -297,7 +305,10 @@ class Planner:
             near = self.next_part(df.columns, parts)
             if near is not None:
                 p = parts.pop(near)
-                df = df.join(p, [c for c in p.columns if c in df.columns])
+                shared = [c for c in p.columns if c in df.columns]
+                spans = lambda x: not set(x.vars) <= set(df.columns) and not set(x.vars) <= set(p.columns) and set(x.vars) <= {*df.columns, *p.columns}
+                many = any(isinstance(x, t.Where) and x.many and spans(x) for x in tests)
+                df = self.dealt_join(df, p, shared) if many else df.join(p, shared)
             else:
                 p = parts.pop(0)
                 have = set(df.columns) | set(p.columns)
@@ -323,6 +334,17 @@ class Planner:
             df = self.universal(df, c)
         return df, is_set
 
+    @staticmethod
+    def tasks(df: DataFrame) -> int:
+        """In how many parts to deal out what grows faster than its bytes, which Spark judges by."""
+        return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism)
+
+    def dealt_join(self, left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        """A join on few values: ``SHARES`` shares of the left rows of each, and each share meets all right rows of its value."""
+        n, by = self.tasks(left), [*on, "_share"]
+        dealt = left.withColumn("_share", share_of(left)).repartition(n, *by)
+        return dealt.join(right.select("*", every_share()).repartition(n, *by).hint("merge"), by).drop("_share")
+
     @staticmethod
     def negate(df: DataFrame, absent: bool, found: DataFrame) -> DataFrame:
         """Rows with no match among ``found``, or those with one."""
@@ -356,9 +378,7 @@ class Planner:
         if not pairs_found:
             return left.crossJoin(right), later
 
-        context = left.sparkSession.sparkContext
-        n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism)
-        cols = right.columns
+        n, cols = self.tasks(left), right.columns
         blocks = right.agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")).where("_blocks > 0")
         rows = F.array_sort(F.collect_list(F.struct(*cols)))  # in order, so that a row has the same place wherever this is computed
         packed = right.crossJoin(blocks).groupBy(F.pmod(F.xxhash64(*cols), F.col("_blocks")).cast("int").alias("_block")).agg(rows.alias("_rows"))
@@ -370,10 +390,9 @@ class Planner:
             places = found.select(*own, *other).join(placed, other).groupBy("_block", *own).agg(F.collect_set("_at").alias(gone[-1]))
             met = met.join(places, ["_block", *own], "left")
         met = met.select(*left.columns, "_block", F.flatten(F.array(*[F.coalesce(F.col(g), none) for g in gone])).alias("_gone"))
-        met = met.withColumn("_share", F.pmod(F.xxhash64(*left.columns), F.lit(SHARES)).cast("int")).repartition(n, "_block", "_share")
-        shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share")
+        met = met.withColumn("_share", share_of(left)).repartition(n, "_block", "_share")
         columns = packed.select("_block", F.sequence(F.lit(0), F.size("_rows") - 1).alias("_all"), *[F.col(f"_rows.{c}").alias(f"_of_{c}") for c in cols])
-        columns = columns.select("*", shares).repartition(n, "_block", "_share")
+        columns = columns.select("*", every_share()).repartition(n, "_block", "_share")
         left_over = F.when(F.size("_gone") == 0, F.col("_all")).otherwise(F.array_except("_all", "_gone"))
         out = met.join(columns.hint("merge"), ["_block", "_share"]).select(*left.columns, *[f"_of_{c}" for c in cols], F.explode(left_over).alias("_at"))
         return out.select(*left.columns, *[F.get(f"_of_{c}", F.col("_at")).alias(c) for c in cols]), later

@@ -237,10 +237,15 @@ class Exists:
 
 @dataclass(frozen=True, eq=False)
 class Where:
-    """An evaluatable clause: a boolean of variables. Two are equal only if they are one object, as functions can't be compared."""
+    """An evaluatable clause: a boolean of variables. Two are equal only if they are one object, as functions can't be compared.
+
+    ``many``: the join whose pairs it tests shares few values and leaves many pairs of each, so
+    they are dealt out evenly and not by those values alone.
+    """
 
     vars: tuple[str, ...]
     test: Callable[..., Column]
+    many: bool = False
 
 
 @dataclass(frozen=True, eq=False)

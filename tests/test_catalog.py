@@ -97,3 +97,15 @@ def test_user_aggregate_by_batches(spark, tmp_path, monkeypatch):
     catalog.QUERIES["x4_aggregate"](spark, str(tmp_path))
     plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_greater_pairs_are_dealt_out(spark, tmp_path):
+    """One nation and repeated, null and tied rows: pairs as the SQL has them, in several tasks, with nothing above the join that holds them."""
+    some = [(i // 2 if i % 9 else None, 3 if i % 7 else None, float(i % 23) if i % 5 else None) for i in range(200)] * 2
+    agree(spark, "b1_j2_greater", tmp_path, supplier=spark.createDataFrame(some, "s_suppkey long, s_nationkey int, s_acctbal double"))
+    df = catalog.QUERIES["b1_j2_greater"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "RepartitionByExpression" in plan
+    from pyspark.sql import functions as F
+
+    assert df.groupBy(F.spark_partition_id()).count().count() > 4
