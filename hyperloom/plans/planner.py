@@ -26,6 +26,8 @@ from .types import Signature
 
 #: Rows of a product's right side that meet a left row at once, on average, and the shares in which left rows are dealt to each such block.
 BLOCK, SHARES = 4096, 64
+#: Absent places of a block that are looked through one by one.
+FEW = 8
 
 
 class PlanError(ValueError):
@@ -393,9 +395,10 @@ class Planner:
         met = met.withColumn("_share", share_of(left)).repartition(n, "_block", "_share")
         columns = packed.select("_block", F.sequence(F.lit(0), F.size("_rows") - 1).alias("_all"), *[F.col(f"_rows.{c}").alias(f"_of_{c}") for c in cols])
         columns = columns.select("*", every_share()).repartition(n, "_block", "_share")
-        left_over = F.when(F.size("_gone") == 0, F.col("_all")).otherwise(F.array_except("_all", "_gone"))
-        out = met.join(columns.hint("merge"), ["_block", "_share"]).select(*left.columns, *[f"_of_{c}" for c in cols], F.explode(left_over).alias("_at"))
-        return out.select(*left.columns, *[F.get(f"_of_{c}", F.col("_at")).alias(c) for c in cols]), later
+        few = F.size("_gone") <= FEW  # these are looked through a place; taking them out of the list costs a hash a place
+        left_over = F.when(few, F.col("_all")).otherwise(F.array_except("_all", "_gone"))
+        out = met.join(columns.hint("merge"), ["_block", "_share"]).select(*left.columns, *[f"_of_{c}" for c in cols], "_gone", F.explode(left_over).alias("_at"))
+        return out.where(~few | ~F.array_contains("_gone", F.col("_at"))).select(*left.columns, *[F.get(f"_of_{c}", F.col("_at")).alias(c) for c in cols]), later
 
     @staticmethod
     def test(x: t.Where) -> Column:

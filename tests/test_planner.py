@@ -205,10 +205,11 @@ def test_store_messages(spark, tmp_path):
         store.send("dance")
 
 
-@pytest.mark.parametrize("block", [1, 3, 4096])
-def test_absent_pairs_of_a_product(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, few", [(1, 8), (3, 1), (4096, 8), (4096, 1)])
+def test_absent_pairs_of_a_product(spark, monkeypatch, block, few):
     """Absences of a product's pairs are taken out before it is unfolded, by no anti-join: nulls, repeated rows, one side's absences, further columns."""
     monkeypatch.setattr(planner, "BLOCK", block, raising=False)
+    monkeypatch.setattr(planner, "FEW", few, raising=False)
     a = [(i % 7 if i % 5 else None, i % 3) for i in range(30)]
     b = [(i % 11 if i % 6 else None,) for i in range(40)]
     gone = [(i % 7, i % 11 if i % 4 else None) for i in range(0, 60, 3)] * 2
